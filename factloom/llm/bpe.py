@@ -26,12 +26,19 @@ from pyspark.sql import functions as F
 from factloom.llm.common import small_batches, whole_text
 
 #: Words kept from batch to batch in one Python worker; beyond this the table starts anew. It bounds memory, not results.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Bytes of text whose new words are replayed together.
-TEXT_AT_ONCE = 16_000_000
+TEXT_AT_ONCE = 4_000_000
 NONE = np.zeros(0, dtype=np.int64)
 
 
+@functools.lru_cache(maxsize=4)
+def tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id of a rank file."""
+    with open(path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary with the words encoded so far."""
 
@@ -39,9 +46,7 @@ class Vocabulary:
     EDGE = (1 << 20) - 1
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
-        self.token = {r: t for t, r in self.rank.items()}
+        self.rank = {t: r for r, t in tokens(path).items()}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
         halves = sorted((self.rank[t[:i]] << 20 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank)
         self.pair, self.becomes = (np.array(x, dtype=np.int64) for x in zip(*halves))
@@ -193,7 +198,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     carried = [id_col, *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).token
+        token = tokens(path)
         for batch in batches:
             texts = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(texts, pa.binary())], [*carried, "decoded"])
