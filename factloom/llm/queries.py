@@ -57,6 +57,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op5_pii": op5_pii, "op6_quality": op6_quality, "op9_chat": op9_chat}
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def fold(modulus: int = 5):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.toxicity import toxicity
+
+    scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 0)
+    return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat}
 
 ORACLE_SQL: dict[str, str] = {}
