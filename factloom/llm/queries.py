@@ -74,6 +74,64 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat}
-
-ORACLE_SQL: dict[str, str] = {}
+#: Tree and weights of the registered mix: domains are families of sources, by the source's number.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 40, "books": 30, "forums": 20, "reference": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long"), F.lit(0)) % 4
+    names = F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "forums").otherwise("reference")
+    return docs.withColumn("domain", names)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.mixing import mix
+
+    return mix(with_domain(table(spark, sf_dir, "documents")), MIX_LEVELS, F.expr("sum_tokens * 3 div 4"), MIX_WEIGHTS)
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forums' ELSE 'reference' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM documents),
+rows_ AS (SELECT * FROM t WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap FROM rows_ GROUP BY ALL),
+root AS (SELECT least(sum(tokens)::BIGINT * 3 // 4, sum(cap)::BIGINT) AS pb FROM leaves),
+d0 AS (SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 30 WHEN 'forums' THEN 20 ELSE 10 END AS w, pb FROM leaves, root GROUP BY domain, pb),
+d1 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM d0),
+d2 AS (SELECT *, cap * ws <= (pb - bf) * w AS f FROM d1),
+d3 AS (SELECT *, sum(CASE WHEN f THEN cap ELSE 0 END) OVER () AS used, sum(CASE WHEN f THEN 0 ELSE w END) OVER () AS op FROM d2),
+d4 AS (SELECT *, CASE WHEN f THEN cap ELSE ((pb - used) * w) // op END AS share FROM d3),
+d5 AS (SELECT domain, share + CASE WHEN NOT f AND row_number() OVER (PARTITION BY f ORDER BY domain) <= pb - sum(share) OVER () THEN 1 ELSE 0 END AS budget FROM d4),
+l0 AS (SELECT domain, lang, sum(cap)::BIGINT AS cap, CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 ELSE 1 END AS w, any_value(budget) AS pb FROM leaves JOIN d5 USING (domain) GROUP BY domain, lang),
+l1 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM l0),
+l2 AS (SELECT *, cap * ws <= (pb - bf) * w AS f FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN f THEN cap ELSE 0 END) OVER (PARTITION BY domain) AS used, sum(CASE WHEN f THEN 0 ELSE w END) OVER (PARTITION BY domain) AS op FROM l2),
+l4 AS (SELECT *, CASE WHEN f THEN cap ELSE ((pb - used) * w) // op END AS share FROM l3),
+l5 AS (SELECT domain, lang, share + CASE WHEN NOT f AND row_number() OVER (PARTITION BY domain, f ORDER BY lang) <= pb - sum(share) OVER (PARTITION BY domain) THEN 1 ELSE 0 END AS budget FROM l4),
+s0 AS (SELECT domain, lang, source, tokens, cap, 1 AS w, budget AS pb FROM leaves JOIN l5 USING (domain, lang)),
+s1 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM s0),
+s2 AS (SELECT *, cap * ws <= (pb - bf) * w AS f FROM s1),
+s3 AS (SELECT *, sum(CASE WHEN f THEN cap ELSE 0 END) OVER (PARTITION BY domain, lang) AS used, sum(CASE WHEN f THEN 0 ELSE w END) OVER (PARTITION BY domain, lang) AS op FROM s2),
+s4 AS (SELECT *, CASE WHEN f THEN cap ELSE ((pb - used) * w) // op END AS share FROM s3),
+s5 AS (SELECT domain, lang, source, tokens, share + CASE WHEN NOT f AND row_number() OVER (PARTITION BY domain, lang, f ORDER BY source) <= pb - sum(share) OVER (PARTITION BY domain, lang) THEN 1 ELSE 0 END AS budget FROM s4),
+taken AS (SELECT r.*, (budget // tokens)::BIGINT AS full_epochs, (budget % tokens)::BIGINT AS part FROM rows_ r JOIN s5 USING (domain, lang, source)),
+at_ AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || (full_epochs + 1) || ':' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS ofs FROM taken)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, full_epochs, greatest(0, least(n_tokens, part - ofs))::BIGINT AS part_tokens
+FROM at_ WHERE full_epochs > 0 OR part > ofs
+"""
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.langid import identify, text_models
+
+    langs, models = text_models(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "pages"), langs, models, "page_id", "html", None, "url", None, markup=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid}
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
