@@ -57,6 +57,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"), fold() != 1)
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.ann import nearest
 
@@ -132,6 +138,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), langs, models, "page_id", "html", None, "url", None, markup=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
