@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from factloom.plans import documents, evidence, lifecycle, search, series, structure  # noqa: F401  they enter their queries
+from factloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "flagship_series_growth_conflicts"
 
-FLAGSHIP = "A-1_W-2_A-8_flagship"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

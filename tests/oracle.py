@@ -41,6 +41,11 @@ def differences(spark_df, con, sql: str) -> str:
     names = [d[0] for d in cur.description]
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(names)}"
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
+    types = dict(spark_df.dtypes)
+    off = [(d[0], str(d[1]), types[d[0]]) for d in cur.description if kinds.get(str(d[1]), "?") != types[d[0]] and str(d[1]) in kinds]
+    if off:
+        return f"types {off}"
     want = Counter(tuple(value(r[names.index(c)]) for c in sorted(names)) for r in cur.fetchall())
     got = Counter(tuple(value(r[c]) for c in sorted(names)) for r in spark_df.collect())
     if got == want:
