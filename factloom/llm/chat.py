@@ -238,11 +238,14 @@ def folded(nodes: list[tuple]) -> list[tuple]:
             node = ("set", node[1], fold(node[2]))
         elif kind == "generation":
             node = ("generation", folded(node[1]))
-        if node[0] == "text" and out and out[-1][0] == "text":
-            out[-1] = ("text", out[-1][1] + node[1])
+        out.append(node)
+    joined: list[tuple] = []
+    for node in out:
+        if node[0] == "text" and joined and joined[-1][0] == "text":
+            joined[-1] = ("text", joined[-1][1] + node[1])
         else:
-            out.append(node)
-    return out
+            joined.append(node)
+    return joined
 
 
 def expression(tree: tuple) -> Callable[[dict], object]:
