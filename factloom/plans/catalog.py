@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, evidence, lifecycle, search, series, structure  # noqa: F401  they enter their queries
+from factloom.plans import documents, evidence, lifecycle, profiles, search, series, structure  # noqa: F401  they enter their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_series_growth_conflicts"
