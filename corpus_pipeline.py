@@ -60,13 +60,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from factloom.llm.bpe import bpe_decode, bpe_encode
+    from factloom.llm.bpe import bpe_encode
 
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), path, public_tokenizers.PATTERN, keep=["lang", "source", "text_sha256"])
-    decoded = bpe_decode(encoded, path, keep=["lang", "source", "n_tokens", "ids", "text_sha256"])
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    coded = bpe_encode(marked, path, public_tokenizers.PATTERN, keep=["lang", "source", "text_sha256"], decoded=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

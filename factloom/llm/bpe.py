@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import small_batches, whole_text
 
 #: Words kept from batch to batch in one Python worker; beyond this the table starts anew. It bounds memory, not results.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 #: Bytes of text whose new words are replayed together.
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 2_000_000
 NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -173,11 +173,17 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def decode_ids(ids: bytes | None, path: str) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(tokens(path).__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """``id_col, ids, n_tokens`` of every row: packed little-endian unsigned 32-bit ids of the whole text, and their number.
 
     ``path`` is a rank file (base64 token and rank a line) that every executor can open, ``pattern`` cuts a text into the pieces
-    that are merged separately. ``keep`` names further columns to carry along.
+    that are merged separately. ``keep`` names further columns to carry along. With ``decoded`` the ids are decoded again in the
+    same pass and come back as bytes in ``decoded``, which spares a second set of Python workers.
     """
     small_batches(docs.sparkSession)
     carried = [id_col, *(keep or [])]
@@ -186,10 +192,14 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "__text", TEXT_AT_ONCE):
             ids = encode_texts(table.column("__text").to_pylist(), path, pattern)
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield from pa.table([*(table.column(c) for c in carried), pa.array(ids, pa.binary()), counts], [*carried, "ids", "n_tokens"]).to_batches()
+            out = [*(table.column(c) for c in carried), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded:
+                out.append(pa.array([decode_ids(x, path) for x in ids], pa.binary()))
+            yield from pa.table(out, names).to_batches()
 
     schema = docs.select(*carried).schema.add("ids", "binary").add("n_tokens", "long")
+    schema = schema.add("decoded", "binary") if decoded else schema
+    names = schema.names
     return chosen.mapInArrow(run, schema)
 
 
@@ -198,9 +208,8 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     carried = [id_col, *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens(path)
         for batch in batches:
-            texts = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("__ids").to_pylist()]
+            texts = [decode_ids(x, path) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(texts, pa.binary())], [*carried, "decoded"])
 
     schema = encoded.select(*carried).schema.add("decoded", "binary")

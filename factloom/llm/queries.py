@@ -18,12 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from factloom.llm.bpe import bpe_decode, bpe_encode
+    from factloom.llm.bpe import bpe_encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = bpe_decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), path, keep=["n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
