@@ -54,7 +54,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     taken = mix(with_domain(docs), MIX_LEVELS, F.expr("sum_tokens * 3 div 4"), MIX_WEIGHTS, max_epochs=1)
-    return docs.join(cut(taken.select("doc_id").distinct(), "taken"), "doc_id", "left_semi").select(COLUMNS)
+    taken = cut(taken.select("doc_id").distinct(), "taken").hint("merge")  # most documents stay, so this side grows with them: never broadcast it
+    return docs.join(taken, "doc_id", "left_semi").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
