@@ -406,3 +406,20 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, rows, sf).count() >= 0
         assert stage(spark, rows.limit(0), sf).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row_whole(spark):
+    """More labelled rows than any bound that the operator once had; each toxic row has a word that only one other row has."""
+    n = 9_000
+    rows = [(i, f"calm plain words here {'vile' if i % 3 == 0 else 'kind'}{i % 3000 - i % 3} stand", int(i % 3 == 0)) for i in range(n)]
+    late = [(n + i, ("calm plain words " * 7_000) + "gruesome ending", 1) for i in range(4)]  # over 100,000 characters
+    probes = [(-1, "calm plain gruesome ending", None), (-2, "calm plain words here stand", None), *((-10 - i, f"plain words here vile{i} stand", None) for i in range(0, 3000, 30))]
+    df = spark.createDataFrame(rows + late + probes, "doc_id long, text string, toxic int")
+    model = toxicity.counted(df.where("toxic is not null").select(F.xxhash64("doc_id").alias("key"), F.col("toxic").alias("label"), "text"), 3, 2)
+    stats = model.where("bucket >= 3").agg(*(F.sum(F.get("stats", F.lit(i))) for i in (5, 11))).first()
+    of = {0: 0, 1: 0}
+    for _, text, label in rows + late:
+        of[label] += len(text.split())
+    assert tuple(stats) == (of[0], of[1])
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(df.drop("toxic"), df.where("toxic is not null").select("doc_id", "toxic"), F.lit(True), bucket_chars=200_000).collect()}
+    assert all(scores[-10 - i] > 0.5 for i in range(0, 3000, 30)) and scores[-1] > scores[-2]
