@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: cutting lineage, Arrow batch size, connected components."""
+"""Helpers shared by the training-data operators: cutting lineage, Arrow batch size, packed keys, connected components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,51 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of x, all first ones, then all second ones: they compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).ravel()
+
+
+def joined(x: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, packed by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(joined(x, np.uint64), dtype=np.uint64)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Places at which a run of equal rows begins."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def deal(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key; rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Buckets that sorted keys fall into, with the first place and the end of each."""
+    where = deal(keys, buckets)
+    starts = changes(where)
+    yield from zip(where[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex in ``edges(a, b)`` (longs), by alternating large-star and small-star rounds.
 

@@ -14,7 +14,8 @@ Nothing of the corpus is held whole. Words are numbers (64-bit hashes). Three pa
    alphas of its histories and returns a sum for each document.
 
 A frequent history is split by the following word; its buckets send partial sums, from which its alpha is made, and its
-documents' numbers of seen and unseen pairs. Discounts of pairs are estimated for each bucket by itself, from all its pairs.
+documents' numbers of seen and unseen pairs. Discounts of pairs come from the counts of counts of all training pairs, which are
+counted before in buckets of their own and added up, so scores do not depend on the number of buckets.
 
 Defined results: null text is read as empty and has only the end token; rows that repeat id and text get the same score and
 count each in training; an empty table gives an empty table; without training rows all words are unknown; extra columns are
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, small_batches, whole_text
+from factloom.llm.common import by_bucket, changes, cut, from_steps, joined, pair_keys, planes, small_batches, steps, whole_text
 
 START, END = (xxhash.xxh64_intdigest(x, 2) for x in (b"start", b"end"))
 #: Largest count that is discounted.
@@ -226,7 +227,34 @@ def packed_pairs(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
     return texts.mapInArrow(run, "bucket int, pack long, blob binary")
 
 
-def evaluate(blobs: list[bytes], words: np.ndarray, counts: np.ndarray, n: int, v: int, unigram: np.ndarray, unknown: float, frequent: np.ndarray) -> tuple[list[bytes], list[tuple[int, bytes]]]:
+def pair_discounts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Discounts of counts 0 to K + 1 of pairs, from the counts of counts of all training pairs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs(batches):
+            first, second, _ = pack.pairs()
+            hashes = pack.hashes()
+            cells, times = np.unique(first * len(hashes) + second, return_counts=True)
+            keys = pair_keys(hashes[cells // len(hashes)], hashes[cells % len(hashes)])
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order].astype(np.uint32)
+            for bucket, i, j in by_bucket(keys, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack_blob([steps(keys[i:j]), planes(times[i:j])])], pa.binary())], ["bucket", "blob"])
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [open_blob(x, "BB") for x in group.column("blob").to_pylist()]
+        keys = np.concatenate([from_steps(x) for x, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        r = np.add.reduceat(np.concatenate([joined(x, np.uint32).astype(np.int64) for _, x in parts])[order], changes(keys[order]))
+        n = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2]
+        return pa.table([pa.array(np.arange(1, K + 2)), pa.array(n)], ["r", "n"])
+
+    counted = texts.where("train").mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(run, "r long, n long")
+    n = {x.r: x.n for x in counted.groupBy("r").agg(F.sum("n").alias("n")).collect()}
+    return np.append(discounts(np.array([n.get(i, 0) for i in range(1, K + 2)])), 1.0)
+
+
+def evaluate(blobs: list[bytes], words: np.ndarray, counts: np.ndarray, n: int, v: int, d: np.ndarray, unigram: np.ndarray, unknown: float, frequent: np.ndarray) -> tuple[list[bytes], list[tuple[int, bytes]]]:
     """Of one bucket: for each pack of documents their packed sums, and for each frequent history (by its place) its packed sums."""
     h_all, w_all, n_all, spans = [], [], [], []
     opened = [open_blob(x, "QIQIIB") for x in blobs]
@@ -249,7 +277,6 @@ def evaluate(blobs: list[bytes], words: np.ndarray, counts: np.ndarray, n: int,
     place = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
     c = np.where(words[place] == w, counts[place], 0) if len(words) else np.zeros(len(w), dtype=np.int64)
     p = np.where(c > 0, unigram[np.minimum(c, K + 1)] * c / max(1, n), unknown)
-    d = np.append(discounts(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2]), 1.0)
     kept = d[np.minimum(r, K + 1)] * r
     seen = r > 0
     count, mass, below = (np.add.reduceat(x.astype(float), heads) for x in (r, kept, np.where(seen, p, 0.0)))
@@ -328,6 +355,7 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
         given *= 1 - 0.5 / train_tokens
     unknown = 1 - given / train_tokens if train_tokens else 1.0
     v = stats["v"]
+    pair_d = pair_discounts(texts, buckets)
     needed = needed_counts(words.where("n > 0"))
     names = ["pack", "kind", "part"]
 
@@ -339,7 +367,7 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
             return pa.table([pa.array(packs_), pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names)
         own = known.column("word").to_numpy().view(np.uint64)
         order = np.argsort(own)
-        sums, stats = evaluate(blobs, own[order], known.column("n").to_numpy()[order], train_tokens, v, d, unknown, frequent)
+        sums, stats = evaluate(blobs, own[order], known.column("n").to_numpy()[order], train_tokens, v, pair_d, d, unknown, frequent)
         return pa.table([pa.array(packs_ + [-1 - i for i, _ in stats], pa.int64()), pa.array([1] * (len(sums) + len(stats)), pa.int32()), pa.array(sums + [x for _, x in stats], pa.binary())], names)
 
     def gather(group: pa.Table) -> pa.Table:

@@ -181,6 +181,23 @@ def test_katz_matches_a_plain_model_that_sums_to_one(spark, size):
         assert abs(got[i] - sum(math.log10(after(h)(w)) for h, w in zip(tokens(t), tokens(t)[1:]))) < 1e-6, (i, t)
 
 
+def test_katz_scores_do_not_depend_on_the_number_of_buckets(spark):
+    """Counts of counts that give proper discounts; the number of buckets changes, the corpus doesn't."""
+    from collections import Counter
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randrange(0, 20))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, i < 120) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    r = Counter(p for t in texts[:120] for p in zip(["<", *t.split()], [*t.split(), ">"]))
+    d = katz.discounts(np.array([list(r.values()).count(i) for i in range(1, katz.K + 2)]))
+    assert (d[1:] < 1).sum() >= 3
+    learned = df.where("train").select(F.col("doc_id").alias("key"), "train", "text")
+    assert np.allclose(katz.pair_discounts(learned, 7)[:-1], d)
+    few, many = ({r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_tokens=size).collect()} for size in (5_000_000, 60))
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-6 for i in few)
+
+
 def test_katz_odd_rows(odd):
     rows = katz.katz_scores(odd, F.col("doc_id") != 5, bucket_tokens=1000).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
