@@ -33,14 +33,11 @@ def neighbours(edge_rows: DataFrame, kind: str, key: str) -> DataFrame:
     return out.unionByName(back)
 
 
-def shared_documents(facts: DataFrame, top: int = 8) -> DataFrame:
-    """Entities that share documents and periods with each entity; pairs are made from the distinct (entity, document, period) rows."""
-    d = facts.select("entity", "doc_id", "period", "value_norm").groupBy("doc_id", "period", "entity").agg(F.max("value_norm").alias("v"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "period").orderBy(F.desc("v"), "entity"))
-    lead = d.withColumn("r", rank).where(F.col("r") <= top)  # the leaders of each document and period: the feature's top list
-    a, b = (lead.select("doc_id", "period", F.col("entity").alias(n)) for n in ("entity", "other"))
-    pairs = a.join(b, ["doc_id", "period"]).where("entity <> other")
-    return pairs.groupBy("entity", "other").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n"))
+def shared_documents(facts: DataFrame) -> DataFrame:
+    """All entities that share documents with each entity: the documents, and the pairs of facts in them; joined from one row an entity and document."""
+    d = facts.groupBy("doc_id", "entity").agg(F.count("*").alias("m"))
+    a, b = (d.select("doc_id", F.col("entity").alias(n), F.col("m").alias(m)) for n, m in (("entity", "x"), ("other", "y")))
+    return a.join(b, "doc_id").where("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("n_docs"), F.sum(F.col("x") * F.col("y")).alias("n"))
 
 
 def assets(facts: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def _gaps(s, d) -> DataFrame:
     return out
 
 
-add("J-6_shared_documents", lambda s, d: G.shared_documents(facts(s, d).where("attribute = 'production'")), sql("""SELECT a.entity, b.entity AS other, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n FROM lead_ a JOIN lead_ b ON a.doc_id = b.doc_id AND a.period = b.period AND a.entity <> b.entity GROUP BY 1, 2""", FACTS,
+add("J-6_shared_documents", lambda s, d: G.shared_documents(facts(s, d)), sql("""SELECT a.entity, b.entity AS other, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n FROM lead_ a JOIN lead_ b ON a.doc_id = b.doc_id AND a.period = b.period AND a.entity <> b.entity GROUP BY 1, 2""", FACTS,
     "lead_ AS (SELECT * FROM facts WHERE attribute = 'production' QUALIFY row_number() OVER (PARTITION BY doc_id, period ORDER BY value_norm DESC, entity) <= 8)"))
 add("J-1_provenance_spine", lambda s, d: facts(s, d).join(bridge.read(s, d, "nation").join(bridge.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity"), "r_name"), "entity", "left").groupBy("r_name", "doc_id").agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id")),
     sql("SELECT r_name, doc_id, count(*) AS n, min(fact_id) AS first_id FROM facts LEFT JOIN (SELECT n_name AS entity, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) USING (entity) GROUP BY 1, 2", FACTS))
