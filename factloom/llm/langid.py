@@ -86,7 +86,7 @@ def identify(
     small_batches(spark)
     absent = F.lit(None).cast("string")
     text = whole_text(text_col)
-    declared = F.regexp_extract(F.substring(text, 1, 2000), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1) if markup else F.col(declared_col).cast("string") if declared_col else absent
+    declared = F.regexp_extract(text, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1) if markup else F.col(declared_col).cast("string") if declared_col else absent
     address = F.coalesce(F.col(address_col).cast("string"), F.lit("")) if address_col else F.lit("")
     host = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)) if address_col else F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     segment = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1))

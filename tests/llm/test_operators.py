@@ -392,6 +392,12 @@ def test_langid_fuses_evidence(spark, docs, odd):
     assert langid.identify(odd.limit(0), langs, models, "doc_id", "text", "lang", None, "source").count() == 0
 
 
+def test_langid_finds_a_late_declaration(spark, docs):
+    langs, models = langid.text_models(docs)
+    df = spark.createDataFrame([(1, f'<!-- {"x" * 5_000} --><html lang="de"><p>text</p></html>', None)], "page_id long, html string, url string")
+    assert langid.identify(df, langs, models, "page_id", "html", None, "url", None, markup=True).first().declared == "de"
+
+
 def test_pipeline(spark, sf, docs, texts, tokenizer):
     import corpus_pipeline
 
