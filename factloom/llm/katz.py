@@ -1,21 +1,23 @@
-"""Language-model scores by a Katz backoff model over words, with Good-Turing discounts.
+"""Language-model scores by a Katz backoff model of order three over words, with Good-Turing discounts.
 
-The model is a bigram model: P(w | h) is d(r) * r / c(h) where the pair was seen r times, else alpha(h) * P(w), and P(w) is d(c) * c / N
-for known words; what those leave is the unknown word's. Discounts come from counts of counts. Alpha is normalised exactly:
-the probabilities after every history sum to one over the known words and the unknown one. A history without mass left to
-give counts one more.
+P(w | g h) is d3(r) * r / c(g h) where the training texts hold the triple r times, else alpha(g h) * P(w | h); P(w | h) is
+d2(r) * r / c(h), else alpha(h) * P(w); P(w) is d1(c) * c / N for known words, and what those leave is the unknown word's.
+Discounts come from the counts of counts of the whole training table. Alpha is normalised exactly: the probabilities after
+every history sum to one over the known words and the unknown one. A history without mass left to give counts one more.
 
-Nothing of the corpus is held whole. Words are numbers (64-bit hashes). Three passes over the texts:
+The tables are partitioned into buckets of bounded size by the middle word of a triple. A bucket so holds all triples,
+pairs and histories of its words and evaluates the recursion by itself. Where a middle word is too frequent for one bucket, its
+triples are dealt by its history pair, and where that is too frequent as well, by the whole triple. What such words and
+histories need from other buckets is additive and small:
 
-1. total tokens, and words frequent enough that their history must be split (each task sends those above a share);
-2. the table of words: training count, and the history buckets in which the word is needed; one row a word;
-3. histories are dealt into buckets of bounded size. A task packs the pairs of many documents for each bucket: distinct pairs
-   once, and the documents they stand in. A bucket's task counts its pairs, joins the words' counts, works out discounts and
-   alphas of its histories and returns a sum for each document.
+1. one pass finds the frequent words and pairs (each task sends those above a share, so their number is bounded by the buckets');
+2. one pass counts words, and pairs after frequent words, and tells each bucket the counts that it needs;
+3. one pass sends packs of distinct triples, with the documents they stand in, to the buckets. The buckets first report their
+   counts of counts and their parts of the frequent histories' sums, then, knowing the totals, evaluate the triples: both from
+   one shuffle. They return a sum for each document that they hold, added up by pack in integers.
 
-A frequent history is split by the following word; its buckets send partial sums, from which its alpha is made, and its
-documents' numbers of seen and unseen pairs. Discounts of pairs come from the counts of counts of all training pairs, which are
-counted before in buckets of their own and added up, so scores do not depend on the number of buckets.
+With ``model_dir`` the buckets also store the model there: ``triples`` (bucket, history pair, word, count, discounted count,
+alpha) as packed columns, one row a bucket. Only the partitioning depends on the sizes; the scores do not.
 
 Defined results: null text is read as empty and has only the end token; rows that repeat id and text get the same score and
 count each in training; an empty table gives an empty table; without training rows all words are unknown; extra columns are
@@ -24,88 +26,37 @@ ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bucket, changes, cut, from_steps, joined, pair_keys, planes, small_batches, steps, whole_text
+from factloom.llm.common import by_bucket, changes, cut, from_steps, pair_keys, ship, small_batches, steps, whole_text
+from factloom.llm.ngrams import Pack, combined, find, fixed, open_blob, pack_blob, packs, small, spans, summed, unfixed, unsmall
 
-START, END = (xxhash.xxh64_intdigest(x, 2) for x in (b"start", b"end"))
 #: Largest count that is discounted.
 K = 5
-#: Words with at least this share of all tokens may be split.
-SHARE = 1 / 20_000
-
-
-class Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-class Packed:
-    """Tokens of several documents: word hashes, and per document its key, whether it is learned from, and its tokens' places."""
-
-    def __init__(self):
-        self.words = Numbers()
-        self.keys: list[int] = []
-        self.train: list[bool] = []
-        self.tokens: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, key: int, train: bool, text: str) -> None:
-        words = text.encode().lower().split()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        self.keys.append(key)
-        self.train.append(train)
-        self.tokens.append(at)
-        self.size += len(at) + 1
-
-    def hashes(self) -> np.ndarray:
-        """Hashes of the numbered words, then the end, then the start."""
-        return np.fromiter(itertools.chain((xxhash.xxh64_intdigest(w, 1) for w in self.words), (END, START)), np.uint64, len(self.words) + 2)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """History number, word number and document number of each token."""
-        n = len(self.words)
-        second = np.concatenate([x for t in self.tokens for x in (t, [n])]).astype(np.int64)
-        ends = np.cumsum([len(t) + 1 for t in self.tokens])
-        first = np.concatenate(([n + 1], second[:-1]))
-        first[ends[:-1]] = n + 1
-        return first, second, np.repeat(np.arange(len(self.tokens)), [len(t) + 1 for t in self.tokens])
-
-
-def packs(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[Packed]:
-    """Documents of a task, about ``size`` tokens at a time."""
-    pack = Packed()
-    for batch in batches:
-        for key, train, text in zip(*(batch.column(c).to_pylist() for c in ("key", "train", "text"))):
-            pack.add(key, train, text)
-            if pack.size >= size:
-                yield pack
-                pack = Packed()
-    if pack.keys:
-        yield pack
-
-
-def buckets_of(first: np.ndarray, second: np.ndarray, hashes: np.ndarray, frequent: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each pair of word numbers: by its history, or by both words where the history is frequent."""
-
-    def deal(h: np.ndarray) -> np.ndarray:
-        return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
-
-    out = deal(hashes)[first]
-    split = np.isin(hashes, frequent)[first]
-    if split.any():
-        out[split] = deal((hashes[first[split]] ^ hashes[second[split]] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread numbers from hashes."""
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def buckets_of(g: np.ndarray, h: np.ndarray, w: np.ndarray, words: np.ndarray, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each triple of word numbers: by its middle word, by its history where that is frequent, by all of it where that is too."""
+    deal = lambda x: (mixed(x) >> np.uint64(33)).astype(np.int64) % buckets
+    out = deal(words)[h]
+    hot = np.flatnonzero(np.isin(words, often)[h])
+    if len(hot):
+        history = pair_keys(words[g[hot]], words[h[hot]])
+        out[hot] = deal(history)
+        hotter = np.isin(history, often_pairs)
+        out[hot[hotter]] = deal(pair_keys(history[hotter], words[w[hot[hotter]]]))
     return out
 
 
@@ -124,269 +75,349 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_blob(parts: list[np.ndarray]) -> bytes:
-    head = np.array([x.nbytes for x in parts], dtype=np.int64).tobytes()
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return squeeze(head + b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
+def by_count(place: np.ndarray, r: np.ndarray, many: int) -> np.ndarray:
+    """For each place, how many of its counts are 1..K, and the sum of those above: a discounted mass is linear in these."""
+    out = np.zeros((many, K + 1))
+    np.add.at(out, (place, np.minimum(r, K + 1) - 1), np.where(r > K, r, 1))
+    return out
 
 
-def open_blob(raw: bytes, kinds: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    sizes = np.frombuffer(data, np.int64, len(kinds))
-    ends = np.cumsum(sizes) + 8 * len(kinds)
-    code = {"Q": np.uint64, "q": np.int64, "I": np.uint32, "B": np.uint8, "d": np.float64}
-    return [np.frombuffer(data, code[k], int(n) // np.dtype(code[k]).itemsize, int(e - n)) for k, n, e in zip(kinds, sizes, ends)]
+def mass_of(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return counts[:, :K] @ (d[1 : K + 1] * np.arange(1, K + 1)) + counts[:, K]
 
 
-def frequent_words(texts: DataFrame) -> tuple[int, int, dict[int, int]]:
-    """All tokens, training tokens, and a bounded table of frequent words: hash to number of tokens, as a history."""
+def count_of(counts: np.ndarray) -> np.ndarray:
+    return counts[:, :K] @ np.arange(1, K + 1) + counts[:, K]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in packs(batches):
-            first, _, doc = pack.pairs()
-            n = np.bincount(first, minlength=len(pack.words) + 2)
-            at = np.flatnonzero(n >= max(2.0, SHARE / 2 * len(first)))
-            learned = int(np.asarray(pack.train)[doc].sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, None, *pack.hashes()[at].view(np.int64).tolist()], pa.int64()), pa.array([len(first), learned, *n[at].tolist()], pa.int64()), pa.array([0, 1, *[2] * len(at)], pa.int32())], ["word", "n", "kind"]
-            )
 
-    rows = texts.mapInArrow(run, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    totals = {r.kind: r.n for r in rows.where("kind < 2").collect()}
-    limit = SHARE * totals.get(0, 0)
-    return totals.get(0, 0), totals.get(1, 0), {r.word: r.n for r in rows.where((F.col("kind") == 2) & (F.col("n") >= limit)).collect()}
+def weights(count: np.ndarray, mass: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total of each history (one more where nothing is left) and its backoff weight; one where it was never seen."""
+    total = np.maximum(np.where(mass < count * (1 - 1e-12), count, count + 1), 1)
+    return total, np.where(count > 0, np.maximum((1 - mass / total) / np.maximum(1 - below, 1e-300), 1e-300), 1.0)
+
+
+class Words:
+    """The model of single words: probabilities by count."""
+
+    def __init__(self, n: int, v: int, counts_of_counts: np.ndarray, given_above: int):
+        d = np.append(discounts(counts_of_counts), 1.0)
+        given = float(counts_of_counts[:K] @ (d[1 : K + 1] * np.arange(1, K + 1)) + given_above)
+        if n and given >= n * (1 - 1e-12):  # nothing left for the unknown word
+            d = d * (1 - 0.5 / n)
+            given *= 1 - 0.5 / n
+        self.n, self.v, self.d = n, v, d
+        self.unknown = 1 - given / n if n else 1.0
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.d[np.minimum(c, K + 1)] * c / max(1, self.n), self.unknown)
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
+
 
+def triples_of(pack: Pack) -> tuple[np.ndarray, ...]:
+    return pack.before(2), pack.before(1), pack.tokens
 
-def word_table(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``word, part, n, mask``: training tokens of each word, and in which of the 64 history buckets of the part it is needed."""
+
+def frequent(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of all pairs, that are histories of half a bucket's tokens or more (and of some less frequent ones)."""
+    share = 0.25 / buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in packs(batches):
-            first, second, doc = pack.pairs()
-            hashes = pack.hashes()
-            learned = np.asarray(pack.train)[doc]
-            counts = np.bincount(second, learned, len(hashes)).astype(np.int64)
-            where = buckets_of(first, second, hashes, frequent, buckets)
-            cells = np.unique(second * buckets + where)
-            word, bucket = cells // buckets, cells % buckets
-            part = bucket // 64
-            starts = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (part[1:] != part[:-1]))))
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (bucket % 64).astype(np.uint64), starts)
-            lead = np.concatenate(([True], word[starts][1:] != word[starts][:-1]))  # counts go with a word's first row
+        for pack in packs(batches, "train"):
+            g, h, _ = triples_of(pack)
+            least = max(2.0, share * len(h))
+            n = np.bincount(h, minlength=len(pack.words))
+            at = np.flatnonzero(n >= least)
+            some = np.isin(h, at)
+            pair, many = np.unique(g[some] * len(pack.words) + h[some], return_counts=True)
+            pair, many = pair[many >= least], many[many >= least]
+            keys = np.concatenate((pack.words[at], pair_keys(pack.words[pair // len(pack.words)], pack.words[pair % len(pack.words)])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[word[starts]].view(np.int64)), pa.array(part[starts].astype(np.int32)), pa.array(np.where(lead, counts[word[starts]], 0)), pa.array(mask.view(np.int64))], ["word", "part", "n", "mask"]
+                [pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[at].tolist(), *many.tolist()], pa.int64()), pa.array([0, *[1] * len(at), *[2] * len(pair)], pa.int32())], ["word", "n", "kind"]
             )
 
-    parts = texts.mapInArrow(run, "word long, part int, n long, mask long").groupBy("word", "part").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
-    if buckets <= 64:
-        return parts.select("word", "n", F.array(F.struct("part", "mask")).alias("parts"))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "mask")).alias("parts"))  # at most buckets / 64 a word
-
+    if buckets == 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sums = texts.mapInArrow(run, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("kind") == 0, F.col("n")))
+    rows = sums.where(F.col("kind") == 0).agg(total.alias("total")).join(sums.where(F.col("kind") > 0)).where(F.col("n") >= share * F.col("total")).select("kind", "word").collect()  # at most 4 * buckets of a kind
+    return tuple(np.array(sorted(np.array([r.word for r in rows if r.kind == k], dtype=np.int64).view(np.uint64)), dtype=np.uint64) for k in (1, 2))
 
-def needed_counts(words: DataFrame) -> DataFrame:
-    """``bucket, word, n``: the words' counts, once for each bucket that needs them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = batch.column("mask").to_numpy()
-            row, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            part, word, n = (batch.column(c).to_numpy()[row] for c in ("part", "word", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array((part * 64 + bit).astype(np.int32)), pa.array(word), pa.array(n)], ["bucket", "word", "n"])
+def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> DataFrame:
+    """``bucket, kind, blob, stats``: counts of the words (kind 0) and of the pairs after frequent words (kind 1) that each bucket needs.
 
-    flat = words.select("word", "n", F.explode("parts").alias("p")).select("word", "n", "p.part", "p.mask")
-    return flat.mapInArrow(run, "bucket int, word long, n long")
+    A key's first bucket is marked as its owner, so that it is reported once. Rows with a null bucket hold statistics of words:
+    counts of counts, the sum of those above K, words seen, tokens.
+    """
+    groups = max(1, buckets // 2)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs(batches, "train"):
+            g, h, w = triples_of(pack)
+            where = buckets_of(g, h, w, pack.words, often, often_pairs, buckets)
+            learned = pack.marks[pack.doc].astype(np.int64)
+            hot = np.flatnonzero(np.isin(pack.words, often)[h])
+            for kind, own, at, keys in ((0, w, slice(None), pack.words), (1, h[hot] * len(pack.words) + w[hot], hot, None)):
+                if keys is None:
+                    own, back = np.unique(own, return_inverse=True)
+                    keys = pair_keys(pack.words[own // len(pack.words)], pack.words[own % len(pack.words)])
+                    order = np.argsort(keys)
+                    keys, own = keys[order], np.argsort(order)[back]
+                n = np.bincount(own, learned[at], len(keys)).astype(np.int64)
+                cells = np.unique(own * buckets + where[at])
+                key, bucket = cells // buckets, cells % buckets
+                some = changes(key)
+                keys, n, sizes = keys[key[some]], n[key[some]], np.diff(np.append(some, len(key)))
+                for group, i, j in by_bucket(keys, groups):
+                    blob = pack_blob([steps(keys[i:j]), small(n[i:j]), small(sizes[i:j]), small(bucket[spans(sizes[i:j], some[i:j])])])
+                    yield pa.RecordBatch.from_arrays([pa.array([group + groups * kind], pa.int32()), pa.array([blob], pa.binary())], ["group", "blob"])
 
-def packed_pairs(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``bucket, pack, blob``: pairs of many documents with the documents they stand in; bucket ``buckets`` gets the documents' keys."""
+    def gather(group: pa.Table) -> pa.Table:
+        kind = int(group.column("group")[0].as_py() >= groups)
+        parts = [open_blob(x, "BBBB") for x in group.column("blob").to_pylist()]
+        keys = [from_steps(x[0]) for x in parts]
+        own, n = summed(np.concatenate(keys), np.concatenate([unsmall(x[1]) for x in parts]))
+        cells = np.unique(np.concatenate([find(own, np.repeat(k, unsmall(x[2])))[0] * buckets + unsmall(x[3]) for k, x in zip(keys, parts)]))
+        key, bucket = cells // buckets, cells % buckets
+        owner = np.zeros(len(key), dtype=np.int64)
+        owner[changes(key)] = 1
+        order = np.argsort(bucket, kind="stable")
+        heads = changes(bucket[order])
+        out = []
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+            at = order[i:j]
+            out.append((int(bucket[at[0]]), kind, pack_blob([steps(own[key[at]]), small(n[key[at]]), small(owner[at])]), None))
+        if not kind:
+            seen = n[n > 0]
+            out.append((None, kind, None, [*np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(seen[seen > K].sum()), len(seen), int(seen.sum())]))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["bucket", "kind", "blob", "stats"])
+
+    return texts.mapInArrow(run, "group int, blob binary").groupBy("group").applyInArrow(gather, "bucket int, kind int, blob binary, stats array<long>")
+
+
+def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> DataFrame:
+    """``bucket, pack, blob``: distinct triples of many documents with the documents they stand in; bucket ``-1`` gets the documents' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in packs(batches):
-            first, second, doc = pack.pairs()
-            hashes = pack.hashes()
-            order = np.argsort(first * len(hashes) + second, kind="stable")  # documents of a pair stay in order
-            first, second, doc = first[order], second[order], doc[order]
-            starts = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-            sizes = np.diff(np.append(starts, len(first)))
-            a, b = first[starts], second[starts]
-            where = buckets_of(a, b, hashes, frequent, buckets)
+        row = lambda bucket, name, blob: pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "pack", "blob"])
+        for pack in packs(batches, "train"):
+            g, h, w = triples_of(pack)
+            key = combined([h, g, w], len(pack.words))
+            order = np.argsort(key, kind="stable")  # documents of a triple stay in order
+            key, doc = key[order], pack.doc[order]
+            cells = changes(key, doc)
+            heads = changes(key[cells])
+            times = np.diff(np.append(cells, len(key)))
+            sizes = np.diff(np.append(heads, len(cells)))
+            doc = doc[cells]
+            n = np.add.reduceat(np.where(pack.marks[doc], times, 0), heads)
+            token = order[cells[heads]]
+            g, h, w = g[token], h[token], w[token]
+            del key, order, token
+            where = buckets_of(g, h, w, pack.words, often, often_pairs, buckets)
             by = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[by], np.arange(buckets + 1))
-            keys, train = np.array(pack.keys, dtype=np.int64), np.array(pack.train, dtype=np.uint8)
-            name = xxhash.xxh64_intdigest(keys.tobytes(), len(first)) >> 1
-            yield pa.RecordBatch.from_arrays([pa.array([buckets], pa.int32()), pa.array([name], pa.int64()), pa.array([pack_blob([keys])], pa.binary())], ["bucket", "pack", "blob"])
-            for bucket in range(buckets):
-                own = by[cuts[bucket] : cuts[bucket + 1]]
-                if not len(own):
-                    continue
-                heads = np.flatnonzero(np.concatenate(([True], a[own][1:] != a[own][:-1])))
-                places = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(sizes[own])[:-1])), sizes[own]) + np.arange(sizes[own].sum())
-                blob = pack_blob([hashes[a[own][heads]], np.diff(np.append(heads, len(own))).astype(np.uint32), hashes[b[own]], sizes[own].astype(np.uint32), doc[places].astype(np.uint32), train])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "pack", "blob"])
+            starts = changes(where[by])
+            yield row(-1 - pack.name % buckets, pack.name, pack_blob([pack.keys, small(pack.sizes)]))
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
+                own = by[i:j]
+                places = spans(sizes[own], heads[own])
+                used, at = np.unique(np.concatenate((h[own], g[own], w[own])), return_inverse=True)
+                h_, g_, w_ = at.reshape(3, -1)
+                parts = [steps(pack.words[used]), small(np.diff(h_, prepend=0)), small(g_), small(w_), small(n[own]), small(sizes[own]), small(doc[places]), small(times[places])]
+                yield row(int(where[own[0]]), pack.name, pack_blob(parts))
 
     return texts.mapInArrow(run, "bucket int, pack long, blob binary")
 
 
-def pair_discounts(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Discounts of counts 0 to K + 1 of pairs, from the counts of counts of all training pairs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in packs(batches):
-            first, second, _ = pack.pairs()
-            hashes = pack.hashes()
-            cells, times = np.unique(first * len(hashes) + second, return_counts=True)
-            keys = pair_keys(hashes[cells // len(hashes)], hashes[cells % len(hashes)])
-            order = np.argsort(keys)
-            keys, times = keys[order], times[order].astype(np.uint32)
-            for bucket, i, j in by_bucket(keys, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack_blob([steps(keys[i:j]), planes(times[i:j])])], pa.binary())], ["bucket", "blob"])
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = [open_blob(x, "BB") for x in group.column("blob").to_pylist()]
-        keys = np.concatenate([from_steps(x) for x, _ in parts])
-        order = np.argsort(keys, kind="stable")
-        r = np.add.reduceat(np.concatenate([joined(x, np.uint32).astype(np.int64) for _, x in parts])[order], changes(keys[order]))
-        n = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2]
-        return pa.table([pa.array(np.arange(1, K + 2)), pa.array(n)], ["r", "n"])
-
-    counted = texts.where("train").mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(run, "r long, n long")
-    n = {x.r: x.n for x in counted.groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    return np.append(discounts(np.array([n.get(i, 0) for i in range(1, K + 2)])), 1.0)
-
-
-def evaluate(blobs: list[bytes], words: np.ndarray, counts: np.ndarray, n: int, v: int, d: np.ndarray, unigram: np.ndarray, unknown: float, frequent: np.ndarray) -> tuple[list[bytes], list[tuple[int, bytes]]]:
-    """Of one bucket: for each pack of documents their packed sums, and for each frequent history (by its place) its packed sums."""
-    h_all, w_all, n_all, spans = [], [], [], []
-    opened = [open_blob(x, "QIQIIB") for x in blobs]
-    for heads, many, second, sizes, local, train in opened:
-        h_all.append(np.repeat(heads, many))
-        w_all.append(second)
-        n_all.append(np.add.reduceat(train[local].astype(np.int64), np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))))
-        spans.append(len(second))
-    h, w, learned = np.concatenate(h_all), np.concatenate(w_all), np.concatenate(n_all)
-    order = np.lexsort((w, h))
-    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
-    pair = np.empty(len(h), dtype=np.int64)
-    pair[order] = np.cumsum(new) - 1
-    firsts = np.flatnonzero(new)
-    r = np.add.reduceat(learned[order], firsts)
-    h, w = h[order][firsts], w[order][firsts]
-    del order, learned
-    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    span = np.diff(np.append(heads, len(h)))
-    place = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-    c = np.where(words[place] == w, counts[place], 0) if len(words) else np.zeros(len(w), dtype=np.int64)
-    p = np.where(c > 0, unigram[np.minimum(c, K + 1)] * c / max(1, n), unknown)
-    kept = d[np.minimum(r, K + 1)] * r
-    seen = r > 0
-    count, mass, below = (np.add.reduceat(x.astype(float), heads) for x in (r, kept, np.where(seen, p, 0.0)))
-    count_of = lambda total, given: np.where(given < total * (1 - 1e-12), total, total + 1)  # noqa: E731  one more where nothing is left
-    total = count_of(count, mass)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(count > 0, (1 - mass / np.maximum(total, 1)) / np.maximum(1 - below, 1e-300), 1.0)
-        per = lambda x: np.repeat(x, span)
-        split = per(np.isin(h[heads], frequent))
-        score = np.where(seen, np.log10(kept), np.log10(p)) + np.where(split, 0.0, np.where(seen, -np.log10(np.maximum(per(total), 1)), np.log10(np.maximum(per(alpha), 1e-300))))
-    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    sums, stats = [], []
-    at = 0
-    for (_, _, _, sizes, local, train), m in zip(opened, spans):
-        of = np.repeat(pair[at : at + m], sizes)
-        at += m
-        k = len(train)
-        dense = [np.bincount(local, x[of], k) for x in (score, base)]
-        known = np.bincount(local, c[of] > 0, k).astype(np.uint32)
-        some = split[of]
-        cells, back = np.unique(local[some].astype(np.int64) * max(1, len(frequent)) + np.searchsorted(frequent, h[of[some]]), return_inverse=True)
-        pairs = [np.bincount(back, x, len(cells)).astype(np.uint32) for x in (seen[of[some]], ~seen[of[some]])]
-        sums.append(pack_blob([*dense, known, cells, *pairs]))
-    big = np.flatnonzero(np.isin(h[heads], frequent))
-    for i, place_ in zip(big.tolist(), np.searchsorted(frequent, h[heads][big]).tolist()):
-        stats.append((place_, pack_blob([np.array([count[i], mass[i], below[i]])])))
-    return sums, stats
-
-
-def finished(key: int, parts: list[bytes], keys: list[bytes], many: int) -> list[tuple]:
-    """Rows of one group: of a pack each document's sums with its frequent histories, or of a frequent history its logarithms.
-
-    A row is (document key, score, base, known, history places, seen, unseen), or (null, log10 of the count, log10 of alpha, null, [place], [], []).
-    """
-    if key < 0:
-        count, mass, below = np.sum([open_blob(x, "d")[0] for x in parts], axis=0)
-        total = count if mass < count * (1 - 1e-12) else count + 1
-        alpha = max((1 - mass / total) / max(1 - below, 1e-300), 1e-300) if count > 0 else 1.0
-        return [(None, float(np.log10(total)), float(np.log10(alpha)), None, [-1 - key], [], [])]
-    docs = open_blob(keys[0], "q")[0]
-    sums = np.zeros((3, len(docs)))
-    cells, seen, unseen = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
-    for x in parts:
-        score, base, known, at, s, u = open_blob(x, "ddIqII")
-        sums += (score, base, known)
-        cells.append(at)
-        seen.append(s)
-        unseen.append(u)
-    at, back = np.unique(np.concatenate(cells), return_inverse=True)
-    seen, unseen = (np.bincount(back, np.concatenate(x), len(at)).astype(np.int64) for x in (seen, unseen))
-    cuts = np.searchsorted(at, np.arange(len(docs) + 1) * max(1, many))
-    place = at % max(1, many)
-    return [(int(d), sums[0, i], sums[1, i], int(sums[2, i]), place[a:b].tolist(), seen[a:b].tolist(), unseen[a:b].tolist()) for i, (d, a, b) in enumerate(zip(docs, cuts, cuts[1:]))]
-
-
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", bucket_tokens: int = 2_500_000) -> DataFrame:
+class Bucket:
+    """Merged triples, pairs and histories of one bucket."""
+
+    def __init__(self, blobs: list[bytes], lower: list[tuple[int, bytes]], often: np.ndarray, often_pairs: np.ndarray):
+        opened = [open_blob(x, "B" * 8) for x in blobs]
+        dictionaries = [from_steps(x[0]) for x in opened]
+        self.words = np.unique(np.concatenate(dictionaries))
+        many = len(self.words)
+        places = [np.searchsorted(self.words, d) for d in dictionaries]
+        h, g, w = (np.concatenate([p[f(unsmall(x[i]))] for p, x in zip(places, opened)]) for i, f in ((1, np.cumsum), (2, np.asarray), (3, np.asarray)))
+        key = combined([h, g, w], many)
+        order = np.argsort(key, kind="stable")
+        at = changes(key[order])
+        back = np.empty(len(key), dtype=np.int64)
+        back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+        self.r = np.add.reduceat(np.concatenate([unsmall(x[4]) for x in opened])[order], at)
+        self.h, self.g, self.w = (x[order[at]] for x in (h, g, w))
+        cuts = np.cumsum([0, *(len(x[4]) // 4 for x in opened)])
+        #: For each pack: the triple of each cell, the cell's document and how often it stands there.
+        self.cells = [(np.repeat(back[i:j], unsmall(x[5])), unsmall(x[6]), unsmall(x[7])) for x, i, j in zip(opened, cuts, cuts[1:])]
+        del key, order, back, h, g, w
+        self.heads = changes(self.h, self.g)  # histories of two words
+        self.history = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.h))))
+        pair, self.pair = np.unique(self.h * many + self.w, return_inverse=True)
+        self.pair_h, self.pair_w = pair // many, pair % many
+        self.c = np.zeros(many, dtype=np.int64)
+        counted: list[list[np.ndarray]] = [[], []]
+        for kind, blob in lower:
+            counted[kind].append([from_steps(x) if i == 0 else unsmall(x) for i, x in enumerate(open_blob(blob, "BBB"))])
+        for keys, n, _ in counted[0]:
+            at, there = find(self.words, keys)
+            self.c[at[there]] = n[there]
+        self.r2 = np.bincount(self.pair, self.r, len(pair)).astype(np.int64)
+        self.owned = np.ones(len(pair), dtype=bool)
+        self.hot_place, hot = find(often, self.words)
+        self.hot = hot
+        split = np.flatnonzero(hot[self.pair_h])
+        if len(split):
+            keys = pair_keys(self.words[self.pair_h[split]], self.words[self.pair_w[split]])
+            own, n, owner = (np.concatenate([x[i] for x in counted[1]]) for i in range(3))
+            by = np.argsort(own)
+            at = by[np.searchsorted(own[by], keys)]
+            self.r2[split], self.owned[split] = n[at], owner[at] > 0
+        self.history_place, self.history_hot = find(often_pairs, pair_keys(self.words[self.g[self.heads]], self.words[self.h[self.heads]]))
+        self.history_hot &= hot[self.h[self.heads]]
+
+    def statistics(self, words: Words) -> list[tuple[int, int, list[float]]]:
+        """``kind, place, numbers``: counts of counts of pairs (0) and triples (1); parts of frequent words' (2) and histories' (3) sums."""
+        coc = lambda r: np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].astype(float).tolist()
+        out = [(0, 0, coc(self.r2[self.owned])), (1, 0, coc(self.r))]
+        at = np.flatnonzero(self.hot[self.pair_h] & self.owned & (self.r2 > 0))
+        place, where = np.unique(self.hot_place[self.pair_h[at]], return_inverse=True)
+        sums = np.column_stack([by_count(where, self.r2[at], len(place)), np.bincount(where, words.p(self.c[self.pair_w[at]]), len(place))])
+        out += [(2, p, x) for p, x in zip(place.tolist(), sums.tolist())]
+        at = np.flatnonzero(self.history_hot[self.history] & (self.r > 0))
+        place, where = np.unique(self.history_place[self.history[at]], return_inverse=True)
+        sums = np.column_stack([by_count(where, self.r[at], len(place)), by_count(where, self.r2[self.pair[at]], len(place))])
+        return out + [(3, p, x) for p, x in zip(place.tolist(), sums.tolist())]
+
+    def evaluate(self, words: Words, d2: np.ndarray, d3: np.ndarray, often: np.ndarray, often_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """log10 P of each triple, log10 of the base model for each word, and the model's columns."""
+        many = len(self.words)
+        p1 = words.p(self.c)
+        seen = self.r2 > 0
+        kept = d2[np.minimum(self.r2, K + 1)] * self.r2
+        sums = [np.bincount(self.pair_h, x, many) for x in (self.r2, kept, np.where(seen, p1[self.pair_w], 0.0))]
+        if len(often):
+            of = often[self.hot_place[self.hot]]
+            for x, y in zip(sums, (count_of(of), mass_of(of, d2), of[:, K + 1])):
+                x[self.hot] = y
+        total, alpha1 = weights(*sums)
+        p2 = np.where(seen, kept / total[self.pair_h], alpha1[self.pair_h] * p1[self.pair_w])
+        seen = self.r > 0
+        kept = d3[np.minimum(self.r, K + 1)] * self.r
+        sums = [np.bincount(self.history, x, len(self.heads)) for x in (self.r, kept, np.where(seen, p2[self.pair], 0.0))]
+        if self.history_hot.any():
+            of = often_pairs[self.history_place[self.history_hot]]
+            for x, y in zip(sums, (count_of(of), mass_of(of, d3), mass_of(of[:, K + 1 :], d2) / total[self.h[self.heads]][self.history_hot])):
+                x[self.history_hot] = y
+        total, alpha = weights(*sums)
+        p = np.where(seen, kept / total[self.history], alpha[self.history] * p2[self.pair])
+        model = [self.words, small(np.diff(self.h[self.heads], prepend=0)), small(self.g[self.heads]), small(np.diff(np.append(self.heads, len(self.h)))), small(self.w), small(self.r), d3[1:], alpha]
+        return np.log10(np.maximum(p, 1e-300)), words.base(self.c), model
+
+    def sums(self, score: np.ndarray, base: np.ndarray) -> Iterator[bytes]:
+        """For each pack its documents here, with their sums."""
+        known = self.c > 0
+        for triple, doc, times in self.cells:
+            there, at = np.unique(doc, return_inverse=True)
+            w = self.w[triple]
+            yield pack_blob([small(there), *(fixed(np.bincount(at, x * times, len(there))) for x in (score[triple], base[w])), small(np.bincount(at, known[w] * times, len(there)))])
+
+
+def added(keys: bytes, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of one pack: each document's key, tokens, score and base score in fine integers, and known tokens."""
+    key, sizes = open_blob(keys, "qB")
+    out = np.zeros((3, len(key)), dtype=np.int64)
+    for raw in parts:
+        there, score, base, known = open_blob(raw, "BBBB")
+        out[:, unsmall(there)] += (unfixed(score), unfixed(base), unsmall(known))
+    return key, unsmall(sizes), *out
+
+
+def stored_model(spark, model_dir: str) -> DataFrame:
+    """``bucket, first, second, word, n, discounted, alpha`` of a stored model: hashes of a triple's words, its counts, its history's weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, raw in zip(batch.column("pack").to_pylist(), batch.column("part").to_pylist()):
+                words, h, g, sizes, w, r, kept, alpha = open_blob(raw, "QBBBBBdd")
+                sizes = unsmall(sizes)
+                columns = [np.repeat(words[np.cumsum(unsmall(h))], sizes), np.repeat(words[unsmall(g)], sizes), words[unsmall(w)]]
+                r = unsmall(r)
+                out = [np.full(len(r), bucket), columns[1].view(np.int64), columns[0].view(np.int64), columns[2].view(np.int64), r, np.append(0.0, kept)[np.minimum(r, K + 1)] * r, np.repeat(alpha, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["bucket", "first", "second", "word", "n", "discounted", "alpha"])
+
+    table = spark.read.schema("pack long, part binary, kind int").parquet(model_dir).where("kind = 2").select("pack", "part")
+    return table.mapInArrow(run, "bucket long, first long, second long, word long, n long, discounted double, alpha double")
+
+
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", bucket_chars: int = 15_000_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
     """
     spark = docs.sparkSession
+    ship(spark)
     small_batches(spark)
     text = whole_text(text_col)
     learn = F.coalesce(train, F.lit(False))
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), learn.alias("train"), text.alias("text"))
-    tokens, train_tokens, often = frequent_words(texts)
-    buckets = max(1, -(-tokens // bucket_tokens))
-    frequent = np.array(sorted(np.array([w for w, n in often.items() if 2 * buckets * n >= tokens], dtype=np.int64).view(np.uint64)), dtype=np.uint64)
-    words = cut(word_table(texts, frequent, buckets), "words")
-    stats = words.agg(F.count_if(F.col("n") > 0).alias("v"), *(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, K + 2))).first()
-    d = np.append(discounts(np.array([stats[f"n{i}"] for i in range(1, K + 2)])), 1.0)
-    discounted = F.element_at(F.array(*map(F.lit, d[1:].tolist())), F.least(F.col("n"), F.lit(K + 1)).cast("int")) * F.col("n")
-    given = words.where("n > 0").agg(F.sum(discounted).alias("x")).first().x or 0.0
-    if train_tokens and given >= train_tokens * (1 - 1e-12):  # nothing left for the unknown word
-        d = d * (1 - 0.5 / train_tokens)
-        given *= 1 - 0.5 / train_tokens
-    unknown = 1 - given / train_tokens if train_tokens else 1.0
-    v = stats["v"]
-    pair_d = pair_discounts(texts, buckets)
-    needed = needed_counts(words.where("n > 0"))
-    names = ["pack", "kind", "part"]
-
-    def run(pairs: pa.Table, known: pa.Table) -> pa.Table:
-        if not pairs.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())], names)
-        blobs, packs_ = pairs.column("blob").to_pylist(), pairs.column("pack").to_pylist()
-        if pairs.column("bucket")[0].as_py() == buckets:  # the documents' keys
-            return pa.table([pa.array(packs_), pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names)
-        own = known.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(own)
-        sums, stats = evaluate(blobs, own[order], known.column("n").to_numpy()[order], train_tokens, v, pair_d, d, unknown, frequent)
-        return pa.table([pa.array(packs_ + [-1 - i for i, _ in stats], pa.int64()), pa.array([1] * (len(sums) + len(stats)), pa.int32()), pa.array(sums + [x for _, x in stats], pa.binary())], names)
+    row_key = F.xxhash64(F.col(id_col).cast("string"), text)
+    texts = docs.select(row_key.alias("key"), learn.alias("train"), text.alias("text"))
+    buckets = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // bucket_chars
+    often, often_pairs = frequent(texts, buckets)
+    lower = cut(lower_counts(texts, often, often_pairs, buckets), "lower")
+    stats = lower.where("bucket is null").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 4))).first()
+    numbers = np.array([x or 0 for x in stats])
+    words = Words(int(numbers[K + 3]), int(numbers[K + 2]), numbers[: K + 1], int(numbers[K + 1]))
+    triples = packed_triples(texts, often, often_pairs, buckets).repartition(buckets, "bucket")
+    needed = lower.where("bucket is not null").select("bucket", "kind", "blob", F.lit(None).cast("array<struct<kind:int,place:long,x:array<double>>>").alias("totals"))
+
+    def merged(own: pa.Table, needed: pa.Table) -> Bucket:
+        lower = [(k, b) for k, b in zip(needed.column("kind").to_pylist(), needed.column("blob").to_pylist()) if k < 2]
+        return Bucket(own.column("blob").to_pylist(), lower, often, often_pairs)
+
+    def report(own: pa.Table, needed: pa.Table) -> pa.Table:
+        rows = merged(own, needed).statistics(words) if own.num_rows and own.column("bucket")[0].as_py() >= 0 else []
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "place", "x"])
+
+    reported = triples.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(report, "kind int, place long, x array<double>")
+    width = 2 * K + 2
+    each = reported.groupBy("kind", "place").agg(F.array(*(F.sum(F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))) for i in range(width))).alias("x"))
+    totals = each.agg(F.collect_list(F.struct("kind", "place", "x")).alias("totals"))  # one row; at most 8 * buckets entries
+    everywhere = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob")).join(F.broadcast(totals))
+
+    def run(own: pa.Table, needed: pa.Table) -> pa.Table:
+        out: list[tuple[int | None, int, bytes]] = []
+        if own.num_rows:
+            names, bucket = own.column("pack").to_pylist(), own.column("bucket")[0].as_py()
+            if bucket < 0:  # the documents' keys
+                out = [(n, 0, b) for n, b in zip(names, own.column("blob").to_pylist())]
+            else:
+                coc, hot = [np.zeros(K + 1)] * 2, [np.zeros((len(often), K + 2)), np.zeros((len(often_pairs), 2 * K + 2))]
+                for r in next(x for x in needed.column("totals").to_pylist() if x is not None):
+                    if r["kind"] < 2:
+                        coc[r["kind"]] = np.array(r["x"][: K + 1])
+                    else:
+                        hot[r["kind"] - 2][r["place"]] = r["x"][: hot[r["kind"] - 2].shape[1]]
+                b = merged(own, needed)
+                score, base, model = b.evaluate(words, *(np.append(discounts(n), 1.0) for n in coc), *hot)
+                out = [(n, 1, s) for n, s in zip(names, b.sums(score, base))]
+                if model_dir:
+                    out.append((bucket, 2, pack_blob(model)))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["pack", "kind", "part"])
+
+    evaluated = triples.groupBy("bucket").cogroup(needed.unionByName(everywhere).groupBy("bucket")).applyInArrow(run, "pack long, kind int, part binary")
+    if model_dir:
+        evaluated.write.partitionBy("kind").mode("overwrite").parquet(model_dir)
+        evaluated = spark.read.schema("pack long, kind int, part binary").parquet(model_dir).where("kind < 2")
 
     def gather(group: pa.Table) -> pa.Table:
         kinds, parts = group.column("kind").to_pylist(), group.column("part").to_pylist()
-        out = finished(group.column("pack")[0].as_py(), [x for k, x in zip(kinds, parts) if k], [x for k, x in zip(kinds, parts) if not k], len(frequent))
-        types = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "score", "base", "known", "places", "seen", "unseen"])
-
-    evaluated = packed_pairs(texts, frequent, buckets).groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(run, "pack long, kind int, part binary")
-    per = cut(evaluated.groupBy("pack").applyInArrow(gather, "key long, score double, base double, known long, places array<long>, seen array<long>, unseen array<long>"), "sums")
-    logs = {r.places[0]: (r.score, r.base) for r in per.where("key is null").collect()}  # at most 2 * buckets rows
-    lc, la = (F.array(*(F.lit(float(logs.get(i, (0.0, 0.0))[j])) for i in range(max(1, len(frequent))))) for j in (0, 1))
-    take = lambda n, table: F.aggregate(F.zip_with("places", n, lambda i, k: k * F.get(table, i.cast("int"))), F.lit(0.0), lambda x, y: x + y)
-    more = take("unseen", la) - take("seen", lc)
-    scores = per.where("key is not null").select("key", (F.col("score") + more).alias("score"), "base", "known").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("score", "base", "known")))
-    size = F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), ""))
-    rows = docs.select(F.col(id_col), (~learn).alias("held_out"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), (size + 1).cast("long").alias("n_tokens"))
-    times = rows.groupBy("key").agg(F.count("*").alias("times"))
-    return rows.join(scores.join(times, "key"), "key").select(
-        id_col, "held_out", "n_tokens", (F.col("known") / F.col("times")).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
-    )
+        columns = added(next(x for k, x in zip(kinds, parts) if not k), [x for k, x in zip(kinds, parts) if k])
+        return pa.table([pa.array(x) for x in columns], ["key", "n_tokens", "score", "base", "known"])
+
+    sums = evaluated.groupBy("pack").applyInArrow(gather, "key long, n_tokens long, score long, base long, known long")
+    per = sums.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_tokens", "score", "base", "known")))  # rows that repeat id and text have equal sums
+    rows = docs.select(F.col(id_col), (~learn).alias("held_out"), row_key.alias("key"))
+    log = lambda c: F.col(c) / F.lit(float(1 << 32))
+    return rows.join(per, "key").select(id_col, "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(words.n).cast("long").alias("train_tokens"), log("base").alias("base_score"), log("score").alias("score"))

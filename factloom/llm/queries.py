@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ship
+from factloom.llm.common import shared_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.katz import katz_scores
 
-    return katz_scores(table(spark, sf_dir, "documents"), fold() != 1)
+    return katz_scores(table(spark, sf_dir, "documents"), fold() != 1, model_dir=f"{shared_dir(spark)}/factloom-katz-{uuid.uuid4().hex}")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,65 @@ def chat(rows: list[tuple[int, str, str]]) -> tuple[int, str, int, str]:
     rows = sorted(rows)
     loss = "".join(t for _, r, t in rows if r == "assistant")
     return len(rows), sha("".join(f"{r}\n{t}\n" for _, r, t in rows)), len(loss), sha(loss)
+
+
+class Katz:
+    """A plain Katz backoff model of order three over dictionaries; ``train`` are texts."""
+
+    def __init__(self, train):
+        import collections
+
+        self.counts = [collections.Counter() for _ in range(3)]
+        for t in train:
+            words = ["<", "<", *t.encode().decode().lower().split(), ">"]
+            for i in range(2, len(words)):
+                for n in range(3):
+                    self.counts[n][(*words[i - n : i], words[i])] += 1
+        self.d = [self.discounts(list(c.values())) for c in self.counts]
+        self.n = sum(self.counts[0].values())
+        given = sum(self.kept(0, c) for c in self.counts[0].values())
+        if self.n and given >= self.n * (1 - 1e-12):
+            self.d[0] = [x * (1 - 0.5 / self.n) for x in self.d[0]]
+        self.known = {w: self.kept(0, c) / self.n for (w,), c in self.counts[0].items()}
+        self.unknown = 1 - sum(self.known.values())
+        self.after = {}
+        for n in (1, 2):
+            for gram, c in self.counts[n].items():
+                self.after.setdefault(gram[:-1], {})[gram[-1]] = c
+        self.alphas = {}
+
+    @staticmethod
+    def discounts(counts, k=5):
+        n = {r: counts.count(r) for r in range(1, k + 2)}
+        d = [0.0, 0.5, *[1.0] * k]
+        if n[1]:
+            a = (k + 1) * n[k + 1] / n[1]
+            for r in range(1, k + 1):
+                if n[r] and a < 1:
+                    x = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a)
+                    if 0 < x < 1:
+                        d[r] = x
+        return d
+
+    def kept(self, n, count):
+        return self.d[n][min(count, len(self.d[n]) - 1)] * count
+
+    def p(self, history, word):
+        if not history:
+            return self.known.get(word, self.unknown)
+        seen = self.after.get(history)
+        if not seen:
+            return self.p(history[1:], word)
+        count, mass = sum(seen.values()), sum(self.kept(len(history), c) for c in seen.values())
+        total = count if mass < count * (1 - 1e-12) else count + 1
+        if word in seen:
+            return self.kept(len(history), seen[word]) / total
+        if history not in self.alphas:
+            self.alphas[history] = (1 - mass / total) / (1 - sum(self.p(history[1:], w) for w in seen))
+        return self.alphas[history] * self.p(history[1:], word)
+
+    def score(self, text):
+        import math
+
+        words = ["<", "<", *text.lower().split(), ">"]
+        return sum(math.log10(self.p((words[i - 2], words[i - 1]), words[i])) for i in range(2, len(words)))

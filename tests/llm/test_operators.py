@@ -127,81 +127,57 @@ def test_katz_base_scores_and_order(spark, sf, texts):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
-@pytest.mark.parametrize("size", [5_000_000, 8])
-def test_katz_matches_a_plain_model_that_sums_to_one(spark, size):
-    """A plain backoff model with the same discounts, in one bucket and in many with split histories."""
-    import math
-    from collections import Counter
-
-    import xxhash
-
-    rng = random.Random(6)
-    train = [" ".join(rng.choice("aaaaabbbccdefghij") for _ in range(rng.randrange(0, 9))) for _ in range(60)]
-    test = [" ".join(rng.choice("aabcdefghijklm") for _ in range(rng.randrange(0, 7))) for _ in range(40)]
-    df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean")
-    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_tokens=size).collect()}
-    tokens = lambda t: ["<", *t.split(), ">"]
-    every = [p for t in train + test for p in zip(tokens(t), tokens(t)[1:])]
-    r = Counter(p for t in train for p in zip(tokens(t), tokens(t)[1:]))
-    c = Counter(w for t in train for w in tokens(t)[1:])
-    n, buckets = sum(c.values()), max(1, -(-len(every) // size))
-    number = {w: xxhash.xxh64_intdigest(w.encode(), 1) for w in {x for p in every for x in p}} | {"<": katz.START, ">": katz.END}
-    often = Counter(h for h, _ in every)
-    frequent = np.array(sorted(number[h] for h, k in often.items() if 2 * buckets * k >= len(every)), dtype=np.uint64)
-    names = sorted(number)
-    hashes = np.array([number[w] for w in names], dtype=np.uint64)
-
-    def bucket(h, w):
-        return int(katz.buckets_of(np.array([names.index(h)]), np.array([names.index(w)]), hashes, frequent, buckets)[0])
-
-    of = {}
-    for p, k in r.items():
-        of.setdefault(bucket(*p), []).append(k)
-    d = {b: [0.0, *katz.discounts(np.array([ks.count(i) for i in range(1, katz.K + 2)]))[1:], 1.0] for b, ks in of.items()}
-    d1 = [0.0, *katz.discounts(np.array([list(c.values()).count(i) for i in range(1, katz.K + 2)]))[1:], 1.0]
-    cut = lambda ds, k: ds[min(k, katz.K + 1)]
-    if sum(cut(d1, k) * k for k in c.values()) >= n * (1 - 1e-12):  # nothing left for the unknown word
-        d1 = [x * (1 - 0.5 / n) for x in d1]
-    known = {w: cut(d1, k) * k / n for w, k in c.items()}
-    unknown = 1 - sum(known.values())
-
-    def after(h):
-        seen = {w: cut(d[bucket(h, w)], k) * k for (x, w), k in r.items() if x == h}
-        total = sum(k for (x, _), k in r.items() if x == h)
-        if not seen:
-            return lambda w: known.get(w, unknown)
-        total = total if sum(seen.values()) < total * (1 - 1e-12) else total + 1
-        alpha = (1 - sum(seen.values()) / total) / (1 - sum(known[w] for w in seen))
-        return lambda w: seen[w] / total if w in seen else alpha * known.get(w, unknown)
-
-    for h in names:
-        p = after(h)
-        assert abs(sum(p(w) for w in [*known, "never seen"]) - 1) < 1e-9
+KATZ_WORDS = [f"w{i}" for i in range(60)]
+
+
+def katz_corpus(seed, train, test):
+    rng = random.Random(seed)
+    make = lambda: " ".join(rng.choices(KATZ_WORDS, [1 / (i + 1) ** 1.2 for i in range(60)], k=rng.randrange(0, 20)))
+    return [make() for _ in range(train)], [make() + rng.choice(["", " new", " New w1"]) for _ in range(test)]
+
+
+@pytest.mark.parametrize("size", [50_000_000, 900, 60])
+def test_katz_matches_a_plain_model_that_sums_to_one(spark, size, monkeypatch):
+    """A plain backoff model, which knows no buckets, against one bucket, several, and many with split words and histories."""
+    train, test = katz_corpus(6, 240, 60)
+    model = brute.Katz(train)
+    assert sum(x < 1 for d in model.d for x in d[1:]) >= 9  # the corpus gives proper discounts
+    for history in [(), ("w0",), ("w0", "w1"), ("w1", "w0"), ("<", "<"), ("never", "w0"), ("never", "never")]:
+        assert abs(sum(model.p(history, w) for w in [*model.known, "never seen"]) - 1) < 1e-9
+    df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean").repartition(5)
+    monkeypatch.setattr("factloom.llm.ngrams.PACK_CHARS", 1500)
+    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=size).collect()}
+    assert got.keys() == set(range(len(train + test)))
     for i, t in enumerate(train + test):
-        assert abs(got[i] - sum(math.log10(after(h)(w)) for h, w in zip(tokens(t), tokens(t)[1:]))) < 1e-6, (i, t)
+        assert abs(got[i] - model.score(t)) < 1e-6, (i, t)
 
 
-def test_katz_scores_do_not_depend_on_the_number_of_buckets(spark):
-    """Counts of counts that give proper discounts; the number of buckets changes, the corpus doesn't."""
-    from collections import Counter
+def test_katz_few_texts(spark):
+    """Counts of counts that give no discounts, single texts, and none to learn from."""
+    for train, test in ([["a"], ["a", "b"]], [["a a a a b"] * 9, ["b a", ""]], [[], ["a b", ""]]):
+        df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean")
+        got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=7).collect()}
+        model = brute.Katz(train)
+        assert all(abs(got[i] - model.score(t)) < 1e-6 for i, t in enumerate(train + test)), (train, got)
 
-    rng = random.Random(7)
-    words = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randrange(0, 20))) for _ in range(200)]
-    df = spark.createDataFrame([(i, t, i < 120) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
-    r = Counter(p for t in texts[:120] for p in zip(["<", *t.split()], [*t.split(), ">"]))
-    d = katz.discounts(np.array([list(r.values()).count(i) for i in range(1, katz.K + 2)]))
-    assert (d[1:] < 1).sum() >= 3
-    learned = df.where("train").select(F.col("doc_id").alias("key"), "train", "text")
-    assert np.allclose(katz.pair_discounts(learned, 7)[:-1], d)
-    few, many = ({r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_tokens=size).collect()} for size in (5_000_000, 60))
-    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-6 for i in few)
+
+def test_katz_stores_its_model(spark, tmp_path):
+    train, test = katz_corpus(8, 80, 5)
+    df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean")
+    plain = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=700).collect()}
+    stored = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=700, model_dir=str(tmp_path / "model")).collect()}
+    assert plain == stored
+    rows = katz.stored_model(spark, str(tmp_path / "model")).collect()
+    model = brute.Katz(train)
+    assert sum(r.n for r in rows) == sum(model.counts[2].values()) and sum(r.n > 0 for r in rows) == len(model.counts[2])
+    assert all(r.n == 0 or abs(r.discounted - model.kept(2, r.n)) < 1e-9 for r in rows)
 
 
 def test_katz_odd_rows(odd):
-    rows = katz.katz_scores(odd, F.col("doc_id") != 5, bucket_tokens=1000).collect()
+    rows = katz.katz_scores(odd, F.col("doc_id") != 5, bucket_chars=10_000).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
     assert len({r.score for r in rows if r.doc_id == 4}) == 1 and min(r.n_tokens for r in rows) == 1
+    assert katz.katz_scores(odd.limit(0), F.lit(True)).count() == 0
 
 
 def test_ann_recall_and_scores(spark, sf):
