@@ -5,19 +5,19 @@ d2(r) * r / c(h), else alpha(h) * P(w); P(w) is d1(c) * c / N for known words, a
 Discounts come from the counts of counts of the whole training table. Alpha is normalised exactly: the probabilities after
 every history sum to one over the known words and the unknown one. A history without mass left to give counts one more.
 
-The tables are partitioned into buckets of bounded size by the middle word of a triple. A bucket so holds all triples,
-pairs and histories of its words and evaluates the recursion by itself. Where a middle word is too frequent for one bucket, its
-triples are dealt by its history pair, and where that is too frequent as well, by the whole triple. What such words and
-histories need from other buckets is additive and small:
+The tables are partitioned into parts of bounded size by the middle word of a triple. A part so holds all triples, pairs and
+histories of its words and evaluates the recursion by itself. Where a middle word is too frequent for one part, its triples are
+dealt by its history pair, and where that is too frequent as well, by the whole triple. What such words and histories need
+from other parts is additive and small. Parts travel a few together, in buckets, as they share most of their words:
 
-1. one pass finds the frequent words and pairs (each task sends those above a share, so their number is bounded by the buckets');
+1. one pass finds the frequent words and pairs (each task sends those above a share, so their number is bounded by the parts');
 2. one pass counts words, and pairs after frequent words, and tells each bucket the counts that it needs;
 3. one pass sends packs of distinct triples, with the documents they stand in, to the buckets. The buckets first report their
    counts of counts and their parts of the frequent histories' sums, then, knowing the totals, evaluate the triples: both from
    one shuffle. They return a sum for each document that they hold, added up by pack in integers.
 
-With ``model_dir`` the buckets also store the model there: ``triples`` (bucket, history pair, word, count, discounted count,
-alpha) as packed columns, one row a bucket. Only the partitioning depends on the sizes; the scores do not.
+With ``model_dir`` the buckets also store the model there, history pair, word, count, discounts and alpha in packed columns,
+one row a part; ``stored_model`` reads it. Only the partitioning depends on the sizes; the scores do not.
 
 Defined results: null text is read as empty and has only the end token; rows that repeat id and text get the same score and
 count each in training; an empty table gives an empty table; without training rows all words are unknown; extra columns are
@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bucket, changes, cut, from_steps, pair_keys, ship, small_batches, steps, whole_text
-from factloom.llm.ngrams import Pack, combined, find, fixed, open_blob, pack_blob, packs, small, spans, summed, unfixed, unsmall
+from factloom.llm.common import by_bucket, changes, cut, from_steps, joined, pair_keys, planes, ship, small_batches, steps, whole_text
+from factloom.llm.ngrams import FINE, Pack, combined, find, fine, open_blob, pack_blob, packs, small, spans, summed, unsmall
 
 #: Largest count that is discounted.
 K = 5
+#: Parts that travel together.
+TOGETHER = 6
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,9 +49,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def buckets_of(g: np.ndarray, h: np.ndarray, w: np.ndarray, words: np.ndarray, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each triple of word numbers: by its middle word, by its history where that is frequent, by all of it where that is too."""
-    deal = lambda x: (mixed(x) >> np.uint64(33)).astype(np.int64) % buckets
+def parts_of(g: np.ndarray, h: np.ndarray, w: np.ndarray, words: np.ndarray, often: np.ndarray, often_pairs: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each triple of word numbers: by its middle word, by its history where that is frequent, by all of it where that is too."""
+    deal = lambda x: (mixed(x) >> np.uint64(33)).astype(np.int64) % parts
     out = deal(words)[h]
     hot = np.flatnonzero(np.isin(words, often)[h])
     if len(hot):
@@ -119,9 +121,9 @@ def triples_of(pack: Pack) -> tuple[np.ndarray, ...]:
     return pack.before(2), pack.before(1), pack.tokens
 
 
-def frequent(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and of all pairs, that are histories of half a bucket's tokens or more (and of some less frequent ones)."""
-    share = 0.25 / buckets
+def frequent(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of all pairs, that are histories of half a part's tokens or more (and of some less frequent ones)."""
+    share = 0.25 / parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "train"):
@@ -137,26 +139,26 @@ def frequent(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
                 [pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[at].tolist(), *many.tolist()], pa.int64()), pa.array([0, *[1] * len(at), *[2] * len(pair)], pa.int32())], ["word", "n", "kind"]
             )
 
-    if buckets == 1:
+    if parts == 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = texts.mapInArrow(run, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     total = F.sum(F.when(F.col("kind") == 0, F.col("n")))
-    rows = sums.where(F.col("kind") == 0).agg(total.alias("total")).join(sums.where(F.col("kind") > 0)).where(F.col("n") >= share * F.col("total")).select("kind", "word").collect()  # at most 4 * buckets of a kind
+    rows = sums.where(F.col("kind") == 0).agg(total.alias("total")).join(sums.where(F.col("kind") > 0)).where(F.col("n") >= share * F.col("total")).select("kind", "word").collect()  # at most 4 * parts of a kind
     return tuple(np.array(sorted(np.array([r.word for r in rows if r.kind == k], dtype=np.int64).view(np.uint64)), dtype=np.uint64) for k in (1, 2))
 
 
-def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> DataFrame:
+def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int) -> DataFrame:
     """``bucket, kind, blob, stats``: counts of the words (kind 0) and of the pairs after frequent words (kind 1) that each bucket needs.
 
     A key's first bucket is marked as its owner, so that it is reported once. Rows with a null bucket hold statistics of words:
     counts of counts, the sum of those above K, words seen, tokens.
     """
-    groups = max(1, buckets // 2)
+    groups = max(1, parts // 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "train"):
             g, h, w = triples_of(pack)
-            where = buckets_of(g, h, w, pack.words, often, often_pairs, buckets)
+            where = parts_of(g, h, w, pack.words, often, often_pairs, parts) // TOGETHER
             learned = pack.marks[pack.doc].astype(np.int64)
             hot = np.flatnonzero(np.isin(pack.words, often)[h])
             for kind, own, at, keys in ((0, w, slice(None), pack.words), (1, h[hot] * len(pack.words) + w[hot], hot, None)):
@@ -197,11 +199,16 @@ def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, b
     return texts.mapInArrow(run, "group int, blob binary").groupBy("group").applyInArrow(gather, "bucket int, kind int, blob binary, stats array<long>")
 
 
-def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, buckets: int) -> DataFrame:
-    """``bucket, pack, blob``: distinct triples of many documents with the documents they stand in; bucket ``-1`` gets the documents' keys."""
+def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int) -> DataFrame:
+    """``bucket, part, pack, blob``: distinct triples of many documents with the documents they stand in.
+
+    A pack sends a bucket its words (part -1), then its triples by part; a bucket below zero gets its documents' keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = lambda bucket, name, blob: pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "pack", "blob"])
+        def row(bucket: int, part: int, name: int, blob: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "part", "pack", "blob"])
+
         for pack in packs(batches, "train"):
             g, h, w = triples_of(pack)
             key = combined([h, g, w], len(pack.words))
@@ -215,67 +222,83 @@ def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray,
             n = np.add.reduceat(np.where(pack.marks[doc], times, 0), heads)
             token = order[cells[heads]]
             g, h, w = g[token], h[token], w[token]
-            del key, order, token
-            where = buckets_of(g, h, w, pack.words, often, often_pairs, buckets)
+            del key, order, token, cells
+            where = parts_of(g, h, w, pack.words, often, often_pairs, parts)
             by = np.argsort(where, kind="stable")
-            starts = changes(where[by])
-            yield row(-1 - pack.name % buckets, pack.name, pack_blob([pack.keys, small(pack.sizes)]))
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
+            bucket = where[by] // TOGETHER
+            yield row(-1 - pack.name % buckets, 0, pack.name, pack_blob([pack.keys, small(pack.sizes)]))
+            for i, j in runs(bucket):
                 own = by[i:j]
-                places = spans(sizes[own], heads[own])
                 used, at = np.unique(np.concatenate((h[own], g[own], w[own])), return_inverse=True)
                 h_, g_, w_ = at.reshape(3, -1)
-                parts = [steps(pack.words[used]), small(np.diff(h_, prepend=0)), small(g_), small(w_), small(n[own]), small(sizes[own]), small(doc[places]), small(times[places])]
-                yield row(int(where[own[0]]), pack.name, pack_blob(parts))
+                yield row(int(bucket[i]), -1, pack.name, pack_blob([steps(pack.words[used])]))
+                for a, b in runs(where[own]):
+                    of = own[a:b]
+                    places = spans(sizes[of], heads[of])
+                    columns = [np.diff(h_[a:b], prepend=0), g_[a:b], w_[a:b], n[of], sizes[of], doc[places], times[places]]
+                    yield row(int(bucket[i]), int(where[of[0]]), pack.name, pack_blob([small(x) for x in columns]))
+
+    return texts.mapInArrow(run, "bucket int, part int, pack long, blob binary")
+
 
-    return texts.mapInArrow(run, "bucket int, pack long, blob binary")
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    at = changes(x).tolist()
+    yield from zip(at, [*at[1:], len(x)])
 
 
-class Bucket:
-    """Merged triples, pairs and histories of one bucket."""
+class Lower:
+    """What a bucket needs of words and of pairs after frequent words: sorted keys and counts."""
 
-    def __init__(self, blobs: list[bytes], lower: list[tuple[int, bytes]], often: np.ndarray, often_pairs: np.ndarray):
-        opened = [open_blob(x, "B" * 8) for x in blobs]
-        dictionaries = [from_steps(x[0]) for x in opened]
-        self.words = np.unique(np.concatenate(dictionaries))
+    def __init__(self, needed: pa.Table):
+        counted: list[list] = [[], []]
+        for kind, blob in zip(needed.column("kind").to_pylist(), needed.column("blob").to_pylist()):
+            if kind < 2:
+                counted[kind].append([from_steps(x) if i == 0 else unsmall(x) for i, x in enumerate(open_blob(blob, "BBB"))])
+        columns = [[np.concatenate(x) for x in zip(*c)] if c else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for c in counted]
+        (self.words, self.counts, _), (self.pairs, self.pair_counts, self.owned) = ([x[order] for x in c] for c in columns for order in [np.argsort(c[0])])
+
+
+class Part:
+    """Merged triples, pairs and histories of one part."""
+
+    def __init__(self, dictionaries: list[np.ndarray], blobs: list[bytes], lower: Lower, often: np.ndarray, often_pairs: np.ndarray):
+        opened = []
+        for words, raw in zip(dictionaries, blobs):
+            h, g, w, n, sizes, doc, times = map(unsmall, open_blob(raw, "B" * 7))
+            used, at = np.unique(np.concatenate((np.cumsum(h), g, w)), return_inverse=True)
+            opened.append((words[used], at, n, sizes, doc, times))
+        self.words = np.unique(np.concatenate([x[0] for x in opened]))
         many = len(self.words)
-        places = [np.searchsorted(self.words, d) for d in dictionaries]
-        h, g, w = (np.concatenate([p[f(unsmall(x[i]))] for p, x in zip(places, opened)]) for i, f in ((1, np.cumsum), (2, np.asarray), (3, np.asarray)))
+        h, g, w = (np.concatenate(x) for x in zip(*(np.searchsorted(self.words, x[0])[x[1]].reshape(3, -1) for x in opened)))
         key = combined([h, g, w], many)
         order = np.argsort(key, kind="stable")
         at = changes(key[order])
         back = np.empty(len(key), dtype=np.int64)
         back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-        self.r = np.add.reduceat(np.concatenate([unsmall(x[4]) for x in opened])[order], at)
+        self.r = np.add.reduceat(np.concatenate([x[2] for x in opened])[order], at)
         self.h, self.g, self.w = (x[order[at]] for x in (h, g, w))
-        cuts = np.cumsum([0, *(len(x[4]) // 4 for x in opened)])
+        cuts = np.cumsum([0, *(len(x[2]) for x in opened)])
         #: For each pack: the triple of each cell, the cell's document and how often it stands there.
-        self.cells = [(np.repeat(back[i:j], unsmall(x[5])), unsmall(x[6]), unsmall(x[7])) for x, i, j in zip(opened, cuts, cuts[1:])]
-        del key, order, back, h, g, w
+        self.cells = [(np.repeat(back[i:j], x[3]), x[4], x[5]) for x, i, j in zip(opened, cuts, cuts[1:])]
+        del key, order, back, h, g, w, opened
         self.heads = changes(self.h, self.g)  # histories of two words
         self.history = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.h))))
         pair, self.pair = np.unique(self.h * many + self.w, return_inverse=True)
         self.pair_h, self.pair_w = pair // many, pair % many
         self.c = np.zeros(many, dtype=np.int64)
-        counted: list[list[np.ndarray]] = [[], []]
-        for kind, blob in lower:
-            counted[kind].append([from_steps(x) if i == 0 else unsmall(x) for i, x in enumerate(open_blob(blob, "BBB"))])
-        for keys, n, _ in counted[0]:
-            at, there = find(self.words, keys)
-            self.c[at[there]] = n[there]
+        at, there = find(lower.words, self.words)
+        self.c[there] = lower.counts[at[there]]
         self.r2 = np.bincount(self.pair, self.r, len(pair)).astype(np.int64)
         self.owned = np.ones(len(pair), dtype=bool)
-        self.hot_place, hot = find(often, self.words)
-        self.hot = hot
-        split = np.flatnonzero(hot[self.pair_h])
+        self.hot_place, self.hot = find(often, self.words)
+        split = np.flatnonzero(self.hot[self.pair_h])
         if len(split):
-            keys = pair_keys(self.words[self.pair_h[split]], self.words[self.pair_w[split]])
-            own, n, owner = (np.concatenate([x[i] for x in counted[1]]) for i in range(3))
-            by = np.argsort(own)
-            at = by[np.searchsorted(own[by], keys)]
-            self.r2[split], self.owned[split] = n[at], owner[at] > 0
+            at = np.searchsorted(lower.pairs, pair_keys(self.words[self.pair_h[split]], self.words[self.pair_w[split]]))
+            self.r2[split], self.owned[split] = lower.pair_counts[at], lower.owned[at] > 0
+            lower.owned[at] = 0  # the bucket's other parts leave it out
         self.history_place, self.history_hot = find(often_pairs, pair_keys(self.words[self.g[self.heads]], self.words[self.h[self.heads]]))
-        self.history_hot &= hot[self.h[self.heads]]
+        self.history_hot &= self.hot[self.h[self.heads]]
 
     def statistics(self, words: Words) -> list[tuple[int, int, list[float]]]:
         """``kind, place, numbers``: counts of counts of pairs (0) and triples (1); parts of frequent words' (2) and histories' (3) sums."""
@@ -312,16 +335,25 @@ class Bucket:
                 x[self.history_hot] = y
         total, alpha = weights(*sums)
         p = np.where(seen, kept / total[self.history], alpha[self.history] * p2[self.pair])
-        model = [self.words, small(np.diff(self.h[self.heads], prepend=0)), small(self.g[self.heads]), small(np.diff(np.append(self.heads, len(self.h)))), small(self.w), small(self.r), d3[1:], alpha]
-        return np.log10(np.maximum(p, 1e-300)), words.base(self.c), model
-
-    def sums(self, score: np.ndarray, base: np.ndarray) -> Iterator[bytes]:
-        """For each pack its documents here, with their sums."""
+        return np.log10(np.maximum(p, 1e-300)), words.base(self.c), alpha
+
+    def model(self, d3: np.ndarray, alpha: np.ndarray) -> bytes:
+        """The histories, words, counts, discounts and backoff weights of the triples that were learned."""
+        own = np.flatnonzero(self.r > 0)
+        heads = changes(self.history[own])
+        at = self.history[own][heads]
+        h, g = self.h[self.heads[at]], self.g[self.heads[at]]
+        used, numbers = np.unique(np.concatenate((h, g, self.w[own])), return_inverse=True)
+        h, g, w = numbers[: len(at)], numbers[len(at) : 2 * len(at)], numbers[2 * len(at) :]
+        return pack_blob([steps(self.words[used]), *map(small, (np.diff(h, prepend=0), g, np.diff(np.append(heads, len(own))), w, self.r[own])), d3, alpha[at].astype(np.float32).view(np.uint8)])
+
+    def sums(self, score: np.ndarray, base: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For each pack its documents here, with their sums in fine integers."""
         known = self.c > 0
         for triple, doc, times in self.cells:
             there, at = np.unique(doc, return_inverse=True)
             w = self.w[triple]
-            yield pack_blob([small(there), *(fixed(np.bincount(at, x * times, len(there))) for x in (score[triple], base[w])), small(np.bincount(at, known[w] * times, len(there)))])
+            yield [there, *(fine(np.bincount(at, x * times, len(there))) for x in (score[triple], base[w])), np.bincount(at, known[w] * times, len(there)).astype(np.int64)]
 
 
 def added(keys: bytes, parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -330,28 +362,28 @@ def added(keys: bytes, parts: list[bytes]) -> tuple[np.ndarray, ...]:
     out = np.zeros((3, len(key)), dtype=np.int64)
     for raw in parts:
         there, score, base, known = open_blob(raw, "BBBB")
-        out[:, unsmall(there)] += (unfixed(score), unfixed(base), unsmall(known))
+        out[:, unsmall(there)] += (joined(score, np.int64), joined(base, np.int64), unsmall(known))
     return key, unsmall(sizes), *out
 
 
 def stored_model(spark, model_dir: str) -> DataFrame:
-    """``bucket, first, second, word, n, discounted, alpha`` of a stored model: hashes of a triple's words, its counts, its history's weight."""
+    """``part, first, second, word, n, discounted, alpha`` of a stored model: hashes of a triple's words, its counts, its history's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, raw in zip(batch.column("pack").to_pylist(), batch.column("part").to_pylist()):
-                words, h, g, sizes, w, r, kept, alpha = open_blob(raw, "QBBBBBdd")
-                sizes = unsmall(sizes)
+            for part, raw in zip(batch.column("pack").to_pylist(), batch.column("part").to_pylist()):
+                words, h, g, sizes, w, r, kept, alpha = open_blob(raw, "BBBBBBdB")
+                words, sizes, alpha = from_steps(words), unsmall(sizes), alpha.view(np.float32).astype(float)
                 columns = [np.repeat(words[np.cumsum(unsmall(h))], sizes), np.repeat(words[unsmall(g)], sizes), words[unsmall(w)]]
                 r = unsmall(r)
-                out = [np.full(len(r), bucket), columns[1].view(np.int64), columns[0].view(np.int64), columns[2].view(np.int64), r, np.append(0.0, kept)[np.minimum(r, K + 1)] * r, np.repeat(alpha, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["bucket", "first", "second", "word", "n", "discounted", "alpha"])
+                out = [np.full(len(r), part), columns[1].view(np.int64), columns[0].view(np.int64), columns[2].view(np.int64), r, kept[np.minimum(r, K + 1)] * r, np.repeat(alpha, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["part", "first", "second", "word", "n", "discounted", "alpha"])
 
     table = spark.read.schema("pack long, part binary, kind int").parquet(model_dir).where("kind = 2").select("pack", "part")
-    return table.mapInArrow(run, "bucket long, first long, second long, word long, n long, discounted double, alpha double")
+    return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", bucket_chars: int = 15_000_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 10_000_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
@@ -363,47 +395,57 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     learn = F.coalesce(train, F.lit(False))
     row_key = F.xxhash64(F.col(id_col).cast("string"), text)
     texts = docs.select(row_key.alias("key"), learn.alias("train"), text.alias("text"))
-    buckets = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // bucket_chars
-    often, often_pairs = frequent(texts, buckets)
-    lower = cut(lower_counts(texts, often, often_pairs, buckets), "lower")
+    parts = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // part_chars
+    buckets = -(-parts // TOGETHER)
+    often, often_pairs = frequent(texts, parts)
+    lower = cut(lower_counts(texts, often, often_pairs, parts, buckets), "lower")
     stats = lower.where("bucket is null").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 4))).first()
     numbers = np.array([x or 0 for x in stats])
     words = Words(int(numbers[K + 3]), int(numbers[K + 2]), numbers[: K + 1], int(numbers[K + 1]))
-    triples = packed_triples(texts, often, often_pairs, buckets).repartition(buckets, "bucket")
+    triples = packed_triples(texts, often, often_pairs, parts, buckets).repartition(buckets, "bucket")
     needed = lower.where("bucket is not null").select("bucket", "kind", "blob", F.lit(None).cast("array<struct<kind:int,place:long,x:array<double>>>").alias("totals"))
 
-    def merged(own: pa.Table, needed: pa.Table) -> Bucket:
-        lower = [(k, b) for k, b in zip(needed.column("kind").to_pylist(), needed.column("blob").to_pylist()) if k < 2]
-        return Bucket(own.column("blob").to_pylist(), lower, often, often_pairs)
+    def merged(own: pa.Table, needed: pa.Table) -> Iterator[tuple[int, list[int], Part]]:
+        """The bucket's parts, one at a time, each with the packs that it comes from."""
+        lower = Lower(needed)
+        part, pack, blob = own.column("part").to_numpy(), own.column("pack").to_numpy(), own.column("blob")
+        dictionaries = {int(pack[i]): from_steps(open_blob(blob[i].as_py(), "B")[0]) for i in np.flatnonzero(part < 0).tolist()}
+        for p in np.unique(part[part >= 0]).tolist():
+            at = np.flatnonzero(part == p).tolist()
+            names = pack[at].tolist()
+            yield p, names, Part([dictionaries[n] for n in names], [blob[i].as_py() for i in at], lower, often, often_pairs)
 
     def report(own: pa.Table, needed: pa.Table) -> pa.Table:
-        rows = merged(own, needed).statistics(words) if own.num_rows and own.column("bucket")[0].as_py() >= 0 else []
+        rows = [r for _, _, part in merged(own, needed) for r in part.statistics(words)] if own.num_rows and own.column("bucket")[0].as_py() >= 0 else []
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "place", "x"])
 
     reported = triples.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(report, "kind int, place long, x array<double>")
-    width = 2 * K + 2
-    each = reported.groupBy("kind", "place").agg(F.array(*(F.sum(F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))) for i in range(width))).alias("x"))
-    totals = each.agg(F.collect_list(F.struct("kind", "place", "x")).alias("totals"))  # one row; at most 8 * buckets entries
+    each = reported.groupBy("kind", "place").agg(F.array(*(F.sum(F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))) for i in range(2 * K + 2))).alias("x"))
+    totals = each.agg(F.collect_list(F.struct("kind", "place", "x")).alias("totals"))  # one row; at most 8 * parts entries
     everywhere = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob")).join(F.broadcast(totals))
 
     def run(own: pa.Table, needed: pa.Table) -> pa.Table:
-        out: list[tuple[int | None, int, bytes]] = []
-        if own.num_rows:
-            names, bucket = own.column("pack").to_pylist(), own.column("bucket")[0].as_py()
-            if bucket < 0:  # the documents' keys
-                out = [(n, 0, b) for n, b in zip(names, own.column("blob").to_pylist())]
-            else:
-                coc, hot = [np.zeros(K + 1)] * 2, [np.zeros((len(often), K + 2)), np.zeros((len(often_pairs), 2 * K + 2))]
-                for r in next(x for x in needed.column("totals").to_pylist() if x is not None):
-                    if r["kind"] < 2:
-                        coc[r["kind"]] = np.array(r["x"][: K + 1])
-                    else:
-                        hot[r["kind"] - 2][r["place"]] = r["x"][: hot[r["kind"] - 2].shape[1]]
-                b = merged(own, needed)
-                score, base, model = b.evaluate(words, *(np.append(discounts(n), 1.0) for n in coc), *hot)
-                out = [(n, 1, s) for n, s in zip(names, b.sums(score, base))]
+        out: list[tuple[int, int, bytes]] = []
+        if own.num_rows and own.column("bucket")[0].as_py() < 0:  # the documents' keys
+            out = [(n, 0, b) for n, b in zip(own.column("pack").to_pylist(), own.column("blob").to_pylist())]
+        elif own.num_rows:
+            coc, hot = [np.zeros(K + 1)] * 2, [np.zeros((len(often), K + 2)), np.zeros((len(often_pairs), 2 * K + 2))]
+            for r in next(x for x in needed.column("totals").to_pylist() if x is not None):
+                if r["kind"] < 2:
+                    coc[r["kind"]] = np.array(r["x"][: K + 1])
+                else:
+                    hot[r["kind"] - 2][r["place"]] = r["x"][: hot[r["kind"] - 2].shape[1]]
+            d2, d3 = (np.append(discounts(n), 1.0) for n in coc)
+            sums: dict[int, list[list[np.ndarray]]] = {}
+            for p, names, part in merged(own, needed):
+                score, base, alpha = part.evaluate(words, d2, d3, *hot)
+                for name, found in zip(names, part.sums(score, base)):
+                    sums.setdefault(name, []).append(found)
                 if model_dir:
-                    out.append((bucket, 2, pack_blob(model)))
+                    out.append((p, 2, part.model(d3, alpha)))
+            for name, found in sums.items():
+                there, score, base, known = summed(*map(np.concatenate, zip(*found)))
+                out.append((name, 1, pack_blob([small(there), planes(score), planes(base), small(known)])))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["pack", "kind", "part"])
 
     evaluated = triples.groupBy("bucket").cogroup(needed.unionByName(everywhere).groupBy("bucket")).applyInArrow(run, "pack long, kind int, part binary")
@@ -419,5 +461,5 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     sums = evaluated.groupBy("pack").applyInArrow(gather, "key long, n_tokens long, score long, base long, known long")
     per = sums.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n_tokens", "score", "base", "known")))  # rows that repeat id and text have equal sums
     rows = docs.select(F.col(id_col), (~learn).alias("held_out"), row_key.alias("key"))
-    log = lambda c: F.col(c) / F.lit(float(1 << 32))
+    log = lambda c: F.col(c) / F.lit(FINE)
     return rows.join(per, "key").select(id_col, "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(words.n).cast("long").alias("train_tokens"), log("base").alias("base_score"), log("score").alias("score"))

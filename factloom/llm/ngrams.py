@@ -1,6 +1,6 @@
 """Packs of tokenised documents, and packed arrays: what the language models send between tasks.
 
-A task reads documents into packs of bounded size. A pack numbers its distinct words in the order of their 64-bit hashes, so
+A task reads documents into packs of bounded size. A pack numbers its distinct words in the order of their hashes, so
 arrays of numbers sort as hashes do. Arrays travel in zstd blobs, a blob for each pack and bucket that has anything; what
 is sent so grows with the distinct expressions of the packs and never faster.
 """
@@ -15,17 +15,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 
 from factloom.llm.common import changes, joined, planes
 
-START, END = (xxhash.xxh64_intdigest(x, 2) for x in (b"start", b"end"))
+START, END = (xxhash.xxh64_intdigest(x, 2) >> 8 << 8 for x in (b"start", b"end"))
 #: Characters of a pack, about.
-PACK_CHARS = 12_000_000
+PACK_CHARS = 8_000_000
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+    """Hashes of distinct words; the last of their eight bytes is zero, as they are only compared among the words of a pack or a bucket."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) & np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 class Pack:
@@ -35,7 +36,7 @@ class Pack:
     document of each token, ``sizes`` the tokens of each document.
     """
 
-    def __init__(self, keys: list[np.ndarray], marks: list[np.ndarray], texts: list[pa.Array], clean: Callable[[pa.Array], pa.Array] | None):
+    def __init__(self, keys: list[np.ndarray], marks: list[np.ndarray], texts: list[pa.Array], clean: Callable[[pa.Array], pa.Array] | None, name: int = 0):
         self.keys, self.marks = np.concatenate(keys), np.concatenate(marks)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays([t.cast(pa.large_string()) for t in texts])))
         coded = lists.flatten().dictionary_encode()
@@ -54,8 +55,8 @@ class Pack:
         inner[last] = False
         self.tokens[inner] = number[at[full]]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        #: A number for this pack, to bring its parts together again.
-        self.name = xxhash.xxh64_intdigest(self.keys.tobytes() + self.words[:64].tobytes(), len(self.tokens)) >> 1
+        #: A number that no other pack of a job has, to bring its parts together again.
+        self.name = name
 
     def before(self, steps: int) -> np.ndarray:
         """The number of the word so many steps before each token; the start where the document has none."""
@@ -72,6 +73,8 @@ def packs(batches: Iterator[pa.RecordBatch], mark: str, clean: Callable[[pa.Arra
     size = size or PACK_CHARS
     held: tuple[list, list, list] = ([], [], [])
     room = size
+    context = TaskContext.get()
+    name = (context.partitionId() if context else 0) << 32
     for batch in batches:
         keys, marks, texts = batch.column("key").to_numpy(), batch.column(mark).to_numpy(zero_copy_only=False), batch.column("text")
         ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
@@ -83,10 +86,10 @@ def packs(batches: Iterator[pa.RecordBatch], mark: str, clean: Callable[[pa.Arra
             room -= int(ends[to - 1]) - done
             at, done = to, int(ends[to - 1])
             if room <= 0:
-                yield Pack(*held, clean)
-                held, room = ([], [], []), size
+                yield Pack(*held, clean, name)
+                held, room, name = ([], [], []), size, name + 1
     if held[0]:
-        yield Pack(*held, clean)
+        yield Pack(*held, clean, name)
 
 
 def combined(columns: list[np.ndarray], many: int) -> np.ndarray:
@@ -128,13 +131,9 @@ def unsmall(x: np.ndarray) -> np.ndarray:
 FINE = float(1 << 32)
 
 
-def fixed(x: np.ndarray) -> np.ndarray:
-    """Sums of logarithms as byte planes of 64-bit integers."""
-    return planes(np.rint(x * FINE).astype(np.int64))
-
-
-def unfixed(x: np.ndarray) -> np.ndarray:
-    return joined(x, np.int64)
+def fine(x: np.ndarray) -> np.ndarray:
+    """Sums of logarithms as integers."""
+    return np.rint(x * FINE).astype(np.int64)
 
 
 def spans(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:

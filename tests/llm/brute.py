@@ -139,9 +139,15 @@ class Katz:
         total = count if mass < count * (1 - 1e-12) else count + 1
         if word in seen:
             return self.kept(len(history), seen[word]) / total
+        return self.alpha(history) * self.p(history[1:], word)
+
+    def alpha(self, history):
         if history not in self.alphas:
+            seen = self.after[history]
+            count, mass = sum(seen.values()), sum(self.kept(len(history), c) for c in seen.values())
+            total = count if mass < count * (1 - 1e-12) else count + 1
             self.alphas[history] = (1 - mass / total) / (1 - sum(self.p(history[1:], w) for w in seen))
-        return self.alphas[history] * self.p(history[1:], word)
+        return self.alphas[history]
 
     def score(self, text):
         import math

@@ -146,7 +146,7 @@ def test_katz_matches_a_plain_model_that_sums_to_one(spark, size, monkeypatch):
         assert abs(sum(model.p(history, w) for w in [*model.known, "never seen"]) - 1) < 1e-9
     df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean").repartition(5)
     monkeypatch.setattr("factloom.llm.ngrams.PACK_CHARS", 1500)
-    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=size).collect()}
+    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), part_chars=size).collect()}
     assert got.keys() == set(range(len(train + test)))
     for i, t in enumerate(train + test):
         assert abs(got[i] - model.score(t)) < 1e-6, (i, t)
@@ -156,7 +156,7 @@ def test_katz_few_texts(spark):
     """Counts of counts that give no discounts, single texts, and none to learn from."""
     for train, test in ([["a"], ["a", "b"]], [["a a a a b"] * 9, ["b a", ""]], [[], ["a b", ""]]):
         df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean")
-        got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=7).collect()}
+        got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), part_chars=7).collect()}
         model = brute.Katz(train)
         assert all(abs(got[i] - model.score(t)) < 1e-6 for i, t in enumerate(train + test)), (train, got)
 
@@ -164,22 +164,31 @@ def test_katz_few_texts(spark):
 def test_katz_stores_its_model(spark, tmp_path):
     train, test = katz_corpus(8, 80, 5)
     df = spark.createDataFrame([(i, t, i < len(train)) for i, t in enumerate(train + test)], "doc_id long, text string, train boolean")
-    plain = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=700).collect()}
-    stored = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), bucket_chars=700, model_dir=str(tmp_path / "model")).collect()}
+    plain = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), part_chars=700).collect()}
+    stored = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), part_chars=700, model_dir=str(tmp_path / "model")).collect()}
     assert plain == stored
     rows = katz.stored_model(spark, str(tmp_path / "model")).collect()
     model = brute.Katz(train)
-    assert sum(r.n for r in rows) == sum(model.counts[2].values()) and sum(r.n > 0 for r in rows) == len(model.counts[2])
-    assert all(r.n == 0 or abs(r.discounted - model.kept(2, r.n)) < 1e-9 for r in rows)
+    assert sum(r.n for r in rows) == sum(model.counts[2].values()) and len(rows) == len(model.counts[2])
+    assert all(abs(r.discounted - model.kept(2, r.n)) < 1e-9 for r in rows) and all(abs(r.alpha - a) < 1e-6 for r, a in zip(sorted(rows, key=lambda r: r.alpha)[:1], [min(model.alpha(g[:2]) for g in model.counts[2])]))
 
 
 def test_katz_odd_rows(odd):
-    rows = katz.katz_scores(odd, F.col("doc_id") != 5, bucket_chars=10_000).collect()
+    rows = katz.katz_scores(odd, F.col("doc_id") != 5, part_chars=10_000).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
     assert len({r.score for r in rows if r.doc_id == 4}) == 1 and min(r.n_tokens for r in rows) == 1
     assert katz.katz_scores(odd.limit(0), F.lit(True)).count() == 0
 
 
+def test_katz_repeated_table(spark):
+    """Equal rows in equal partitions count each, and have one score."""
+    texts = [f"a b c{i % 3} a" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
+    model = brute.Katz(texts * 2)
+    rows = katz.katz_scores(df.union(df), F.lit(True), part_chars=40).collect()
+    assert len(rows) == 24 and all(abs(r.score - model.score(texts[r.doc_id])) < 1e-6 for r in rows)
+
+
 def test_ann_recall_and_scores(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     v = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect()}
