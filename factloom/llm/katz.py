@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bucket, changes, cut, from_steps, joined, pair_keys, planes, ship, small_batches, steps, whole_text
-from factloom.llm.ngrams import FINE, Pack, combined, find, fine, open_blob, pack_blob, packs, small, spans, summed, unsmall
+from factloom.llm.common import by_bucket, changes, cut, joined, pair_keys, planes, ship, small_batches, whole_text
+from factloom.llm.ngrams import FINE, Pack, coded, combined, common_words, decoded, find, fine, open_blob, pack_blob, packs, small, spans, summed, unsmall
 
 #: Largest count that is discounted.
 K = 5
@@ -147,13 +147,14 @@ def frequent(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(sorted(np.array([r.word for r in rows if r.kind == k], dtype=np.int64).view(np.uint64)), dtype=np.uint64) for k in (1, 2))
 
 
-def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int) -> DataFrame:
+def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int, shared) -> DataFrame:
     """``bucket, kind, blob, stats``: counts of the words (kind 0) and of the pairs after frequent words (kind 1) that each bucket needs.
 
     A key's first bucket is marked as its owner, so that it is reported once. Rows with a null bucket hold statistics of words:
     counts of counts, the sum of those above K, words seen, tokens.
     """
     groups = max(1, parts // 3)
+    nothing = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "train"):
@@ -173,15 +174,16 @@ def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, p
                 some = changes(key)
                 keys, n, sizes = keys[key[some]], n[key[some]], np.diff(np.append(some, len(key)))
                 for group, i, j in by_bucket(keys, groups):
-                    blob = pack_blob([steps(keys[i:j]), small(n[i:j]), small(sizes[i:j]), small(bucket[spans(sizes[i:j], some[i:j])])])
+                    blob = pack_blob([*coded(keys[i:j], nothing if kind else shared.value), small(n[i:j]), small(sizes[i:j]), small(bucket[spans(sizes[i:j], some[i:j])])])
                     yield pa.RecordBatch.from_arrays([pa.array([group + groups * kind], pa.int32()), pa.array([blob], pa.binary())], ["group", "blob"])
 
     def gather(group: pa.Table) -> pa.Table:
         kind = int(group.column("group")[0].as_py() >= groups)
-        parts = [open_blob(x, "BBBB") for x in group.column("blob").to_pylist()]
-        keys = [from_steps(x[0]) for x in parts]
-        own, n = summed(np.concatenate(keys), np.concatenate([unsmall(x[1]) for x in parts]))
-        cells = np.unique(np.concatenate([find(own, np.repeat(k, unsmall(x[2])))[0] * buckets + unsmall(x[3]) for k, x in zip(keys, parts)]))
+        common = nothing if kind else shared.value
+        parts = [open_blob(x, "BBBBB") for x in group.column("blob").to_pylist()]
+        keys = [decoded(x[0], x[1], common) for x in parts]
+        own, n = summed(np.concatenate(keys), np.concatenate([unsmall(x[2]) for x in parts]))
+        cells = np.unique(np.concatenate([find(own, np.repeat(k, unsmall(x[3])))[0] * buckets + unsmall(x[4]) for k, x in zip(keys, parts)]))
         key, bucket = cells // buckets, cells % buckets
         owner = np.zeros(len(key), dtype=np.int64)
         owner[changes(key)] = 1
@@ -190,7 +192,7 @@ def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, p
         out = []
         for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
             at = order[i:j]
-            out.append((int(bucket[at[0]]), kind, pack_blob([steps(own[key[at]]), small(n[key[at]]), small(owner[at])]), None))
+            out.append((int(bucket[at[0]]), kind, pack_blob([*coded(own[key[at]], common), small(n[key[at]]), small(owner[at])]), None))
         if not kind:
             seen = n[n > 0]
             out.append((None, kind, None, [*np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(seen[seen > K].sum()), len(seen), int(seen.sum())]))
@@ -199,7 +201,7 @@ def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, p
     return texts.mapInArrow(run, "group int, blob binary").groupBy("group").applyInArrow(gather, "bucket int, kind int, blob binary, stats array<long>")
 
 
-def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int) -> DataFrame:
+def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int, shared) -> DataFrame:
     """``bucket, part, pack, blob``: distinct triples of many documents with the documents they stand in.
 
     A pack sends a bucket its words (part -1), then its triples by part; a bucket below zero gets its documents' keys.
@@ -231,7 +233,7 @@ def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray,
                 own = by[i:j]
                 used, at = np.unique(np.concatenate((h[own], g[own], w[own])), return_inverse=True)
                 h_, g_, w_ = at.reshape(3, -1)
-                yield row(int(bucket[i]), -1, pack.name, pack_blob([steps(pack.words[used])]))
+                yield row(int(bucket[i]), -1, pack.name, pack_blob(coded(pack.words[used], shared.value)))
                 for a, b in runs(where[own]):
                     of = own[a:b]
                     places = spans(sizes[of], heads[of])
@@ -250,11 +252,12 @@ def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
 class Lower:
     """What a bucket needs of words and of pairs after frequent words: sorted keys and counts."""
 
-    def __init__(self, needed: pa.Table):
+    def __init__(self, needed: pa.Table, common: np.ndarray):
         counted: list[list] = [[], []]
         for kind, blob in zip(needed.column("kind").to_pylist(), needed.column("blob").to_pylist()):
             if kind < 2:
-                counted[kind].append([from_steps(x) if i == 0 else unsmall(x) for i, x in enumerate(open_blob(blob, "BBB"))])
+                places, others, n, owned = open_blob(blob, "BBBB")
+                counted[kind].append([decoded(places, others, common[: 0 if kind else None]), unsmall(n), unsmall(owned)])
         columns = [[np.concatenate(x) for x in zip(*c)] if c else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for c in counted]
         (self.words, self.counts, _), (self.pairs, self.pair_counts, self.owned) = ([x[order] for x in c] for c in columns for order in [np.argsort(c[0])])
 
@@ -337,7 +340,7 @@ class Part:
         p = np.where(seen, kept / total[self.history], alpha[self.history] * p2[self.pair])
         return np.log10(np.maximum(p, 1e-300)), words.base(self.c), alpha
 
-    def model(self, d3: np.ndarray, alpha: np.ndarray) -> bytes:
+    def model(self, d3: np.ndarray, alpha: np.ndarray, common: np.ndarray) -> bytes:
         """The histories, words, counts, discounts and backoff weights of the triples that were learned."""
         own = np.flatnonzero(self.r > 0)
         heads = changes(self.history[own])
@@ -345,7 +348,7 @@ class Part:
         h, g = self.h[self.heads[at]], self.g[self.heads[at]]
         used, numbers = np.unique(np.concatenate((h, g, self.w[own])), return_inverse=True)
         h, g, w = numbers[: len(at)], numbers[len(at) : 2 * len(at)], numbers[2 * len(at) :]
-        return pack_blob([steps(self.words[used]), *map(small, (np.diff(h, prepend=0), g, np.diff(np.append(heads, len(own))), w, self.r[own])), d3, alpha[at].astype(np.float32).view(np.uint8)])
+        return pack_blob([*coded(self.words[used], common), *map(small, (np.diff(h, prepend=0), g, np.diff(np.append(heads, len(own))), w, self.r[own])), d3, alpha[at].astype(np.float32).view(np.uint8)])
 
     def sums(self, score: np.ndarray, base: np.ndarray) -> Iterator[list[np.ndarray]]:
         """For each pack its documents here, with their sums in fine integers."""
@@ -368,22 +371,23 @@ def added(keys: bytes, parts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def stored_model(spark, model_dir: str) -> DataFrame:
     """``part, first, second, word, n, discounted, alpha`` of a stored model: hashes of a triple's words, its counts, its history's weight."""
+    common = np.sort(spark.read.parquet(f"{model_dir}/words").toArrow().column("word").to_numpy().view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in zip(batch.column("pack").to_pylist(), batch.column("part").to_pylist()):
-                words, h, g, sizes, w, r, kept, alpha = open_blob(raw, "BBBBBBdB")
-                words, sizes, alpha = from_steps(words), unsmall(sizes), alpha.view(np.float32).astype(float)
+                places, others, h, g, sizes, w, r, kept, alpha = open_blob(raw, "BBBBBBBdB")
+                words, sizes, alpha = decoded(places, others, common), unsmall(sizes), alpha.view(np.float32).astype(float)
                 columns = [np.repeat(words[np.cumsum(unsmall(h))], sizes), np.repeat(words[unsmall(g)], sizes), words[unsmall(w)]]
                 r = unsmall(r)
                 out = [np.full(len(r), part), columns[1].view(np.int64), columns[0].view(np.int64), columns[2].view(np.int64), r, kept[np.minimum(r, K + 1)] * r, np.repeat(alpha, sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["part", "first", "second", "word", "n", "discounted", "alpha"])
 
-    table = spark.read.schema("pack long, part binary, kind int").parquet(model_dir).where("kind = 2").select("pack", "part")
+    table = spark.read.schema("pack long, part binary, kind int").parquet(f"{model_dir}/triples").where("kind = 2").select("pack", "part")
     return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 10_000_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 5_000_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
@@ -398,18 +402,19 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     parts = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // part_chars
     buckets = -(-parts // TOGETHER)
     often, often_pairs = frequent(texts, parts)
-    lower = cut(lower_counts(texts, often, often_pairs, parts, buckets), "lower")
+    shared = spark.sparkContext.broadcast(common_words(texts, "train"))  # 8 MB at most
+    lower = cut(lower_counts(texts, often, often_pairs, parts, buckets, shared), "lower")
     stats = lower.where("bucket is null").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 4))).first()
     numbers = np.array([x or 0 for x in stats])
     words = Words(int(numbers[K + 3]), int(numbers[K + 2]), numbers[: K + 1], int(numbers[K + 1]))
-    triples = packed_triples(texts, often, often_pairs, parts, buckets).repartition(buckets, "bucket")
+    triples = packed_triples(texts, often, often_pairs, parts, buckets, shared).repartition(buckets, "bucket")
     needed = lower.where("bucket is not null").select("bucket", "kind", "blob", F.lit(None).cast("array<struct<kind:int,place:long,x:array<double>>>").alias("totals"))
 
     def merged(own: pa.Table, needed: pa.Table) -> Iterator[tuple[int, list[int], Part]]:
         """The bucket's parts, one at a time, each with the packs that it comes from."""
-        lower = Lower(needed)
+        lower = Lower(needed, shared.value)
         part, pack, blob = own.column("part").to_numpy(), own.column("pack").to_numpy(), own.column("blob")
-        dictionaries = {int(pack[i]): from_steps(open_blob(blob[i].as_py(), "B")[0]) for i in np.flatnonzero(part < 0).tolist()}
+        dictionaries = {int(pack[i]): decoded(*open_blob(blob[i].as_py(), "BB"), shared.value) for i in np.flatnonzero(part < 0).tolist()}
         for p in np.unique(part[part >= 0]).tolist():
             at = np.flatnonzero(part == p).tolist()
             names = pack[at].tolist()
@@ -442,7 +447,7 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
                 for name, found in zip(names, part.sums(score, base)):
                     sums.setdefault(name, []).append(found)
                 if model_dir:
-                    out.append((p, 2, part.model(d3, alpha)))
+                    out.append((p, 2, part.model(d3, alpha, shared.value)))
             for name, found in sums.items():
                 there, score, base, known = summed(*map(np.concatenate, zip(*found)))
                 out.append((name, 1, pack_blob([small(there), planes(score), planes(base), small(known)])))
@@ -450,8 +455,9 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
 
     evaluated = triples.groupBy("bucket").cogroup(needed.unionByName(everywhere).groupBy("bucket")).applyInArrow(run, "pack long, kind int, part binary")
     if model_dir:
-        evaluated.write.partitionBy("kind").mode("overwrite").parquet(model_dir)
-        evaluated = spark.read.schema("pack long, kind int, part binary").parquet(model_dir).where("kind < 2")
+        evaluated.write.partitionBy("kind").mode("overwrite").parquet(f"{model_dir}/triples")
+        spark.createDataFrame(pa.table([pa.array(shared.value.view(np.int64))], ["word"])).coalesce(1).write.mode("overwrite").parquet(f"{model_dir}/words")
+        evaluated = spark.read.schema("pack long, kind int, part binary").parquet(f"{model_dir}/triples").where("kind < 2")
 
     def gather(group: pa.Table) -> pa.Table:
         kinds, parts = group.column("kind").to_pylist(), group.column("part").to_pylist()

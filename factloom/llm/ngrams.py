@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from factloom.llm.common import changes, joined, planes
+from factloom.llm.common import changes, from_steps, joined, planes, steps
 
 START, END = (xxhash.xxh64_intdigest(x, 2) >> 8 << 8 for x in (b"start", b"end"))
 #: Characters of a pack, about.
@@ -92,6 +94,32 @@ def packs(batches: Iterator[pa.RecordBatch], mark: str, clean: Callable[[pa.Arra
         yield Pack(*held, clean, name)
 
 
+def common_words(texts: DataFrame, mark: str, sampled: int = 16, most: int = 1 << 20) -> np.ndarray:
+    """Sorted hashes of at most ``most`` words, from the first packs of ``sampled`` partitions.
+
+    They are only a code: packs write these words as short numbers and others as hashes, and no result depends on the choice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() < sampled:
+            for pack in packs(batches, mark):
+                yield pa.RecordBatch.from_arrays([pa.array(pack.words.view(np.int64))], ["word"])
+                break
+
+    seen = texts.mapInArrow(run, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return np.sort(seen.limit(most).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+
+
+def coded(words: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Sorted hashes as places among the common ones, and the others as they are; both packed by their differences."""
+    at, there = find(common, words)
+    return [small(np.diff(at[there], prepend=0)), steps(words[~there])]
+
+
+def decoded(places: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate((common[np.cumsum(unsmall(places))], from_steps(others))))
+
+
 def combined(columns: list[np.ndarray], many: int) -> np.ndarray:
     """One sortable number for each row of numbers below ``many``, ordered as the rows are."""
     out = columns[0]
