@@ -2,66 +2,118 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.vocabulary import ATTRIBUTES, MULTIPLIERS, RANGES, STOPWORDS, UNITS
+from factloom.functions.vocabulary import ATTRIBUTES, MONTHS, MULTIPLIERS, NO_VALUE, RANGES, STOPWORDS, UNITS
 
-NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
-_LONGEST = sorted(UNITS, key=lambda u: (-len(u), u))
+#: A number that doesn't continue a word, another number, a date or a range.
+NUMBER = r"(?U)(?<![\w.-])[+-]?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?"
+#: Letters, percent signs and apostrophes begin a word that may be a number word or a unit.
+_WORD = "[a-z'%][a-z0-9'./%]*"
 
 
-def _spelled(unit: str) -> str:
-    """A unit in a regular expression; after a letter or digit a word must end."""
-    return re.sub(r"([.*+?^$|()\[\]{}\\])", r"\\\1", unit) + (r"\b" if unit[-1].isalnum() else "")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-_UNIT = "|".join(map(_spelled, _LONGEST))
-_WORDS = "|".join(sorted(MULTIPLIERS, key=lambda m: (-len(m), m)))
-QUANTITY = rf"(?iU)(?<![\w.-])({NUMBER})\s*((?:{_WORDS})(?![A-Za-z]))?\s*({_UNIT})?"
+def _table(table: dict[str, object]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
 
 def _lookup(key: Column, table: dict[str, object]) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+    return F.element_at(_table(table), key)
 
 
 def number_of(s: Column) -> Column:
-    return F.regexp_replace(s, "[,\\s]", "").try_cast("double")
+    return F.replace(s, F.lit(","), F.lit("")).try_cast("double")
 
 
 def parse_number(s: Column) -> Column:
     """First number, with Indian or other grouping by commas."""
-    return number_of(F.nullif(F.regexp_extract(s, NUMBER, 0), F.lit("")))
+    return number_of(F.nullif(F.regexp_extract(s, "[+-]?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?", 0), F.lit("")))
+
+
+def _words_after(after: Column) -> Column:
+    """Up to four words that follow a number without other signs between; stops and slashes at their ends are dropped."""
+    run = F.regexp_extract(F.lower(F.substring(after, 1, 80)), rf"^\s*((?:{_WORD}\s*){{0,4}})", 1)
+    return F.transform(F.filter(F.split(run, r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"[./]+$", ""))
+
+
+def _unit_of(words: Column) -> tuple[Column, Column]:
+    """The longest unit phrase that begins a list of words, and how many words it takes; null where there is none."""
+    phrase = lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, 1, n), " "))
+    known = _table({u: u for u in UNITS})
+    first = F.get(words, F.lit(0))
+    tries = [(F.element_at(known, phrase(3)), 3), (F.element_at(known, phrase(2)), 2), (F.element_at(known, first), 1), (F.when(first.startswith("%"), "%"), 1), (F.element_at(known, F.substring_index(first, "/", 1)), 1)]
+    taken = F.lit(0)
+    for unit, n in reversed(tries):
+        taken = F.when(unit.isNotNull(), n).otherwise(taken)
+    return F.coalesce(*(u for u, _ in tries)), taken
+
+
+def measure(number: Column, after: Column) -> Column:
+    """struct(raw, value, unit, words) of a number and the text after it.
+
+    The value is the number times a number word times the unit's factor, ``words`` how many words these two take.
+    """
+
+    def read(words: Column) -> Column:
+        many = _lookup(F.get(words, F.lit(0)), MULTIPLIERS)
+
+        def with_unit(rest: Column) -> Column:
+            unit, taken = _unit_of(rest)
+            factor = F.coalesce(_lookup(unit, {k: v[1] for k, v in UNITS.items()}), F.lit(1.0))
+            return F.struct(
+                F.concat_ws(" ", number, F.when(many.isNotNull(), F.get(words, F.lit(0))), unit).alias("raw"), (number_of(number) * F.coalesce(many, F.lit(1.0)) * factor).alias("value"),
+                _lookup(unit, {k: v[0] for k, v in UNITS.items()}).alias("unit"), (taken + F.when(many.isNotNull(), 1).otherwise(0)).alias("words"),
+            )
+
+        return let(F.when(many.isNotNull(), F.slice(words, F.lit(2), F.size(words))).otherwise(words), with_unit)
+
+    return let(_words_after(after), read)
+
+
+def _first_measure(s: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use(number, text before it, text after it)`` of the first number of a text; null without one."""
+    split = lambda parts: F.when(F.size(parts) > 1, use(F.regexp_extract(s, NUMBER, 0), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+    return let(F.split(s, NUMBER, 2), split)
 
 
 def parse_quantity(s: Column) -> Column:
-    """First quantity as struct(value, unit): number times number word times the unit's factor, and the canonical unit."""
-    part = lambda i: F.regexp_extract(s, QUANTITY, i)
-    factor = F.coalesce(_lookup(F.lower(part(2)), MULTIPLIERS), F.lit(1.0))
-    scale = F.coalesce(_lookup(F.lower(part(3)), {k: v[1] for k, v in UNITS.items()}), F.lit(1.0))
-    unit = _lookup(F.lower(part(3)), {k: v[0] for k, v in UNITS.items()})
-    found = F.rlike(s, F.lit(QUANTITY))
-    value = F.when(found, number_of(part(1)) * factor * scale).otherwise(parse_number(s))
-    return F.struct(value.alias("value"), F.when(found, unit).alias("unit"))
+    """First quantity of a text as struct(value, unit): number times number word times the unit's factor, and the canonical unit."""
+    found = _first_measure(s, lambda number, before, after: let(measure(number, after), lambda m: F.struct(m["value"].alias("value"), m["unit"].alias("unit"))))
+    return F.coalesce(found, F.struct(parse_number(s).alias("value"), F.lit(None).cast("string").alias("unit")))
 
 
-YEAR_LIKE, DATE_LIKE = r"^(?:FY\s*'?)?(?:19|20)\d{2}(?:\s*[-–—]\s*\d{2,4})?$", r"^\d{1,4}[.\-/]\d{1,2}[.\-/]\d{1,4}$"
+def is_year(s: Column) -> Column:
+    """A calendar or fiscal year, or a span of years, and nothing else."""
+    bare = F.regexp_replace(F.upper(F.trim(s)), "^FY *'?", "")
+    parts = F.split(F.regexp_replace(bare, " *[–—-] *", "-"), "-")
+    year = lambda x: F.coalesce(x.try_cast("int").between(1900, 2099), F.lit(False)) & (F.length(x) == 4)
+    end = F.get(parts, F.lit(1))
+    return year(F.get(parts, F.lit(0))) & ((F.size(parts) == 1) | ((F.size(parts) == 2) & F.length(end).between(2, 4) & end.try_cast("int").isNotNull()))
 
 
 def is_noise(s: Column) -> Column:
-    """Cells that aren't measurable: blanks, footnotes, years, dates, ranges, words, negatives, fractions, computed decimals."""
-    raw = F.trim(s)
-    match = F.regexp_extract(raw, QUANTITY, 0)
-    rest = F.when(match != "", F.regexp_replace(raw, QUANTITY, "")).otherwise(raw)
-    v = parse_number(raw)
-    decimals = F.regexp_extract(F.regexp_extract(raw, QUANTITY, 1), r"\.(\d*?)0*$", 1)
-    return F.coalesce(
-        (raw == "") | raw.startswith("(") | raw.rlike(YEAR_LIKE) | raw.rlike(DATE_LIKE) | F.lower(raw).isin("nil", "na", "n/a", "-", "—")
-        | raw.rlike(r"^\d+\s*[-–—]\s*\d+$") | rest.rlike("[A-Za-z]{2,}") | v.isNull() | (v < 0) | ((v > -1) & (v < 1)) | (F.length(decimals) > 4),
-        F.lit(True),
-    )
+    """Cells that aren't measurable: blanks, footnotes, years, dates, ranges, words, negatives, fractions, computed decimals.
+
+    A measurable cell is one number, at least one, with at most four decimals; beside its unit it has no word of two letters.
+    """
+    joined = lambda n: rf"^[0-9]{{1,4}}(?: *[–—./-] *[0-9]{{1,4}}){{{n}}}$"  # noqa: E731  parts of a date or a range
+
+    def cell(raw: Column) -> Column:
+        def words_left(number: Column, before: Column, after: Column) -> Column:
+            spare = lambda m: F.size(F.filter(F.regexp_extract_all(F.concat_ws(" ", before, after), F.lit("([A-Za-z]{2,})"), 1), lambda w: w != "")) > F.size(F.regexp_extract_all(m["raw"], F.lit("([A-Za-z]{2,})"), 1))
+            return let(measure(number, after), lambda m: spare(m) | (m["value"] < 0) | (number_of(number) < 1) | (F.length(F.regexp_extract(number, "[.]([0-9]*?)0*$", 1)) > 4))
+
+        shaped = (raw == "") | F.lower(raw).isin(NO_VALUE) | raw.startswith("(") | is_year(raw) | raw.rlike(joined(2)) | raw.rlike("^[0-9]+ *[–—-] *[0-9]+$")
+        return shaped | F.coalesce(_first_measure(raw, words_left), F.lit(True))
+
+    return F.coalesce(let(F.trim(s), cell), F.lit(True))
 
 
 def extract_value(s: Column) -> Column:
@@ -75,20 +127,21 @@ def end_of_march(d: Column) -> Column:
 
 
 def normalize_period(s: Column) -> Column:
-    """Start of the period that a text names: day, month-name date, span of years, FY year, or bare year."""
-    numeric = F.regexp_extract(s, r"(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{4})", 0)
-    split = F.split(F.regexp_replace(numeric, r"[\-/]", "."), r"\.")
-    day = F.when(numeric != "", F.try_to_date(F.concat_ws("-", F.get(split, F.lit(2)), F.lpad(F.get(split, F.lit(1)), 2, "0"), F.lpad(F.get(split, F.lit(0)), 2, "0")), "yyyy-MM-dd"))
-    named = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+(\d{4})"
-    part = lambda i: F.regexp_extract(s, named, i)
-    month = _lookup(F.lower(F.substring(part(2), 1, 3)), {m: f"{i:02}" for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)})
-    worded = F.when(part(1) != "", F.try_to_date(F.concat_ws("-", part(3), month, F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
-    year = lambda text, shift=0, m=4: F.make_date(text.cast("int") - shift, F.lit(m), F.lit(1))
-    span = F.regexp_extract(s, r"(?:FY\s*'?|\b)(\d{4})\s*[-–—]\s*(\d{2,4})\b", 1)
-    fy = F.regexp_extract(s, r"(?i)\bFY\s*'?(\d{2,4})\b", 1)
-    full = F.when(fy != "", F.when(fy.cast("int") < 100, fy.cast("int") + 2000).otherwise(fy.cast("int")))
-    bare = F.regexp_extract(s, r"\b((?:19|20)\d{2})\b", 1)
-    return F.coalesce(end_of_march(day), end_of_march(worded), F.when(span != "", year(F.nullif(span, F.lit("")))), F.make_date(full - 1, F.lit(4), F.lit(1)), F.when(bare != "", year(F.nullif(bare, F.lit("")), 0, 1)))
+    """Start of the period that a text names: day, date with a month's name, span of years, FY year, or bare year."""
+    day_of = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    part = lambda p, i: F.get(p, F.lit(i))
+    first = lambda dates: F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    numbers = F.split(F.translate(F.regexp_extract(s, "[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}", 0), "/-", ".."), "[.]")
+    numeric = let(numbers, lambda p: F.when(F.size(p) == 3, day_of(part(p, 2), part(p, 1), part(p, 0))))
+    named = F.regexp_extract_all(F.lower(s), F.lit("([0-9]{1,2}[a-z]{0,2}\\s+[a-z]{3,9}[.]?\\s+[0-9]{4})"), 1)
+    month = lambda p: _lookup(F.substring(part(p, 1), 1, 3), {m: str(i) for i, m in enumerate(MONTHS, 1)})
+    worded = first(F.transform(named, lambda x: let(F.split(x, r"\s+"), lambda p: day_of(part(p, 2), month(p), F.regexp_extract(part(p, 0), "^[0-9]+", 0)))))
+    start = lambda year, month: F.make_date(year, F.lit(month), F.lit(1))
+    span = F.regexp_extract(s, "(?<![0-9])([0-9]{4})\\s*[–—-]\\s*(?:[0-9]{4}|[0-9]{2,3})(?![0-9])", 1).try_cast("int")
+    fiscal = F.regexp_extract(s, "(?i)\\bFY\\s*'?([0-9]{2,4})(?![0-9])", 1).try_cast("int")
+    ended = F.when(fiscal < 100, fiscal + 2000).otherwise(fiscal)
+    bare = F.regexp_extract(s, "(?<![0-9])(19[0-9]{2}|20[0-9]{2})(?![0-9])", 1).try_cast("int")
+    return F.coalesce(end_of_march(numeric), end_of_march(worded), start(span, 4), start(ended - 1, 4), start(bare, 1))
 
 
 def fy_label(d: Column) -> Column:
@@ -99,22 +152,25 @@ def fy_label(d: Column) -> Column:
 
 def context_unit(s: Column) -> Column:
     """struct(unit, factor) of the longest unit phrase in a text without numbers, such as a column header."""
-    unit, factor = F.lit(None).cast("string"), F.lit(1.0)
-    for phrase in reversed(_LONGEST):
-        there = s.rlike(rf"(?iU)(?<![\w.-]){_spelled(phrase)}")
-        unit, factor = F.when(there, UNITS[phrase][0]).otherwise(unit), F.when(there, UNITS[phrase][1]).otherwise(factor)
-    return F.struct(unit.alias("unit"), factor.alias("factor"))
+    pieces = F.transform(F.split(F.lower(s), "[^a-z0-9'./% ]+"), lambda x: F.transform(F.filter(F.split(x, " +"), lambda w: w.rlike(f"^{_WORD}$")), lambda w: F.regexp_replace(w, "[./]+$", "")))
+    phrases = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    known = F.filter(F.flatten(F.transform(pieces, lambda w: F.concat(*(phrases(w, n) for n in (1, 2, 3))))), lambda p: F.array_contains(F.lit(list(UNITS)), p))
+    longest = F.element_at(F.array_sort(known, lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a > b, -1).when(a < b, 1).otherwise(0)), -1)
+    best = lambda u: F.struct(_lookup(u, {k: v[0] for k, v in UNITS.items()}).alias("unit"), F.coalesce(_lookup(u, {k: v[1] for k, v in UNITS.items()}), F.lit(1.0)).alias("factor"))
+    return let(F.when(F.size(known) > 0, longest), best)
 
 
 def detect_attribute(s: Column) -> Column:
     """Attribute whose keyword stands last in a text; ties go to the earlier one in the vocabulary."""
-    low = F.lower(s)
-    found = []
-    for i, (name, words) in enumerate(ATTRIBUTES.items()):
-        for j, w in enumerate(words):
-            at = F.when(low.contains(w), F.length(low) - F.length(F.substring_index(low, w, -1)) - len(w))
-            found.append(F.struct(at.alias("at"), F.lit(-(100 * i + j)).alias("order"), F.lit(name).alias("name")))
-    return F.array_max(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))["name"]
+    order = {w: (-(100 * i + j), name) for i, (name, words) in enumerate(ATTRIBUTES.items()) for j, w in enumerate(words)}
+    names = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("order"), F.lit(name).alias("name")) for w, (i, name) in order.items()))
+
+    def last(low: Column) -> Column:
+        at = lambda k: F.when(low.contains(k["w"]), -F.length(F.call_function("substring_index", low, k["w"], F.lit(-1))) - F.length(k["w"]))  # noqa: E731  from the end
+        found = F.filter(F.transform(names, lambda k: F.struct(at(k).alias("at"), k["order"].alias("order"), k["name"].alias("name"))), lambda x: x["at"].isNotNull())
+        return F.array_max(found)["name"]
+
+    return let(F.lower(s), last)
 
 
 def in_range(attribute: Column, value: Column) -> Column:
@@ -135,6 +191,10 @@ def search_tokens(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(r"(?U)([\w']+)"), 1)
 
 
+def search_token_count(s: Column) -> Column:
+    return F.regexp_count(F.lower(s), F.lit(r"(?U)[\w']+"))
+
+
 def keyword_tokens(s: Column, least: int = 3) -> Column:
     """Lower-case words without stop words and short ones."""
     return F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"([a-z][a-z\-']+)"), 1), lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))

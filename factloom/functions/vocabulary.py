@@ -43,5 +43,11 @@ ATTRIBUTES = {
 # Plausible ranges of attributes.
 RANGES = {"ash_pct": (0, 100), "moisture_pct": (0, 100), "share_pct": (0, 100), "growth_pct": (-100, 500), "gcv": (500, 12000), "stripping_ratio": (0, 20), "depth": (0, 3000)}
 
+# First letters of the months' names.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# Cells that say that there is no value.
+NO_VALUE = ["nil", "na", "n/a", "-", "—"]
+
 # Words that carry no topic.
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "was", "were", "are", "has", "have", "had", "been", "will", "which", "their", "its", "into", "than", "not", "per"]

@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 def fact_lookup(questions: DataFrame, facts: DataFrame, most: int = 12) -> DataFrame:
     """The best fact of each question (query_id, entity, attribute, period; nulls match anything) and how many other values there are.
 
-    Questions are split by which keys they give, so that each part is an equi-join.
+    Questions are split by which of the keys they give. For each of the eight ways the facts are first ranked by those keys and cut
+    to ``most``, then joined, so no question meets more facts than it keeps. Without a key all questions get the best facts of all.
     """
-    parts = None
     keys = ("entity", "attribute", "period")
-    for given in (keys, ("entity", "attribute"), ("attribute", "period"), ("entity",), ("attribute",)):
+    order = [F.desc("is_current"), F.desc("conf"), F.desc("period"), F.asc("fact_id")]
+    columns = ["query_id", "rank", "fact_id", "value_norm"]
+    parts = None
+    for given in ([k for i, k in enumerate(keys) if n >> i & 1] for n in range(8)):
         q = questions
         for k in keys:
             q = q.where(F.col(k).isNotNull() if k in given else F.col(k).isNull())
-        hit = q.select("query_id", *given).join(facts, list(given)).select("query_id", "fact_id", "entity", "attribute", "period", "value_norm", "is_current", "conf")
+        if given:
+            best = facts.withColumn("rank", F.row_number().over(Window.partitionBy(*given).orderBy(*order))).where(F.col("rank") <= most)
+            hit = q.select("query_id", *given).join(best, given).select(columns)
+        else:
+            first = facts.orderBy(*order).limit(most)
+            ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
+            hit = q.select("query_id").join(F.broadcast(ranked)).select(columns)
         parts = hit if parts is None else parts.unionByName(hit)
-    w = Window.partitionBy("query_id").orderBy(F.desc("is_current"), F.desc("conf"), F.desc("period"), "fact_id")
-    top = parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    return top.groupBy("query_id").agg(F.min_by("fact_id", "rank").alias("fact_id"), F.min_by("value_norm", "rank").alias("value"), (F.count_distinct("value_norm") - 1).alias("n_alternatives"), F.count("*").alias("n_hits"))
+    return parts.groupBy("query_id").agg(F.min_by("fact_id", "rank").alias("fact_id"), F.min_by("value_norm", "rank").alias("value"), (F.count_distinct("value_norm") - 1).alias("n_alternatives"), F.count("*").alias("n_hits"))
 
 
 def sentence(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
+from factloom.sources.shared import stored
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,14 +18,14 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents of each question (query_id, text) by BM25.
 
-    The distinct question words are joined with the postings (only words that are asked for are kept); words in more than
-    half of the documents carry no weight and drop out, which also removes the heaviest join keys.
+    Only postings of words that are asked for are kept, written once for their frequencies and for the scores. Very common words
+    have a small weight and are kept; they are the heaviest join keys, which adaptive execution splits.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(C.search_tokens(F.col("text")))).alias("token"))
-    post = postings(docs).join(asked.select("token").distinct(), "token", "left_semi")
-    stats = docs.select(F.size(C.search_tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    post = stored(postings(docs).join(asked.select("token").distinct(), "token", "left_semi"), "postings")
+    stats = docs.select(C.search_token_count(F.col("text")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     df = post.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = df.crossJoin(F.broadcast(stats)).where(F.col("df") * 2 <= F.col("n")).select("token", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
+    weighed = df.crossJoin(F.broadcast(stats)).select("token", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scores = asked.join(weighed, "token").join(post, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -35,33 +36,43 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def product(a: Column, b: Column) -> Column:
+    """Dot product of arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def normalised(v: Column) -> Column:
     norm = F.sqrt(dot(v, v))
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = 10_000) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 5_000) -> DataFrame:
     """The k nearest vectors (id, v) of each query (query_id, q), exactly.
 
-    The stated query set goes against all vectors: the queries are broadcast, after their number has been checked against ``most``.
+    The stated query set goes against all vectors, in blocks of about ``block`` queries, each of which is broadcast. Both sides are
+    brought to unit length before they meet; the tasks keep the k best of each query, so few pairs are shuffled.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries: send them in blocks")
-    score = dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))
-    pairs = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(score, 6).alias("score"))
+    asked = stored(queries.select("query_id", normalised(F.col("q")).alias("q")), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    unit = stored(vectors.select("id", normalised(F.col("v")).alias("v")), "vectors")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = unit.join(F.broadcast(part), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(product(F.col("v"), F.col("q")), 6).alias("score"))
+        best = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fused(vector_hits: DataFrame, word_hits: DataFrame, titles: DataFrame, weights=(0.45, 0.25, 0.15, 0.10, 0.05)) -> DataFrame:
     """Weighted fusion per question and document: vector score, BM25 relative to the best, title and keyword overlap, recency.
 
-    titles: query_id, id, title_overlap, keyword_overlap, recency for the candidates.
+    titles: query_id, id, title_overlap, keyword_overlap, recency for the candidates; what is missing counts nothing, but recency 0.3.
     """
     both = vector_hits.select("query_id", "id", F.col("score").alias("vec")).join(word_hits.select("query_id", "id", F.col("score").alias("bm")), ["query_id", "id"], "full_outer")
     best = F.max("bm").over(Window.partitionBy("query_id"))
-    rows = both.withColumn("bm", F.coalesce(F.col("bm") / F.nullif(best, F.lit(0.0)), F.lit(0.0))).join(titles, ["query_id", "id"], "left").fillna(0.0)
+    rows = both.withColumn("bm", F.coalesce(F.col("bm") / F.nullif(best, F.lit(0.0)), F.lit(0.0))).join(titles, ["query_id", "id"], "left").fillna(0.3, ["recency"]).fillna(0.0)
     parts = [F.col(c) * w for c, w in zip(("vec", "bm", "title_overlap", "keyword_overlap", "recency"), weights)]
     return rows.select("query_id", "id", F.round(sum(parts[1:], parts[0]), 4).alias("score"))
 
@@ -73,7 +84,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """One k-means step: the nearest centroid (c_id, c) of each vector by dot product; ties to the smaller id."""
-    scored = vectors.join(F.broadcast(centroids), how="cross").select("id", "c_id", F.round(dot(F.col("v"), F.col("c")), 6).alias("s"))  # centroids: at most six
+    scored = vectors.join(F.broadcast(centroids), how="cross").select("id", "c_id", F.round(dot(F.col("v"), F.col("c")), 6).alias("s"))  # centroids: a few
     return scored.groupBy("id").agg(F.min_by("c_id", F.struct(-F.col("s"), "c_id")).alias("cluster"))
 
 

@@ -68,8 +68,7 @@ def _gaps(s, d) -> DataFrame:
     return out
 
 
-add("J-6_shared_documents", lambda s, d: G.shared_documents(facts(s, d)), sql("""SELECT a.entity, b.entity AS other, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n FROM lead_ a JOIN lead_ b ON a.doc_id = b.doc_id AND a.period = b.period AND a.entity <> b.entity GROUP BY 1, 2""", FACTS,
-    "lead_ AS (SELECT * FROM facts WHERE attribute = 'production' QUALIFY row_number() OVER (PARTITION BY doc_id, period ORDER BY value_norm DESC, entity) <= 8)"))
+add("J-6_shared_documents", lambda s, d: G.shared_documents(facts(s, d)), sql("SELECT a.entity, b.entity AS other, count(DISTINCT a.doc_id) AS n_docs, count(*) AS n FROM facts a JOIN facts b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY 1, 2", FACTS))
 add("J-1_provenance_spine", lambda s, d: facts(s, d).join(bridge.read(s, d, "nation").join(bridge.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity"), "r_name"), "entity", "left").groupBy("r_name", "doc_id").agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id")),
     sql("SELECT r_name, doc_id, count(*) AS n, min(fact_id) AS first_id FROM facts LEFT JOIN (SELECT n_name AS entity, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) USING (entity) GROUP BY 1, 2", FACTS))
 add("J-9_counts_per_document", lambda s, d: bridge.documents(s, d).select("doc_id", "filename").join(bridge.elements(s, d).groupBy("doc_id").agg(F.count("*").alias("n_elements")), "doc_id", "left").join(bridge.read(s, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n_labels")), "doc_id", "left").fillna(0),
@@ -81,14 +80,15 @@ add("J-13_receipts", lambda s, d: edges(s, d).where("relation = 'SUPERSEDES'").j
 
 
 def questions(s, d) -> DataFrame:
-    """Questions from orders: entity, attribute and year, some of them left open."""
+    """Questions from orders: entity, attribute and year, each given or left open in all eight ways."""
     o = bridge.read(s, d, "orders").join(bridge.read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(bridge.read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("o_orderkey") % 5
-    return o.select(F.col("o_orderkey").alias("query_id"), F.when(~k.isin(2, 4), F.col("n_name")).alias("entity"), F.when(k != 3, F.when(F.col("o_orderkey") % 2 == 0, "revenue").otherwise("production")).alias("attribute"), F.when(k.isin(0, 2), bridge.fiscal_start(F.col("o_orderdate").cast("date"))).alias("period"))
+    k = F.col("o_custkey") % 8
+    given = lambda i: F.floor(k / 2**i) % 2 == 1
+    return o.select(F.col("o_orderkey").alias("query_id"), F.when(given(0), F.col("n_name")).alias("entity"), F.when(given(1), F.when(F.col("o_orderkey") % 2 == 0, "revenue").otherwise("production")).alias("attribute"), F.when(given(2), bridge.fiscal_start(F.col("o_orderdate").cast("date"))).alias("period"))
 
 
-QUESTIONS = """qs AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 5 NOT IN (2, 4) THEN n_name END AS entity, CASE WHEN o_orderkey % 5 <> 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'revenue' ELSE 'production' END END AS attribute,
-  CASE WHEN o_orderkey % 5 IN (0, 2) THEN make_date(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END, 4, 1) END AS period FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+QUESTIONS = """qs AS (SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 2 = 1 THEN n_name END AS entity, CASE WHEN o_custkey // 2 % 2 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'revenue' ELSE 'production' END END AS attribute,
+  CASE WHEN o_custkey // 4 % 2 = 1 THEN make_date(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELSE 0 END, 4, 1) END AS period FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 kinds AS (SELECT DISTINCT entity AS e, attribute AS a, period AS p FROM qs),
 kh AS (SELECT e, a, p, fact_id, value_norm, row_number() OVER (PARTITION BY e, a, p ORDER BY is_current DESC, conf DESC, period DESC, fact_id) AS rank FROM kinds JOIN facts f ON (e IS NULL OR e = f.entity) AND (a IS NULL OR a = f.attribute) AND (p IS NULL OR p = f.period) QUALIFY rank <= 12),
 lk AS (SELECT e, a, p, arg_min(fact_id, rank) AS fact_id, arg_min(value_norm, rank) AS value, count(DISTINCT value_norm) - 1 AS n_alternatives, count(*) AS n_hits FROM kh GROUP BY 1, 2, 3)"""
@@ -108,7 +108,7 @@ FROM (SELECT *, count(DISTINCT value_norm) OVER (PARTITION BY entity, attribute,
 add("T-7_exact_receipts", lambda s, d: facts(s, d).where("attribute = 'revenue' and year(period) = 1997").select("entity", "fact_id", "doc_id", "value_norm"), sql("SELECT entity, fact_id, doc_id, value_norm FROM facts WHERE attribute = 'revenue' AND year(period) = 1997", FACTS))
 REPORT = "rep AS (SELECT *, count(DISTINCT value_norm) OVER (PARTITION BY entity, attribute, period) - 1 AS n_conflicting FROM facts QUALIFY row_number() OVER (PARTITION BY entity, attribute, period ORDER BY is_current DESC, conf DESC, value_norm DESC, fact_id) = 1)"
 add("T-8_report_rows", lambda s, d: T.report_rows(facts(s, d)), sql("SELECT entity, attribute, period, fact_id, n_conflicting, low_conf AS quarantined, 'S' || row_number() OVER (PARTITION BY entity ORDER BY attribute, period) AS ref FROM rep", FACTS, REPORT))
-add("T-10_audit_calculations", lambda s, d: T.wrong_calculations(S.latest_growth(points(s, d)).withColumn("value", F.when(F.col("entity") < "C", F.col("growth_pct") + 5).otherwise(F.col("growth_pct")))).select("entity", "attribute", "value", "again"), sql("SELECT entity, attribute, growth_pct + 5 AS value, growth_pct AS again FROM gr WHERE entity < 'C'", *V, GROWTH))
+add("T-10_audit_calculations", lambda s, d: T.wrong_calculations(S.latest_growth(points(s, d)).withColumn("value", F.when(F.substring("entity", -1, 1) < "3", F.col("growth_pct") + 5).otherwise(F.col("growth_pct")))).select("entity", "attribute", "value", "again"), sql("SELECT entity, attribute, growth_pct + 5 AS value, growth_pct AS again FROM gr WHERE right(entity, 1) < '3'", *V, GROWTH))
 add("T-10_audit_numbers", lambda s, d: T.unsupported_numbers(bridge.read(s, d, "part").select("p_partkey", F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(" has size "), F.col("p_size").cast("string")).alias("summary"), F.concat(F.lit("part "), (F.col("p_partkey") - F.col("p_partkey") % 2).cast("string")).alias("body"))).select("p_partkey", "missing"),
     "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS missing FROM part WHERE p_partkey >= 100 AND p_partkey % 2 = 1")
 add("J-14_unresolved_claims", lambda s, d: T.unresolved_claims(bridge.read(s, d, "labels").select("doc_id", (F.col("doc_id") * 2).alias("source_id")), bridge.read(s, d, "documents").select(F.col("doc_id").alias("source_id"))), "SELECT doc_id, doc_id * 2 AS source_id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")

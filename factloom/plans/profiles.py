@@ -16,12 +16,11 @@ from factloom.plans.series import CONF, LAG, PCT, SUMMARY, V, facts, points
 from factloom.plans.views import DOCUMENTS, ELEMENTS, EVENTS, FACTS, sql
 from factloom.sources import bridge
 
-LEAD = "lead_ AS (SELECT doc_id, period, entity, max(value_norm) AS v FROM facts GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, period ORDER BY v DESC, entity) <= 8)"
 add("G-5_asset_profile", lambda s, d: P.asset_profile(facts(s, d)), sql("""SELECT entity, n_docs, n_facts, n_metrics, latest, coalesce(n_conflicts, 0) AS n_conflicts, coalesce(n_figures, 0) AS n_figures, largest, coalesce(n_related, 0) AS n_related
 FROM (SELECT entity, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, count(DISTINCT attribute) AS n_metrics, max(period) AS latest FROM facts GROUP BY 1)
 LEFT JOIN (SELECT entity, count(*) AS n_conflicts FROM conf GROUP BY 1) USING (entity)
 LEFT JOIN (SELECT entity, count(*) AS n_figures, max(v) AS largest FROM (SELECT entity, attribute, round(median(value), 7) AS v FROM (SELECT *, max(period) OVER (PARTITION BY entity, attribute) AS m FROM sc) WHERE period = m GROUP BY 1, 2) GROUP BY 1) USING (entity)
-LEFT JOIN (SELECT a.entity, count(DISTINCT b.entity) AS n_related FROM lead_ a JOIN lead_ b ON a.doc_id = b.doc_id AND a.period = b.period AND a.entity <> b.entity GROUP BY 1) USING (entity)""", *V[:2], CONF, LEAD))
+LEFT JOIN (SELECT a.entity, count(DISTINCT b.entity) AS n_related FROM facts a JOIN facts b ON a.doc_id = b.doc_id AND a.entity <> b.entity GROUP BY 1) USING (entity)""", *V[:2], CONF))
 add("G-6_dashboard", lambda s, d: P.dashboard(facts(s, d)), sql(f""", s AS (SELECT *, max(period) OVER w AS last, count(*) OVER w AS n, {LAG} AS b FROM series WINDOW w AS (PARTITION BY entity, attribute)),
 q AS (SELECT s.attribute, {PCT.format(n='value', o='b')} AS yoy, {PCT.format(n='value', o='prior')} AS off, n, n_docs, low_conf_share FROM s LEFT JOIN (SELECT entity, attribute, median(value) AS prior FROM s WHERE period < last GROUP BY 1, 2) p USING (entity, attribute) WHERE period = last)
 SELECT 'trend' AS signal, attribute, count(*) AS n FROM (SELECT * FROM summary WHERE n >= 2 AND delta_pct IS NOT NULL QUALIFY row_number() OVER (PARTITION BY attribute ORDER BY abs(delta_pct) DESC, entity) <= 8) GROUP BY 2

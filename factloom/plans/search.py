@@ -17,7 +17,7 @@ POST = f"""tk AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
 post AS (SELECT token, id, CAST(n AS INTEGER) AS len, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS token FROM tk) GROUP BY 1, 2, 3)"""
 BM25 = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS token FROM benchmark),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tk),
-idf AS (SELECT token, mean, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY 1), st WHERE df * 2 <= n),
+idf AS (SELECT token, mean, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY 1), st),
 bm AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM asked JOIN idf USING (token) JOIN post USING (token) GROUP BY 1, 2),
 hits AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10)"""
 
@@ -57,7 +57,7 @@ def fusion(spark, d) -> DataFrame:
     q = questions(spark, d).select("query_id", C.search_tokens(F.col("text")).alias("qw"))
     docs = bridge.documents(spark, d)
     hits, near = bm25(spark, d), cosine(spark, d)
-    candidates = hits.select("query_id", "id").union(near.select("query_id", "id")).distinct().join(q, "query_id").join(docs, F.col("id") == F.col("doc_id"))
+    candidates = hits.select("query_id", "id").union(near.select("query_id", "id")).distinct().join(q, "query_id").join(docs, F.col("id") == F.col("doc_id"), "left")
     first = C.search_tokens(F.substring_index("text", "\n", 1))
     titles = candidates.select("query_id", "id", R.overlap(F.col("qw"), C.search_tokens(F.regexp_replace("filename", "[_.]", " "))).alias("title_overlap"), R.overlap(F.col("qw"), first).alias("keyword_overlap"), C.recency(F.col("doc_date"), "2001-01-01").alias("recency"))
     return R.fused(near, hits, titles)
@@ -67,7 +67,7 @@ W = lambda t: rf"regexp_extract_all(lower({t}), '([\p{{L}}\p{{N}}_'']+)', 1)"  #
 OVERLAP = "coalesce(len(list_intersect(list_distinct(qw), list_distinct({b})))::DOUBLE / nullif(len(list_distinct(qw)), 0), 0)"
 add("S-6_fusion", fusion, sql(f""", c AS (SELECT coalesce(v.query_id, h.query_id) AS query_id, coalesce(v.id, h.id) AS id, v.score AS vec, h.score AS bm FROM vt v FULL JOIN hits h ON v.query_id = h.query_id AND v.id = h.id),
 n AS (SELECT query_id, id, coalesce(vec, 0) AS vec, coalesce(bm / nullif(max(bm) OVER (PARTITION BY query_id), 0), 0) AS bm FROM c)
-SELECT n.query_id, n.id, round(vec * 0.45 + bm * 0.25 + coalesce({OVERLAP.format(b=W("regexp_replace(filename, '[_.]', ' ', 'g')"))}, 0) * 0.15 + coalesce({OVERLAP.format(b=W("split_part(d.text, chr(10), 1)"))}, 0) * 0.10 + coalesce(exp(-greatest(DATE '2001-01-01' - doc_date, 0) / 365), 0) * 0.05, 4) AS score
+SELECT n.query_id, n.id, round(vec * 0.45 + bm * 0.25 + coalesce({OVERLAP.format(b=W("regexp_replace(filename, '[_.]', ' ', 'g')"))}, 0) * 0.15 + coalesce({OVERLAP.format(b=W("split_part(d.text, chr(10), 1)"))}, 0) * 0.10 + CASE WHEN doc_date IS NULL THEN 0.3 ELSE exp(-greatest(DATE '2001-01-01' - doc_date, 0) / 365) END * 0.05, 4) AS score
 FROM n LEFT JOIN docs d ON d.doc_id = n.id LEFT JOIN (SELECT item_id AS query_id, {W("text")} AS qw FROM benchmark) q ON q.query_id = n.query_id""", POST, BM25, COSINE, DOCUMENTS))
 add("U-2_candidate_union", lambda s, d: bm25(s, d).select("query_id", "id").union(cosine(s, d).select("query_id", "id")).distinct(), sql("SELECT query_id, id FROM hits UNION SELECT query_id, id FROM vt", POST, BM25, COSINE))
 add("T-2_abstention", lambda s, d: cosine(s, d).groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.stddev_pop("score"), 6).alias("spread")).withColumn("abstain", (F.col("best") < 0.60) | ((F.col("spread") < 0.03) & (F.col("best") < 0.75))),
@@ -79,13 +79,13 @@ add("T-6_evidence_grade", lambda s, d: bm25(s, d).join(bridge.documents(s, d).se
 
 
 def centroids(spark, d) -> DataFrame:
-    """Mean vectors of the first six labels."""
-    v = bridge.read(spark, d, "embeddings").where("label < 6").select("label", F.posexplode("embedding").alias("i", "x"))
+    """Mean vectors of the labels (ten at any size)."""
+    v = bridge.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     mean = v.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
     return mean.groupBy(F.col("label").alias("c_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("c"))
 
 
-add("S-11_cluster_assignment", lambda s, d: R.assign(vectors(s, d), centroids(s, d)), """WITH m AS (SELECT label, i, round(avg(x::DOUBLE), 9) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE label < 6) GROUP BY 1, 2),
+add("S-11_cluster_assignment", lambda s, d: R.assign(vectors(s, d), centroids(s, d)), """WITH m AS (SELECT label, i, round(avg(x::DOUBLE), 9) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
 c AS (SELECT label AS c_id, list(m ORDER BY i) AS c FROM m GROUP BY 1),
 s AS (SELECT vec_id AS id, c_id, round(list_sum(list_transform(list_zip(embedding, c), lambda p: p[1]::DOUBLE * p[2])), 6) AS s FROM embeddings, c)
 SELECT id, arg_min(c_id, (-s, c_id)) AS cluster FROM s GROUP BY 1""")

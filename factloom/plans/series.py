@@ -66,8 +66,8 @@ summary AS (SELECT *, CASE WHEN first_value <> 0 THEN round((last_value - first_
 add("A-3_timeline_summary", over_points(S.summary), sql("SELECT * FROM summary", *V, SUMMARY))
 GAPS = """gp AS (SELECT entity, attribute, min(year(period))::INTEGER AS a, max(year(period))::INTEGER AS b, list(DISTINCT year(period)) AS ys FROM series GROUP BY 1, 2),
 gaps AS (SELECT entity, attribute, a, b, list_filter(range(a, b + 1), lambda y: NOT list_contains(ys, y)) AS g FROM gp)"""
-add("A-4_coverage_gaps", over_points(lambda p: S.coverage_gaps(p.where("year(period) % 3 <> 1 or entity < 'F'"))), sql(
-    "SELECT entity, attribute, a, b, len(g)::INTEGER AS n_gaps, coalesce(array_to_string(g, ','), '') AS gaps FROM gaps", *V[:3], SERIES.replace("FROM el GROUP", "FROM el WHERE year(period) % 3 <> 1 OR entity < 'F' GROUP"), GAPS))
+add("A-4_coverage_gaps", over_points(S.coverage_gaps), sql(
+    "SELECT entity, attribute, a, b, len(g)::INTEGER AS n_gaps, coalesce(array_to_string(g, ','), '') AS gaps FROM gaps", *V[:3], SERIES, GAPS))
 TREND = """tr0 AS (SELECT entity, attribute, count(*) AS n, regr_slope(value, year(period)) AS slope, regr_intercept(value, year(period)) AS intercept, regr_sxx(value, year(period)) AS sxx, regr_syy(value, year(period)) AS syy,
   regr_sxy(value, year(period)) AS sxy, avg(year(period)) AS mean_x, max(year(period)) AS last_year, min(value) AS least_ FROM series GROUP BY 1, 2),
 tr AS (SELECT *, greatest(syy - slope * sxy, 0) AS rest, CASE WHEN syy = 0 THEN 0 ELSE 1 - greatest(syy - slope * sxy, 0) / syy END AS r2, CASE WHEN n > 2 THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) ELSE 0 END AS s FROM tr0)"""

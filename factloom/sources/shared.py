@@ -1,19 +1,33 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary folder.
+
+    On a cluster it must be set: a folder of one machine is lost with it, and the others don't see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="factloom-"))
         named = _own[0]
     return named.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once into the shared folder and read back, for what several branches use."""
+    path = f"{shared_dir(df.sparkSession)}/factloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
