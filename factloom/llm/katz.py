@@ -39,7 +39,7 @@ from factloom.llm.ngrams import FINE, Pack, coded, combined, common_words, decod
 #: Largest count that is discounted.
 K = 5
 #: Parts that travel together.
-TOGETHER = 6
+TOGETHER = 5
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -387,7 +387,7 @@ def stored_model(spark, model_dir: str) -> DataFrame:
     return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 5_000_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 4_000_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
