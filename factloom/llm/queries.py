@@ -77,7 +77,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.toxicity import toxicity
 
     scores = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 0)
-    return scores.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scores.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 #: Tree and weights of the registered mix: domains are families of sources, by the source's number.

@@ -154,3 +154,42 @@ class Katz:
 
         words = ["<", "<", *text.lower().split(), ">"]
         return sum(math.log10(self.p((words[i - 2], words[i - 1]), words[i])) for i in range(2, len(words)))
+
+
+class Toxicity:
+    """Plain class-conditional word models with a shared lower order; ``rows`` are texts with labels 0 or 1."""
+
+    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„‘’«»¡¿"
+
+    def __init__(self, rows, discount):
+        self.counts = [{}, {}]
+        pairs = set()
+        for text, label in rows:
+            words = self.words(text)
+            for a, b in zip(["<", *words], words):
+                self.counts[label][b] = self.counts[label].get(b, 0) + 1
+                pairs.add((a, b))
+        self.totals = [sum(c.values()) for c in self.counts]
+        self.discounts = [discount * n for n in self.totals]
+        self.left = [sum(min(n, d) for n in c.values()) / t for c, d, t in zip(self.counts, self.discounts, self.totals)]
+        self.met = {w: sum(b == w for _, b in pairs) for w in {b for _, b in pairs}}
+        self.together = len(pairs)
+
+    def words(self, text):
+        return [w for w in (x.strip(self.PUNCTUATION) for x in text.lower().split()) if w]
+
+    def p(self, word, label, less=0):
+        shared = (self.met.get(word, 0) + 0.5) / (self.together + 0.5 * (len(self.met) + 1))
+        return max(self.counts[label].get(word, 0) - less - self.discounts[label], 0) / self.totals[label] + self.left[label] * shared
+
+    def compare(self, text, clear, own=None):
+        import math
+
+        words = self.words(text)
+        total = 0.0
+        for w in words:
+            if any(self.counts[c].get(w, 0) > self.discounts[c] for c in (0, 1)):
+                less = [words.count(w) if own == c else 0 for c in (0, 1)]
+                r = math.log(self.p(w, 1, less[1])) - math.log(self.p(w, 0, less[0]))
+                total += r if abs(r) > clear else 0.0
+        return total / math.sqrt(max(1, len(words)))

@@ -314,6 +314,37 @@ def test_toxicity_held_out(spark):
     assert sum(a == b for a, b in held) >= 0.95 * len(held) and sum(p for t, p in held if t) >= 0.75 * sum(t for t, _ in held)
 
 
+def test_toxicity_matches_a_plain_model_that_sums_to_one(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["calm", "kind", "tree", "vile", "Scum", "scum!", "(river)", "stone", "lake", "x"]
+    make = lambda toxic: " ".join(rng.choices(words, [5, 5, 4, 3 * toxic + 0.1, 2 * toxic + 0.1, toxic + 0.1, 3, 2, 2, 1], k=rng.randrange(0, 25)))
+    rows = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(120)]
+    plain = brute.Toxicity([(t, x) for _, t, x in rows], 0.01)
+    for c in (0, 1):
+        assert abs(sum(plain.p(w, c) for w in [*plain.met, "never seen"]) - 1) < 1e-9
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    monkeypatch.setattr("factloom.llm.ngrams.PACK_CHARS", 700)
+    learned = df.select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"), "text")
+    model = toxicity.fit(learned, 0.01, bucket_chars=500)
+    for without in (False, True):
+        got = {r.key: r.x for r in toxicity.compared(learned, model, 0.5, without).collect()}
+        assert all(abs(got[i] - plain.compare(t, 0.5, x if without else None)) < 1e-9 for i, t, x in rows)
+    slope, constant = toxicity.logistic(toxicity.compared(learned, model, 0.5, True))
+    assert slope > 0 > constant
+    labels = df.select("doc_id", "toxic")
+    one, two = ({r.doc_id: r.score for r in toxicity.toxicity(df, labels, F.lit(True), discount=0.01, clear=0.5, broadcast_labels=n).collect()} for n in (0, 1000))
+    assert one == two and all(0 <= x <= 1 for x in one.values())
+
+
+def test_toxicity_one_class_ties_and_contradictions(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "vile"), (None, "a")], "doc_id long, text string")
+    for labels, want in (([(1, 0)], 0.0), ([(2, 1)], 1.0), ([(None, 1)], 0.0), ([(1, None), (2, 7)], 0.0)):
+        rows = toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).collect()
+        assert len(rows) == 4 and {r.score for r in rows} == {want}
+    rows = toxicity.toxicity(df, spark.createDataFrame([(1, 0), (2, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True)).collect()
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1 and [r.score for r in rows if r.doc_id == 2][0] >= [r.score for r in rows if r.doc_id == 1][0]
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(3, 0), (6, 1), (7, None), (5, 2)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels, F.lit(True)).collect()
@@ -423,11 +454,11 @@ def test_toxicity_learns_from_every_labelled_row_whole(spark):
     late = [(n + i, ("calm plain words " * 7_000) + "gruesome ending", 1) for i in range(4)]  # over 100,000 characters
     probes = [(-1, "calm plain gruesome ending", None), (-2, "calm plain words here stand", None), *((-10 - i, f"plain words here vile{i} stand", None) for i in range(0, 3000, 30))]
     df = spark.createDataFrame(rows + late + probes, "doc_id long, text string, toxic int")
-    model = toxicity.counted(df.where("toxic is not null").select(F.xxhash64("doc_id").alias("key"), F.col("toxic").alias("label"), "text"), 3, 2)
-    stats = model.where("bucket >= 3").agg(*(F.sum(F.get("stats", F.lit(i))) for i in (5, 11))).first()
+    counts = toxicity.counted(df.where("toxic is not null").select(F.xxhash64("doc_id").alias("key"), F.col("toxic").alias("label"), "text"))
+    stats = counts.agg(F.sum("n0"), F.sum("n1")).first()
     of = {0: 0, 1: 0}
     for _, text, label in rows + late:
         of[label] += len(text.split())
     assert tuple(stats) == (of[0], of[1])
-    scores = {r.doc_id: r.score for r in toxicity.toxicity(df.drop("toxic"), df.where("toxic is not null").select("doc_id", "toxic"), F.lit(True), bucket_chars=200_000).collect()}
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(df.drop("toxic"), df.where("toxic is not null").select("doc_id", "toxic"), F.lit(True), discount=1e-6).collect()}
     assert all(scores[-10 - i] > 0.5 for i in range(0, 3000, 30)) and scores[-1] > scores[-2]
