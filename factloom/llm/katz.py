@@ -270,16 +270,16 @@ class Part:
         for words, raw in zip(dictionaries, blobs):
             h, g, w, n, sizes, doc, times = map(unsmall, open_blob(raw, "B" * 7))
             used, at = np.unique(np.concatenate((np.cumsum(h), g, w)), return_inverse=True)
-            opened.append((words[used], at, n, sizes, doc, times))
+            opened.append((words[used], at, *(x.astype(np.int32) for x in (n, sizes, doc, times))))
         self.words = np.unique(np.concatenate([x[0] for x in opened]))
         many = len(self.words)
         h, g, w = (np.concatenate(x) for x in zip(*(np.searchsorted(self.words, x[0])[x[1]].reshape(3, -1) for x in opened)))
         key = combined([h, g, w], many)
         order = np.argsort(key, kind="stable")
         at = changes(key[order])
-        back = np.empty(len(key), dtype=np.int64)
-        back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
-        self.r = np.add.reduceat(np.concatenate([x[2] for x in opened])[order], at)
+        back = np.empty(len(key), dtype=np.int32)
+        back[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(key))))
+        self.r = np.add.reduceat(np.concatenate([x[2] for x in opened])[order], at, dtype=np.int64)
         self.h, self.g, self.w = (x[order[at]] for x in (h, g, w))
         cuts = np.cumsum([0, *(len(x[2]) for x in opened)])
         #: For each pack: the triple of each cell, the cell's document and how often it stands there.
@@ -387,7 +387,7 @@ def stored_model(spark, model_dir: str) -> DataFrame:
     return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 4_000_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 3_500_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
@@ -448,6 +448,7 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
                     sums.setdefault(name, []).append(found)
                 if model_dir:
                     out.append((p, 2, part.model(d3, alpha, shared.value)))
+                del part, score, base, alpha
             for name, found in sums.items():
                 there, score, base, known = summed(*map(np.concatenate, zip(*found)))
                 out.append((name, 1, pack_blob([small(there), planes(score), planes(base), small(known)])))

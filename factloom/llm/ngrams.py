@@ -23,7 +23,7 @@ from factloom.llm.common import changes, from_steps, joined, planes, steps
 
 START, END = (xxhash.xxh64_intdigest(x, 2) >> 8 << 8 for x in (b"start", b"end"))
 #: Characters of a pack, about.
-PACK_CHARS = 6_000_000
+PACK_CHARS = 4_000_000
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -56,7 +56,7 @@ class Pack:
         inner = np.ones(len(self.tokens), dtype=bool)
         inner[last] = False
         self.tokens[inner] = number[at[full]]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         #: A number that no other pack of a job has, to bring its parts together again.
         self.name = name
 
@@ -90,6 +90,7 @@ def packs(batches: Iterator[pa.RecordBatch], mark: str, clean: Callable[[pa.Arra
             if room <= 0:
                 yield Pack(*held, clean, name)
                 held, room, name = ([], [], []), size, name + 1
+                pa.default_memory_pool().release_unused()
     if held[0]:
         yield Pack(*held, clean, name)
 
