@@ -7,8 +7,9 @@ from grouped aggregation over all rows, with text evidence as the judge. Host pr
 those of the host's domain, and those towards the counts of all rows.
 
 Text models are fitted on at most ``per_language`` labelled texts of each language (smallest id hashes, at most ``longest``
-characters): documented bounds; their tables have a fixed size. All rows are judged over whole texts, and all rows count in the
-aggregates.
+characters) and on at most ``most_languages`` languages: documented bounds; their tables so have a fixed size. All rows are judged
+over whole texts, and all rows count in the aggregates. Trigrams overlap and are not independent, so a text's log-likelihood
+is tempered by ``weight``, at every length alike.
 
 Defined results: null or empty texts have no text evidence and are never accepted; null declarations, addresses and hosts
 count as missing values of their own; repeated rows count each; without labelled texts the language is null; an empty table
@@ -27,15 +28,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import cut, small_batches, whole_text
+from factloom.llm.common import cut, ship, small_batches, whole_text
 
 BUCKETS = 1 << 15
-_HIDDEN = re.compile(r"<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_SKIPPED = re.compile(r"<(script|style|nav)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav")}
 
 
 def visible(page: str) -> str:
-    """Text of a page without markup, scripts, styles, comments and navigation."""
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """Text of a page without markup, scripts, styles, comments and navigation; what is left open hides only its own tag.
+
+    Each end is searched for from where the last search stopped, and not again once there is none, so the time is linear.
+    """
+    out, at = [], 0
+    missing: set[str] = set()
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in missing:
+            return -1
+        if kind in _ENDS:
+            found = _ENDS[kind].search(page, start)
+            end = found.end() if found else -1
+        else:
+            end = page.find(kind, start)
+            end = end + len(kind) if end >= 0 else -1
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    while (tag := page.find("<", at)) >= 0:
+        out.append(page[at:tag])
+        skipped = _SKIPPED.match(page, tag)
+        end = end_of("-->", tag + 4) if page.startswith("<!--", tag) else end_of(skipped[1].lower(), tag) if skipped else -1
+        if end < 0:
+            end = end_of(">", tag)
+        if end < 0:  # no tag is closed any more
+            out.append(page[tag:])
+            return html.unescape(" ".join(out))
+        at = end
+    out.append(page[at:])
+    return html.unescape(" ".join(out))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -48,13 +80,23 @@ def trigrams(text: str) -> np.ndarray:
     return ((code ^ code >> np.uint64(23)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 50_000) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of the buckets, from a bounded sample of labelled texts."""
+def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 50_000, most_languages: int = 500) -> tuple[list[str], np.ndarray]:
+    """Languages and log-probabilities of the buckets, from a bounded sample of labelled texts.
+
+    The smallest hashes of a language are found below a threshold that its number of texts gives, so only the sample is ranked.
+    """
+    ship(labelled.sparkSession)
     small_batches(labelled.sparkSession)
     short = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), whole_text(text_col).alias("text")).where((F.length("text") <= longest) & (F.col("lang") != "") & (F.col("text") != ""))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(5)), "id")
+    order = Window.partitionBy("lang").orderBy("x", "id")
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.length(whole_text(text_col)).alias("n")).where((F.col("n") <= longest) & (F.col("n") > 0) & (F.col("lang") != ""))
-    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("many")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    wanted = per_language + 10 * int(per_language**0.5)  # of so many drawn, fewer than per_language hardly ever come
+    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, wanted / r.many)))) if sizes else F.lit(None).cast("map<string,double>")
+    drawn = ids.withColumn("x", F.xxhash64("id", F.lit(5)) / F.lit(2.0**64) + 0.5).where(F.col("x") <= F.element_at(limits, F.col("lang")))
+    chosen = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -75,14 +117,14 @@ def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def identify(
     rows: DataFrame, langs: list[str], table: np.ndarray, id_col: str, text_col: str, declared_col: str | None, address_col: str | None, host_col: str | None,
-    markup: bool = False, prior_strength: float = 20.0, weight: float = 0.25, most: int = 400, sure: float = 0.9,
+    markup: bool = False, prior_strength: float = 20.0, weight: float = 0.25, sure: float = 0.9,
 ) -> DataFrame:
     """``id_col, lang, posterior, text_lang, declared, suffix, accepted`` of every row.
 
-    Trigrams overlap, so a text's mean log-likelihood counts for ``weight`` times its trigrams, ``most`` at most. With ``markup``
-    the text column holds pages, whose ``html lang`` is the declaration.
+    With ``markup`` the text column holds pages, whose ``html lang`` is the declaration.
     """
     spark = rows.sparkSession
+    ship(spark)
     small_batches(spark)
     absent = F.lit(None).cast("string")
     text = whole_text(text_col)
@@ -106,7 +148,7 @@ def identify(
                 codes = trigrams(visible(page) if markup else page)
                 n = len(codes)
                 sizes.append(n)
-                out.append((logs[codes].sum(axis=0) * (min(most, weight * n) / n)).tolist() if n else [0.0] * n_langs)
+                out.append((logs[codes].sum(axis=0) * weight).tolist() if n else [0.0] * n_langs)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], [*carried, "text_logs", "n"])
 
     schema = listed.select(*carried).schema.add("text_logs", T.ArrayType(T.DoubleType())).add("n", "long")

@@ -69,15 +69,16 @@ def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: dict[s
 
 def mix(
     docs: DataFrame, levels: list[str], total: Column, weights: dict[str, dict[str, int]], default_weight: int = 1, max_epochs: int = 2, seed: int = 17,
-    id_col: str = "doc_id", n_tokens: Column | None = None, text_col: str = "text",
+    id_col: str = "doc_id", n_tokens: Column | None = None, text_col: str = "text", keep: list[str] | None = None,
 ) -> DataFrame:
-    """``id_col, levels, n_tokens, full_epochs, part_tokens`` of every row of which tokens are taken.
+    """``id_col, keep, levels, n_tokens, full_epochs, part_tokens`` of every row of which tokens are taken.
 
-    Without ``n_tokens`` tokens are the words of the text.
+    Without ``n_tokens`` tokens are the words of the text. The columns ``keep`` are carried along and break ties of equal ids.
     """
+    keep = keep or []
     counted = F.size(words_of(whole_text(text_col))) if n_tokens is None else n_tokens
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
-    rows = cut(docs.select(id_col, *names, counted.cast("long").alias("n_tokens")).where("n_tokens > 0"), "tokens")
+    rows = cut(docs.select(id_col, *keep, *names, counted.cast("long").alias("n_tokens")).where("n_tokens > 0"), "tokens")
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = cut(budgets(leaves, levels, total, weights, default_weight, max_epochs), "plan")
     plan = plan.selectExpr(*levels, "budget div tokens as full_epochs", "budget % tokens as part", f"cast(ceil(docs / {BUCKET_DOCS}) as long) as buckets")
@@ -87,9 +88,9 @@ def mix(
     order = Window.partitionBy(*levels).orderBy("bucket")
     sums = dealt.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("size")).withColumn("start", F.sum("size").over(order) - F.col("size"))
     placed = dealt.join(sums, [*levels, "bucket"])
-    columns = [id_col, *levels, "n_tokens", "full_epochs"]
+    columns = [id_col, *keep, *levels, "n_tokens", "full_epochs"]
     clear = placed.where("start + size <= part or start >= part").select(*columns, F.when(F.col("start") < F.col("part"), F.col("n_tokens")).otherwise(0).alias("part_tokens"))
-    inner = Window.partitionBy(*levels, "bucket").orderBy("key", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy(*levels, "bucket").orderBy("key", id_col, "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     torn = placed.where("start < part and start + size > part").withColumn("at", F.col("start") + F.sum("n_tokens").over(inner) - F.col("n_tokens"))
     torn = torn.select(*columns, F.greatest(F.lit(0), F.least("n_tokens", F.col("part") - F.col("at"))).cast("long").alias("part_tokens"))
     return clear.unionByName(torn).where("full_epochs > 0 or part_tokens > 0")

@@ -193,3 +193,47 @@ class Toxicity:
                 r = math.log(self.p(w, 1, less[1])) - math.log(self.p(w, 0, less[0]))
                 total += r if abs(r) > clear else 0.0
         return total / math.sqrt(max(1, len(words)))
+
+
+def visible(page):
+    """Text of a page whose markup is closed, by one pattern."""
+    import html
+    import re
+
+    return html.unescape(re.sub(r"(?si)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page))
+
+
+def fused(rows, langs, table, trigrams, weight=0.25, strength=20.0, sure=0.9):
+    """Language, posterior and acceptance of each row (id, text, declared, address) by plain counts."""
+    import collections
+    import math
+    import re
+
+    made = []
+    for i, text, said, url in rows:
+        codes = trigrams(text or "")
+        host = (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", url or "") or [None, ""])[1].lower()
+        segment = (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", url or "") or [None, ""])[1].lower()
+        suffix = segment or "." + host.rsplit(".", 1)[-1]
+        domain = ".".join(host.rsplit(".", 2)[-2:]) if host.count(".") else ""
+        logs = table[codes].sum(axis=0) * weight if len(codes) else [0.0] * len(langs)
+        best = max(range(len(langs)), key=lambda k: logs[k]) if len(codes) else None
+        made.append((i, len(codes), list(logs), best, (said or "").lower()[:2], suffix, host, domain))
+    judged = [m for m in made if m[3] is not None]
+    total = collections.Counter(m[3] for m in judged)
+    overall = [(total[k] + 1) / (len(judged) + len(langs)) for k in range(len(langs))]
+
+    def smoothed(at, key, prior):
+        n = collections.Counter(m[3] for m in judged if m[at] == key)
+        return [(n[k] + strength * prior[k]) / (sum(n.values()) + strength) for k in range(len(langs))]
+
+    for i, n, logs, _, said, suffix, host, domain in made:
+        sums = list(logs)
+        for at, key in ((4, said), (5, suffix)):
+            if any(m[at] == key for m in judged):
+                sums = [s + math.log((sum(m[at] == key and m[3] == k for m in judged) + 0.5) / (total[k] + 10.0)) for k, s in enumerate(sums)]
+        if any(m[6] == host for m in judged):
+            sums = [s + math.log(p) for s, p in zip(sums, smoothed(6, host, smoothed(7, domain, overall)))]
+        top = max(sums)
+        posterior = 1 / sum(math.exp(s - top) for s in sums)
+        yield i, langs[sums.index(top)], posterior, n > 0 and posterior >= sure

@@ -408,6 +408,46 @@ def test_langid_fuses_evidence(spark, docs, odd):
     assert langid.identify(odd.limit(0), langs, models, "doc_id", "text", "lang", None, "source").count() == 0
 
 
+def test_langid_matches_plain_fusion(spark):
+    """Posteriors against sums of logarithms over dictionaries, with ties, repeats, missing hosts and very long texts."""
+    rng = random.Random(15)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["sch", "eng", "ung", "ka"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    labelled = spark.createDataFrame([(i, make(lang, 30), lang) for i, lang in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "x", None), (902, "", "")], "doc_id long, text string, lang string")
+    langs, table = langid.text_models(labelled)
+    assert langs == ["aa", "bb"]
+    rows = [(i, make(rng.choice(langs), rng.choice([0, 1, 2, 3, 400, 20_000 if i == 7 else 5])), rng.choice(["aa", "bb", "zz", None]), f"http://h{rng.randrange(4)}.d{rng.randrange(2)}.{rng.choice(['aa', 'bb'])}/{rng.choice(['aa', 'x'])}/p") for i in range(60)]
+    rows += [rows[3], (None, "kato mire", "aa", None), (61, None, None, None), (62, "12 34", "bb", "nonsense")]
+    df = spark.createDataFrame(rows, "page_id long, html string, said string, url string").withColumns({c: F.lit("x") for c in ("id", "host", "n", "p", "c0", "text_logs")})
+    got = [(r.page_id, r.lang, round(r.posterior, 9), r.accepted) for r in langid.identify(df, langs, table, "page_id", "html", "said", "url", None).collect()]
+    want = [(i, lang, round(p, 9), ok) for i, lang, p, ok in brute.fused(rows, langs, table, langid.trigrams)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_langid_sample_is_bounded_and_by_hash(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some plain words").alias("text"), F.when(F.col("id") % 3 == 0, "aa").otherwise("bb").alias("lang"))
+    one = langid.text_models(df, per_language=40)
+    two = langid.text_models(df.repartition(7), per_language=40)
+    assert one[0] == two[0] and np.array_equal(one[1], two[1])
+    with pytest.raises(ValueError):
+        langid.text_models(df.withColumn("lang", F.col("doc_id").cast("string")), most_languages=50)
+
+
+def test_visible_text_is_linear_and_keeps_what_is_open():
+    import time
+
+    assert langid.visible("a<!-- b <p> -->c<SCRIPT x>d</script >e<p title='1'>f</p>&amp;<style>g").split() == ["a", "c", "e", "f", "&", "g"]
+    assert langid.visible("x <script> y") == "x   y" and langid.visible("1 < 2") == "1  < 2" and langid.visible("") == ""
+    began = time.time()
+    for part in ("<script>", "<", "<!--", "<style", "<nav></", "<!-->", "<script></script"):
+        langid.visible(part * (1_000_000 // len(part)))
+    assert time.time() - began < 7
+    rng = random.Random(16)
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "word", " ", "<!-- x -->", "<script>1<2</script>", "<nav>n</nav>", "<a href='x'>", "&lt;"]) for _ in range(20))
+        assert langid.visible(page).split() == brute.visible(page).split()
+
+
 def test_langid_finds_a_late_declaration(spark, docs):
     langs, models = langid.text_models(docs)
     df = spark.createDataFrame([(1, f'<!-- {"x" * 5_000} --><html lang="de"><p>text</p></html>', None)], "page_id long, html string, url string")
@@ -441,10 +481,33 @@ def test_pipeline(spark, sf, docs, texts, tokenizer):
 def test_pipeline_stages_on_odd_rows(spark, sf, odd):
     import corpus_pipeline
 
-    rows = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, rows, sf).count() >= 0
+    rows = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit("x").alias("row_id"), F.lit(1).alias("accepted"))
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, rows.limit(0), sf).count() == 0
+        out = stage(spark, rows, sf).collect()
+        ids = sorted(str(r.doc_id) for r in out)
+        if name == "near duplicates":  # null and empty are copies, and so are the two rows of id 4 and 3
+            assert ids == ["1", "3", "5", "6", "7", "None"]
+        elif name == "mixing":
+            assert set(ids) <= {"3", "4", "5", "6", "7", "None"} and len(ids) < len(ODD)
+        elif name == "language identification":
+            assert "None" in ids and "1" not in ids and "2" not in ids  # no text, no language
+        else:
+            assert len(ids) == len(ODD) and "None" in ids
+
+
+def test_pipeline_decides_on_rows_not_on_ids(spark, sf, docs):
+    """Rows that share an id, or have none, are kept or dropped each by itself, without losing any to the join."""
+    import corpus_pipeline
+
+    clean = docs.where("n_chars between 500 and 3000").orderBy("doc_id").limit(30)
+    same = clean.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(5).cast("long")))
+    texts = {r.text for r in corpus_pipeline.near_duplicates(spark, clean, sf).collect()}
+    assert {r.text for r in corpus_pipeline.near_duplicates(spark, same, sf).collect()} == texts
+    assert corpus_pipeline.language(spark, same, sf).count() == corpus_pipeline.language(spark, clean, sf).count() > 20
+    tokens = lambda df: sum(len(r.text.split()) for r in df.collect())
+    budget, most = 0.75 * tokens(clean), max(len(r.text.split()) for r in clean.collect())
+    assert budget - 1 <= tokens(corpus_pipeline.mixing(spark, same, sf)) <= budget + 12 * most
 
 
 def test_toxicity_learns_from_every_labelled_row_whole(spark):
