@@ -1,12 +1,14 @@
 """A training-data pipeline over ``documents``: five stages, each working on all that the one before kept.
 
 1. Language identification: documents whose language is uncertain go; the others carry the language found.
-2. SimHash near-duplicates: of each group the document with the smallest id stays.
+2. SimHash near-duplicates: of each group the document with the smallest id stays (documents without an id last).
 3. Personal data: selected spans are replaced by their kind in brackets.
 4. Mixing to target weights: one epoch at most; documents outside the budget's token prefixes go, the last one taken stays whole.
 5. Byte-level BPE: token ids, and whether decoding them gives the text back.
 
-Every stage but the last returns the columns of ``documents``. A document that repeats an id counts as one with it.
+Every stage but the last returns the columns of ``documents``. A stage that decides on rows first numbers them and writes the
+numbers with them, so ids may be null or repeat: every row is a document of its own, with a decision of its own. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ from factloom.llm.common import cut, ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written once so that it stays the same."""
+    return cut(docs.select(COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from factloom.llm.langid import identify, text_models
 
     ship(spark)
-    langs, models = text_models(docs)
-    found = identify(docs, langs, models, "doc_id", "text", "lang", None, "source")
-    found = found.join(docs.select("doc_id", F.col("lang").alias("was")), "doc_id").where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("was")))
-    notes = cut(found.groupBy("doc_id").agg(F.min("accepted").alias("accepted"), F.min("lang").alias("found")), "notes")
-    joined = docs.join(notes, "doc_id", "left").where(F.coalesce("accepted", F.lit(True)))
+    rows = numbered(docs)
+    langs, models = text_models(rows, "row_id")
+    found = identify(rows, langs, models, "row_id", "text", "lang", None, "source")
+    found = found.join(rows.select("row_id", F.col("lang").alias("was")), "row_id").where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("was")))
+    notes = cut(found.select("row_id", "accepted", F.col("lang").alias("found")), "notes")
+    joined = rows.join(notes, "row_id", "left").where(F.coalesce("accepted", F.lit(True)))
     return joined.withColumn("lang", F.coalesce("found", "lang")).select(COLUMNS)
 
 
@@ -37,8 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from factloom.llm.simhash import simhash_components
 
     ship(spark)
-    dropped = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(cut(dropped, "dropped"), "doc_id", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    groups = cut(simhash_components(rows, "row_id").select("row_id", "component_id").join(rows.select("row_id", "doc_id"), "row_id"), "groups")
+    stays = groups.groupBy("component_id").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("stays"))
+    dropped = groups.join(stays, "component_id").where("row_id <> stays").select("row_id")
+    return rows.join(cut(dropped, "dropped"), "row_id", "left_anti").select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +64,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from factloom.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
 
     ship(spark)
-    taken = mix(with_domain(docs), MIX_LEVELS, F.expr("sum_tokens * 3 div 4"), MIX_WEIGHTS, max_epochs=1)
-    taken = cut(taken.select("doc_id").distinct(), "taken").hint("merge")  # most documents stay, so this side grows with them: never broadcast it
-    return docs.join(taken, "doc_id", "left_semi").select(COLUMNS)
+    rows = numbered(docs)
+    taken = mix(with_domain(rows), MIX_LEVELS, F.expr("sum_tokens * 3 div 4"), MIX_WEIGHTS, max_epochs=1, keep=["row_id"])
+    taken = cut(taken.select("row_id"), "taken").hint("merge")  # most documents stay, so this side grows with them: never broadcast it
+    return rows.join(taken, "row_id", "left_semi").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
