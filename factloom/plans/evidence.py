@@ -125,8 +125,6 @@ def _evaluated(s, d) -> DataFrame:
 add("T-13_evidence_ids", lambda s, d: T.evidence_ids(facts(s, d), "DATA", ["attribute", "period", "doc_id"]).select("fact_id", "evidence_id"), sql("SELECT fact_id, 'DATA-' || entity || '-' || lpad(CAST(row_number() OVER (PARTITION BY entity ORDER BY attribute, period, doc_id) AS VARCHAR), 4, '0') AS evidence_id FROM facts", FACTS))
 add("U-1_entity_union", lambda s, d: facts(s, d).select("entity").union(edges(s, d).where("src_kind = 'entity'").select("src")).distinct(), sql("SELECT entity FROM facts UNION SELECT src FROM edges WHERE src_kind = 'entity'", *E))
 add("U-6_entities_of_two_periods", lambda s, d: facts(s, d).where("year(period) in (1996, 1997)").groupBy("entity").agg(F.count_distinct("period").alias("n")), sql("SELECT entity, count(DISTINCT period) AS n FROM facts WHERE year(period) IN (1996, 1997) GROUP BY 1", FACTS))
-add("U-7_search_layers", lambda s, d: facts(s, d).where("entity ilike '%a%'").groupBy("entity").count().select(F.lit("entity").alias("layer"), F.col("entity").alias("id")).union(bridge.documents(s, d).where("filename ilike '%src1\\_%'").select(F.lit("document"), F.col("doc_id").cast("string"))).groupBy("layer").count(),
-    sql("SELECT layer, count(*) AS count FROM (SELECT DISTINCT 'entity' AS layer, entity AS id FROM facts WHERE entity ILIKE '%a%' UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR) FROM docs WHERE filename ILIKE '%src1\\_%' ESCAPE '\\') GROUP BY 1", FACTS, DOCUMENTS))
 add("U-8_distinct_lists", lambda s, d: bridge.documents(s, d).select(F.lit("subsidiary").alias("list"), F.col("subsidiary").alias("value")).union(bridge.documents(s, d).select(F.lit("doc_type"), "doc_type")).distinct(), sql("SELECT DISTINCT 'subsidiary' AS list, subsidiary AS value FROM docs UNION SELECT DISTINCT 'doc_type', doc_type FROM docs", DOCUMENTS))
 add("P-5_substring_predicates", lambda s, d: bridge.documents(s, d).where(F.col("filename").ilike("%_EN_rev%") | F.lower("text").contains("pathetic")).select("doc_id"), sql("SELECT doc_id FROM docs WHERE contains(lower(filename), '_en_rev') OR contains(lower(text), 'pathetic')", DOCUMENTS))
 add("P-6_ranges", lambda s, d: bridge.read(s, d, "lineitem").where(F.col("l_quantity").between(10, 20) & F.col("l_discount").between(0.02, 0.05)).groupBy("l_returnflag").count(), "SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.05 GROUP BY 1")

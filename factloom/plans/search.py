@@ -91,18 +91,6 @@ s AS (SELECT vec_id AS id, c_id, round(list_sum(list_transform(list_zip(embeddin
 SELECT id, arg_min(c_id, (-s, c_id)) AS cluster FROM s GROUP BY 1""")
 add("S-11_kmeans", lambda s, d: R.kmeans(vectors(s, d), 6).groupBy("cluster").count())
 add("S-5_hashed_embedding", lambda s, d: R.hashed_embedding(bridge.read(s, d, "documents")).select("doc_id", F.col("embedding").cast("string").alias("v")).select("doc_id", F.length("v").alias("n")))
-add("V-7_similar_by_mean_vector", lambda s, d: _label_pairs(s, d), """WITH m AS (SELECT label, i, round(avg(x::DOUBLE), 9) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)
-SELECT a.label AS a, b.label AS b, round(list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.c, lambda x: x * x)) * list_sum(list_transform(b.c, lambda x: x * x))), 6) AS cosine FROM c a JOIN c b ON a.label < b.label""")
-
-
-def _label_pairs(spark, d) -> DataFrame:
-    """Cosine of the mean vectors of every two labels (ten labels at any size)."""
-    v = bridge.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = v.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
-    c = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("c"))
-    a, b = c.select(F.col("label").alias("a"), F.col("c").alias("x")), c.select(F.col("label").alias("b"), F.col("c").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.dot(F.col("x"), F.col("y")) / F.sqrt(R.dot(F.col("x"), F.col("x")) * R.dot(F.col("y"), F.col("y"))), 6).alias("cosine"))
-
 
 def topic_terms(spark, d) -> DataFrame:
     return bridge.read(spark, d, "documents").select(F.col("lang").alias("cluster"), F.explode(C.keyword_tokens(F.col("text"))).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("n"))

@@ -169,8 +169,6 @@ add("C-16_quality_gate", lambda s, d: structure.quality_gate(bridge.documents(s,
 FROM (SELECT d.doc_id, n_pages, n_elements, n_chunks, list_filter([CASE WHEN coalesce(n_elements, 0) = 0 THEN 'no elements' END, CASE WHEN coalesce(n_chunks, 0) = 0 THEN 'no chunks' END, CASE WHEN coalesce(chars, 0) < 0.9 * n_chars THEN 'low coverage' END, CASE WHEN coalesce(most, 0) > 400 THEN 'chunk above budget' END], lambda x: x IS NOT NULL) AS r
   FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_elements, count(DISTINCT page_no) AS n_pages, sum(length(text)) AS chars FROM elements GROUP BY 1) e USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n_chunks, max(t) AS most FROM (SELECT doc_id, island, sum(tokens) AS t FROM body GROUP BY 1, 2) GROUP BY 1) c USING (doc_id)) d""", ELEMENTS, HEADS, ISLANDS))
-add("A-28_page_classes", lambda s, d: bridge.elements(s, d).groupBy("doc_id", "page_no").agg(F.count_if(F.col("element_type") == "HEADING").alias("h"), F.count("*").alias("n")).withColumn("page_class", F.when(F.col("h") * 2 > F.col("n"), "outline").when(F.col("h") > 0, "mixed").otherwise("text")).groupBy("page_class").count(),
-    sql("SELECT CASE WHEN h * 2 > n THEN 'outline' WHEN h > 0 THEN 'mixed' ELSE 'text' END AS page_class, count(*) AS count FROM (SELECT doc_id, page_no, count(*) FILTER (element_type = 'HEADING') AS h, count(*) AS n FROM elements GROUP BY 1, 2) GROUP BY 1", ELEMENTS))
 add("P-9_prose_junk", lambda s, d: bridge.elements(s, d).where((F.length("text") >= 70) & ~F.col("text").rlike(r"(?:[0-9.,]+\s+){5}") & ~F.col("text").contains("|")).withColumn("r", F.row_number().over(structure.Window.partitionBy("text").orderBy("doc_id", "order_idx"))).where("r = 1").select("doc_id", "order_idx"),
     sql(r"SELECT doc_id, order_idx FROM elements WHERE length(text) >= 70 AND NOT regexp_matches(text, '(?:[0-9.,]+\s+){5}') AND NOT contains(text, '|') QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, order_idx) = 1", ELEMENTS))
 add("P-13_page_view", lambda s, d: bridge.elements(s, d).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda e: e["text"]), "\n").alias("t")).select("doc_id", "page_no", F.md5("t").alias("digest")),
