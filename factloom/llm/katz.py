@@ -39,7 +39,7 @@ from factloom.llm.ngrams import FINE, Pack, coded, combined, common_words, decod
 #: Largest count that is discounted.
 K = 5
 #: Parts that travel together.
-TOGETHER = 5
+TOGETHER = 7
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,13 +122,13 @@ def triples_of(pack: Pack) -> tuple[np.ndarray, ...]:
 
 
 def frequent(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and of all pairs, that are histories of half a part's tokens or more (and of some less frequent ones)."""
-    share = 0.25 / parts
+    """Hashes of all words, and of all pairs, that are histories of three quarters of a part's tokens or more (and of some less frequent ones)."""
+    share = 0.5 / parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches, "train"):
             g, h, _ = triples_of(pack)
-            least = max(2.0, share * len(h))
+            least = max(2.0, share / 2 * len(h))  # half of it is in packs where the share is half as high at least
             n = np.bincount(h, minlength=len(pack.words))
             at = np.flatnonzero(n >= least)
             some = np.isin(h, at)
@@ -141,7 +141,7 @@ def frequent(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
     if parts == 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    sums = texts.mapInArrow(run, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    sums = cut(texts.mapInArrow(run, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n")), "frequent")
     total = F.sum(F.when(F.col("kind") == 0, F.col("n")))
     rows = sums.where(F.col("kind") == 0).agg(total.alias("total")).join(sums.where(F.col("kind") > 0)).where(F.col("n") >= share * F.col("total")).select("kind", "word").collect()  # at most 4 * parts of a kind
     return tuple(np.array(sorted(np.array([r.word for r in rows if r.kind == k], dtype=np.int64).view(np.uint64)), dtype=np.uint64) for k in (1, 2))
@@ -249,96 +249,110 @@ def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(at, [*at[1:], len(x)])
 
 
-class Lower:
-    """What a bucket needs of words and of pairs after frequent words: sorted keys and counts."""
+class Bucket:
+    """What the parts of a bucket share: its words, their counts, and counts of pairs after frequent words."""
 
-    def __init__(self, needed: pa.Table, common: np.ndarray):
+    def __init__(self, dictionaries: dict[int, np.ndarray], needed: pa.Table, common: np.ndarray, often: np.ndarray, often_pairs: np.ndarray):
+        self.words = np.unique(np.concatenate(list(dictionaries.values())))
+        #: For each pack the place of each of its words.
+        self.places = {name: np.searchsorted(self.words, d).astype(np.int32) for name, d in dictionaries.items()}
         counted: list[list] = [[], []]
         for kind, blob in zip(needed.column("kind").to_pylist(), needed.column("blob").to_pylist()):
             if kind < 2:
                 places, others, n, owned = open_blob(blob, "BBBB")
                 counted[kind].append([decoded(places, others, common[: 0 if kind else None]), unsmall(n), unsmall(owned)])
         columns = [[np.concatenate(x) for x in zip(*c)] if c else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for c in counted]
-        (self.words, self.counts, _), (self.pairs, self.pair_counts, self.owned) = ([x[order] for x in c] for c in columns for order in [np.argsort(c[0])])
+        (keys, n, _), (self.pairs, self.pair_counts, self.owned) = ([x[order] for x in c] for c in columns for order in [np.argsort(c[0])])
+        self.c = np.zeros(len(self.words), dtype=np.int64)
+        at, there = find(keys, self.words)
+        self.c[there] = n[at[there]]
+        self.hot_place, self.hot = find(often, self.words)
+        self.often_pairs = often_pairs
 
 
 class Part:
     """Merged triples, pairs and histories of one part."""
 
-    def __init__(self, dictionaries: list[np.ndarray], blobs: list[bytes], lower: Lower, often: np.ndarray, often_pairs: np.ndarray):
+    def __init__(self, bucket: Bucket, names: list[int], blobs: list[bytes]):
         opened = []
-        for words, raw in zip(dictionaries, blobs):
+        for name, raw in zip(names, blobs):
             h, g, w, n, sizes, doc, times = map(unsmall, open_blob(raw, "B" * 7))
-            used, at = np.unique(np.concatenate((np.cumsum(h), g, w)), return_inverse=True)
-            opened.append((words[used], at, *(x.astype(np.int32) for x in (n, sizes, doc, times))))
-        self.words = np.unique(np.concatenate([x[0] for x in opened]))
-        many = len(self.words)
-        h, g, w = (np.concatenate(x) for x in zip(*(np.searchsorted(self.words, x[0])[x[1]].reshape(3, -1) for x in opened)))
-        key = combined([h, g, w], many)
+            place = bucket.places[name]
+            opened.append((place[np.cumsum(h)], place[g], place[w], *(x.astype(np.int32) for x in (n, sizes, doc, times))))
+        self.bucket = bucket
+        many = len(bucket.words)
+        h, g, w = (np.concatenate([x[i] for x in opened]) for i in range(3))
+        key = combined([h.astype(np.int64), g, w], many)
         order = np.argsort(key, kind="stable")
         at = changes(key[order])
         back = np.empty(len(key), dtype=np.int32)
         back[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(key))))
-        self.r = np.add.reduceat(np.concatenate([x[2] for x in opened])[order], at, dtype=np.int64)
+        self.r = np.add.reduceat(np.concatenate([x[3] for x in opened])[order], at, dtype=np.int64)
         self.h, self.g, self.w = (x[order[at]] for x in (h, g, w))
-        cuts = np.cumsum([0, *(len(x[2]) for x in opened)])
+        cuts = np.cumsum([0, *(len(x[3]) for x in opened)])
         #: For each pack: the triple of each cell, the cell's document and how often it stands there.
-        self.cells = [(np.repeat(back[i:j], x[3]), x[4], x[5]) for x, i, j in zip(opened, cuts, cuts[1:])]
+        self.cells = [(np.repeat(back[i:j], x[4]), x[5], x[6]) for x, i, j in zip(opened, cuts, cuts[1:])]
         del key, order, back, h, g, w, opened
         self.heads = changes(self.h, self.g)  # histories of two words
-        self.history = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.h))))
-        pair, self.pair = np.unique(self.h * many + self.w, return_inverse=True)
+        self.history = np.repeat(np.arange(len(self.heads), dtype=np.int32), np.diff(np.append(self.heads, len(self.h))))
+        pair, self.pair = np.unique(self.h.astype(np.int64) * many + self.w, return_inverse=True)
         self.pair_h, self.pair_w = pair // many, pair % many
-        self.c = np.zeros(many, dtype=np.int64)
-        at, there = find(lower.words, self.words)
-        self.c[there] = lower.counts[at[there]]
         self.r2 = np.bincount(self.pair, self.r, len(pair)).astype(np.int64)
         self.owned = np.ones(len(pair), dtype=bool)
-        self.hot_place, self.hot = find(often, self.words)
-        split = np.flatnonzero(self.hot[self.pair_h])
+        split = np.flatnonzero(bucket.hot[self.pair_h])
         if len(split):
-            at = np.searchsorted(lower.pairs, pair_keys(self.words[self.pair_h[split]], self.words[self.pair_w[split]]))
-            self.r2[split], self.owned[split] = lower.pair_counts[at], lower.owned[at] > 0
-            lower.owned[at] = 0  # the bucket's other parts leave it out
-        self.history_place, self.history_hot = find(often_pairs, pair_keys(self.words[self.g[self.heads]], self.words[self.h[self.heads]]))
-        self.history_hot &= self.hot[self.h[self.heads]]
+            at = np.searchsorted(bucket.pairs, pair_keys(bucket.words[self.pair_h[split]], bucket.words[self.pair_w[split]]))
+            self.r2[split], self.owned[split] = bucket.pair_counts[at], bucket.owned[at] > 0
+            bucket.owned[at] = 0  # the bucket's other parts leave it out
+        # Words that are histories here, so that their sums take no more room than the part.
+        self.firsts, self.first = np.unique(self.pair_h, return_inverse=True)
+        self.history_first = np.searchsorted(self.firsts, self.h[self.heads])
+        hot = np.flatnonzero(bucket.hot[self.h[self.heads]])
+        self.history_hot = np.zeros(len(self.heads), dtype=bool)
+        self.history_place = np.zeros(len(self.heads), dtype=np.int64)
+        if len(hot):
+            at = self.heads[hot]
+            self.history_place[hot], self.history_hot[hot] = find(bucket.often_pairs, pair_keys(bucket.words[self.g[at]], bucket.words[self.h[at]]))
 
     def statistics(self, words: Words) -> list[tuple[int, int, list[float]]]:
         """``kind, place, numbers``: counts of counts of pairs (0) and triples (1); parts of frequent words' (2) and histories' (3) sums."""
         coc = lambda r: np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].astype(float).tolist()
         out = [(0, 0, coc(self.r2[self.owned])), (1, 0, coc(self.r))]
-        at = np.flatnonzero(self.hot[self.pair_h] & self.owned & (self.r2 > 0))
-        place, where = np.unique(self.hot_place[self.pair_h[at]], return_inverse=True)
-        sums = np.column_stack([by_count(where, self.r2[at], len(place)), np.bincount(where, words.p(self.c[self.pair_w[at]]), len(place))])
+        b = self.bucket
+        at = np.flatnonzero(b.hot[self.pair_h] & self.owned & (self.r2 > 0))
+        place, where = np.unique(b.hot_place[self.pair_h[at]], return_inverse=True)
+        sums = np.column_stack([by_count(where, self.r2[at], len(place)), np.bincount(where, words.p(b.c[self.pair_w[at]]), len(place))])
         out += [(2, p, x) for p, x in zip(place.tolist(), sums.tolist())]
         at = np.flatnonzero(self.history_hot[self.history] & (self.r > 0))
         place, where = np.unique(self.history_place[self.history[at]], return_inverse=True)
         sums = np.column_stack([by_count(where, self.r[at], len(place)), by_count(where, self.r2[self.pair[at]], len(place))])
         return out + [(3, p, x) for p, x in zip(place.tolist(), sums.tolist())]
 
-    def evaluate(self, words: Words, d2: np.ndarray, d3: np.ndarray, often: np.ndarray, often_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """log10 P of each triple, log10 of the base model for each word, and the model's columns."""
-        many = len(self.words)
-        p1 = words.p(self.c)
+    def evaluate(self, words: Words, d2: np.ndarray, d3: np.ndarray, often: np.ndarray, often_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of each triple, and the backoff weight of each history of two words."""
+        b = self.bucket
+        p1 = words.p(b.c[self.pair_w])
         seen = self.r2 > 0
         kept = d2[np.minimum(self.r2, K + 1)] * self.r2
-        sums = [np.bincount(self.pair_h, x, many) for x in (self.r2, kept, np.where(seen, p1[self.pair_w], 0.0))]
-        if len(often):
-            of = often[self.hot_place[self.hot]]
+        sums = [np.bincount(self.first, x, len(self.firsts)) for x in (self.r2, kept, np.where(seen, p1, 0.0))]
+        hot = b.hot[self.firsts]
+        if hot.any():
+            of = often[b.hot_place[self.firsts[hot]]]
             for x, y in zip(sums, (count_of(of), mass_of(of, d2), of[:, K + 1])):
-                x[self.hot] = y
+                x[hot] = y
         total, alpha1 = weights(*sums)
-        p2 = np.where(seen, kept / total[self.pair_h], alpha1[self.pair_h] * p1[self.pair_w])
+        p2 = np.where(seen, kept / total[self.first], alpha1[self.first] * p1)
+        below_total = total[self.history_first]
         seen = self.r > 0
         kept = d3[np.minimum(self.r, K + 1)] * self.r
         sums = [np.bincount(self.history, x, len(self.heads)) for x in (self.r, kept, np.where(seen, p2[self.pair], 0.0))]
         if self.history_hot.any():
             of = often_pairs[self.history_place[self.history_hot]]
-            for x, y in zip(sums, (count_of(of), mass_of(of, d3), mass_of(of[:, K + 1 :], d2) / total[self.h[self.heads]][self.history_hot])):
+            for x, y in zip(sums, (count_of(of), mass_of(of, d3), mass_of(of[:, K + 1 :], d2) / below_total[self.history_hot])):
                 x[self.history_hot] = y
         total, alpha = weights(*sums)
         p = np.where(seen, kept / total[self.history], alpha[self.history] * p2[self.pair])
-        return np.log10(np.maximum(p, 1e-300)), words.base(self.c), alpha
+        return np.log10(np.maximum(p, 1e-300)), alpha
 
     def model(self, d3: np.ndarray, alpha: np.ndarray, common: np.ndarray) -> bytes:
         """The histories, words, counts, discounts and backoff weights of the triples that were learned."""
@@ -348,15 +362,14 @@ class Part:
         h, g = self.h[self.heads[at]], self.g[self.heads[at]]
         used, numbers = np.unique(np.concatenate((h, g, self.w[own])), return_inverse=True)
         h, g, w = numbers[: len(at)], numbers[len(at) : 2 * len(at)], numbers[2 * len(at) :]
-        return pack_blob([*coded(self.words[used], common), *map(small, (np.diff(h, prepend=0), g, np.diff(np.append(heads, len(own))), w, self.r[own])), d3, alpha[at].astype(np.float32).view(np.uint8)])
+        return pack_blob([*coded(self.bucket.words[used], common), *map(small, (np.diff(h, prepend=0), g, np.diff(np.append(heads, len(own))), w, self.r[own])), d3, alpha[at].astype(np.float32).view(np.uint8)])
 
     def sums(self, score: np.ndarray, base: np.ndarray) -> Iterator[list[np.ndarray]]:
         """For each pack its documents here, with their sums in fine integers."""
-        known = self.c > 0
+        base, known = base[self.w], (self.bucket.c > 0)[self.w]
         for triple, doc, times in self.cells:
             there, at = np.unique(doc, return_inverse=True)
-            w = self.w[triple]
-            yield [there, *(fine(np.bincount(at, x * times, len(there))) for x in (score[triple], base[w])), np.bincount(at, known[w] * times, len(there)).astype(np.int64)]
+            yield [there, *(fine(np.bincount(at, x[triple] * times, len(there))) for x in (score, base)), np.bincount(at, known[triple] * times, len(there)).astype(np.int64)]
 
 
 def added(keys: bytes, parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -387,7 +400,7 @@ def stored_model(spark, model_dir: str) -> DataFrame:
     return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 3_500_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 2_500_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.
@@ -412,13 +425,14 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
 
     def merged(own: pa.Table, needed: pa.Table) -> Iterator[tuple[int, list[int], Part]]:
         """The bucket's parts, one at a time, each with the packs that it comes from."""
-        lower = Lower(needed, shared.value)
         part, pack, blob = own.column("part").to_numpy(), own.column("pack").to_numpy(), own.column("blob")
         dictionaries = {int(pack[i]): decoded(*open_blob(blob[i].as_py(), "BB"), shared.value) for i in np.flatnonzero(part < 0).tolist()}
+        bucket = Bucket(dictionaries, needed, shared.value, often, often_pairs)
+        del dictionaries
         for p in np.unique(part[part >= 0]).tolist():
             at = np.flatnonzero(part == p).tolist()
             names = pack[at].tolist()
-            yield p, names, Part([dictionaries[n] for n in names], [blob[i].as_py() for i in at], lower, often, often_pairs)
+            yield p, names, Part(bucket, names, [blob[i].as_py() for i in at])
 
     def report(own: pa.Table, needed: pa.Table) -> pa.Table:
         rows = [r for _, _, part in merged(own, needed) for r in part.statistics(words)] if own.num_rows and own.column("bucket")[0].as_py() >= 0 else []
@@ -443,12 +457,12 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
             d2, d3 = (np.append(discounts(n), 1.0) for n in coc)
             sums: dict[int, list[list[np.ndarray]]] = {}
             for p, names, part in merged(own, needed):
-                score, base, alpha = part.evaluate(words, d2, d3, *hot)
-                for name, found in zip(names, part.sums(score, base)):
+                score, alpha = part.evaluate(words, d2, d3, *hot)
+                for name, found in zip(names, part.sums(score, words.base(part.bucket.c))):
                     sums.setdefault(name, []).append(found)
                 if model_dir:
                     out.append((p, 2, part.model(d3, alpha, shared.value)))
-                del part, score, base, alpha
+                del part, score, alpha
             for name, found in sums.items():
                 there, score, base, known = summed(*map(np.concatenate, zip(*found)))
                 out.append((name, 1, pack_blob([small(there), planes(score), planes(base), small(known)])))
