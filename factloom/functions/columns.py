@@ -210,7 +210,7 @@ def embedding_prefix(title: Column, subsidiary: Column, doc_type: Column, keywor
 
 def recency(d: Column, as_of: str) -> Column:
     """exp(-days / 365); 0.3 without a date."""
-    return F.coalesce(F.exp(-F.greatest(F.datediff(F.lit(as_of).cast("date"), d), F.lit(0)) / 365), F.lit(0.3))
+    return F.when(d.isNull(), 0.3).otherwise(F.exp(-F.greatest(F.datediff(F.lit(as_of).cast("date"), d), F.lit(0)) / 365))
 
 
 def version_stem(filename: Column) -> Column:

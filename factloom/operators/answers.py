@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.series import scaled, with_top_values
+
 
 def fact_lookup(questions: DataFrame, facts: DataFrame, most: int = 12) -> DataFrame:
     """The best fact of each question (query_id, entity, attribute, period; nulls match anything) and how many other values there are.
@@ -75,3 +77,27 @@ def evaluation(expected: DataFrame, extracted: DataFrame, key: str, target: floa
     j = expected.join(extracted.withColumnRenamed("value", "got"), key, "left")
     good = F.coalesce(F.abs(F.col("got") - F.col("value")) <= 1e-6 * F.greatest(F.abs("value"), F.lit(1.0)), F.lit(False))
     return j.agg(F.count("*").alias("n"), F.count_if(good).alias("n_right")).select("n", "n_right", F.round(100 * F.col("n_right") / F.col("n"), 4).alias("accuracy")).withColumn("passed", F.col("accuracy") >= target)
+
+
+def evidence_grade(answers: DataFrame) -> DataFrame:
+    """``level``, ``checks`` and ``coverage`` of answers by n_sources, n_docs, n_conflicts, n_ocr, exact (a fact was found) and abstained.
+
+    HIGH needs an exact fact, two sources, no conflict and no recognised text; MEDIUM an exact fact, or two sources without conflict.
+    """
+    sources, conflicts, ocr, exact = F.col("n_sources"), F.col("n_conflicts"), F.col("n_ocr"), F.col("exact")
+    level = (
+        F.when(F.col("abstained") | (sources == 0), "LOW").when(exact & (conflicts == 0) & (sources >= 2) & (ocr == 0), "HIGH")
+        .when(exact | ((sources >= 2) & (conflicts == 0)), "MEDIUM").otherwise("LOW")
+    )
+    ok = lambda test: F.when(test, "ok").otherwise("warn")
+    checks = [F.when(sources >= 2, "ok").when(sources == 1, "warn").otherwise("bad"), ok(F.col("n_docs") >= 2), ok(conflicts == 0), ok(ocr == 0), ok(exact)]
+    named = F.concat_ws(",", *(F.concat(F.lit(f"{n}:"), c) for n, c in zip(("sources", "documents", "conflicts", "recognised", "exact"), checks)))
+    coverage = F.when(F.col("n_docs") >= 3, "HIGH").when(F.col("n_docs") == 2, "MEDIUM").when(F.col("n_docs") == 1, "LOW").otherwise("NONE")
+    return answers.withColumns({"level": level, "checks": named, "coverage": coverage})
+
+
+def alternatives(facts: DataFrame, top: int = 8) -> DataFrame:
+    """Of each fact the values, among the ``top`` largest on its key, that differ from its own by more than max(0.01, 1 %)."""
+    rows = with_top_values(scaled(facts), scaled(facts), top)
+    others = F.filter("top_values", lambda v: F.abs(v - F.col("value")) > F.greatest(F.lit(0.01), F.abs("value") * 0.01))
+    return rows.select("fact_id", "value", others.alias("others")).where(F.size("others") > 0)

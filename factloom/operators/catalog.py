@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import conflicts, graph, lifecycle, search, series
+from factloom.operators import answers, conflicts, graph, lifecycle, search, series
 
 CATALOG = {
     "calculate_growth": (("points",), series.latest_growth),
@@ -13,4 +13,5 @@ CATALOG = {
     "find_conflicts": (("facts",), conflicts.radar),
     "compare_documents": (("facts", "left", "right"), lifecycle.compare_documents),
     "search_documents": (("docs", "questions", "k"), search.bm25),
+    "get_facts": (("questions", "facts", "most"), answers.fact_lookup),
 }

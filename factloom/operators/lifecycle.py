@@ -28,12 +28,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table_files(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text files as a long grid (path, row_idx, col_idx, value); the more frequent of ; and , in a file's first line separates, ragged rows keep what they have."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("lines"))
+    """Delimited text files as a long grid (path, row_idx, col_idx, value), every row as wide as the file's widest.
+
+    Files are UTF-8, UTF-16 with a mark, or else Latin-1; the more frequent of ; and , in a file's first line separates.
+    """
+    raw = F.col("content")
+    mark = F.hex(F.substring(raw, 1, 2))
+    utf8 = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, 4, 2**31 - 1)).otherwise(raw)
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(raw, "UTF-16")).when(F.is_valid_utf8(utf8.cast("string")), utf8.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
+    lines = spark.read.format("binaryFile").load(path).select("path", F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("lines"))
     sep = F.when(F.regexp_count(F.get("lines", F.lit(0)), F.lit(";")) > F.regexp_count(F.get("lines", F.lit(0)), F.lit(",")), ";").otherwise(",")
     rows = lines.select("path", sep.alias("sep"), F.posexplode("lines").alias("row_idx", "line")).where("line <> ''")
     cells = rows.select("path", "row_idx", F.posexplode(F.when(F.col("sep") == ";", F.split("line", ";")).otherwise(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))).alias("col_idx", "value"))
-    return cells.withColumn("value", F.trim(F.regexp_replace("value", '^\\s*"|"\\s*$', "")))
+    width = cells.groupBy("path").agg((F.max("col_idx") + 1).alias("width"))
+    full = cells.groupBy("path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.trim(F.regexp_replace("value", '^\\s*"|"\\s*$', "")).alias("v")))).alias("c")).join(width, "path")
+    return full.select("path", "row_idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.element_at("c", i), F.lit("")))).alias("col_idx", "value"))
 
 
 def register(new: DataFrame, known: DataFrame, key: str = "sha256", order: str = "doc_id") -> DataFrame:
@@ -77,11 +86,16 @@ def delete_documents(docs: DataFrame, derived: DataFrame, ids: DataFrame) -> tup
     return versioned(docs.join(gone, "doc_id", "left_anti")), derived.join(gone, "doc_id", "left_anti")
 
 
+def best_facts(facts: DataFrame) -> DataFrame:
+    """The fact of each document, entity, attribute and period with the highest confidence; ties to the smaller id."""
+    best = F.row_number().over(Window.partitionBy("doc_id", "entity", "attribute", "period").orderBy(F.desc("conf"), "fact_id"))
+    return facts.withColumn("r", best).where("r = 1").drop("r")
+
+
 def compare_documents(facts: DataFrame, left: str, right: str, tolerance: float = 0.01) -> DataFrame:
     """Facts of two documents by entity, attribute and period (nulls match): changed, same, added or removed."""
     keys = ["entity", "attribute", "period"]
-    best = F.row_number().over(Window.partitionBy("doc_id", *keys).orderBy(F.desc("conf"), "fact_id"))
-    f = facts.withColumn("r", best).where("r = 1")
+    f = best_facts(facts)
     a = f.where(F.col("doc_id") == left).select(*(F.col(k).alias(f"l_{k}") for k in keys), F.col("value_norm").alias("old"), F.lit(True).alias("l"))
     b = f.where(F.col("doc_id") == right).select(*(F.col(k).alias(f"r_{k}") for k in keys), F.col("value_norm").alias("new"), F.lit(True).alias("r"))
     on = [a[f"l_{k}"].eqNullSafe(b[f"r_{k}"]) for k in keys]
@@ -101,3 +115,25 @@ def section_changes(sections: DataFrame, pairs: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, key: str = "doc_id", buckets: int = 32) -> None:
     """Parquet partitioned by a hash bucket of the key, so that a document's rows can be replaced by overwriting its buckets."""
     df.withColumn("doc_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("doc_bucket").write.partitionBy("doc_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_table`` wrote."""
+    return spark.read.parquet(path).drop("doc_bucket")
+
+
+def reindex(docs: DataFrame, root: str, buckets: int = 32) -> dict[str, str]:
+    """Rebuild what is derived from documents (keywords, postings, fingerprints, versions) under a folder: the path of each table.
+
+    Tables are written bucketed by document, so a later run over some documents replaces their buckets only.
+    """
+    from factloom.operators import search, structure
+
+    paged = docs.withColumn("pages", F.lit(1))
+    made = {
+        "keywords": structure.keywords(docs), "postings": search.postings(docs).withColumnRenamed("id", "doc_id"), "fingerprints": structure.fingerprints(paged),
+        "versions": versioned(docs).select("doc_id", "version_group_id", "is_current_version", "previous"),
+    }
+    for name, df in made.items():
+        write_table(df, f"{root}/{name}", buckets=buckets)
+    return {name: f"{root}/{name}" for name in made}

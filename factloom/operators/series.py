@@ -44,12 +44,22 @@ def median_series(facts: DataFrame) -> DataFrame:
     )
 
 
+def with_top_values(points: DataFrame, rows: DataFrame, top: int = 8) -> DataFrame:
+    """Points with the largest distinct values of their entity, attribute and period in ``rows``; ranked before they are gathered."""
+    rank = F.row_number().over(Window.partitionBy(*KEY, "period").orderBy(F.desc("value")))
+    best = rows.select(*KEY, "period", "value").distinct().withColumn("rank", rank).where(F.col("rank") <= top)
+    best = best.groupBy(*(F.col(c).alias(f"t_{c}") for c in [*KEY, "period"])).agg(F.sort_array(F.collect_list("value"), False).alias("top_values"))
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in [*KEY, "period"]]
+    return points.join(best, same[0] & same[1] & same[2]).drop("t_entity", "t_attribute", "t_period")
+
+
 def timeline_points(facts: DataFrame, top: int = 8) -> DataFrame:
     """Points of a timeline: median, sources, values, any low confidence, and the largest distinct values."""
-    return scaled(facts).groupBy(*KEY, "period").agg(
-        F.round(F.median("value"), 7).alias("value"), F.count_distinct("doc_id").alias("n_sources"), F.count("*").alias("n_values"), F.bool_or("low_conf").alias("low_conf"),
-        F.slice(F.sort_array(F.collect_set("value"), False), 1, top).alias("top_values"),
-    )
+    rows = scaled(facts)
+    points = rows.groupBy(*KEY, "period").agg(
+        F.round(F.median("value"), 7).alias("value"), F.count_distinct("doc_id").alias("n_sources"), F.count("*").alias("n_values"), F.bool_or("low_conf").alias("low_conf")
+    )
+    return with_top_values(points, rows, top)
 
 
 def ordered(*keys: str) -> Window:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, evidence, knowledge, lifecycle, profiles, search, series, structure, tables  # noqa: F401  they enter their queries
+from factloom.plans import documents, evidence, knowledge, library, lifecycle, profiles, search, series, structure, tables  # noqa: F401  they enter their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_series_growth_conflicts"

@@ -81,8 +81,18 @@ add("ST-4_job_states_stream", streamed(ST.job_states, "complete"), sql(STATES, E
 
 def ingested(s, d) -> DataFrame:
     path = f"{d}/documents.parquet"
-    known, _ = ST.ingest(s, path, s.read.parquet(path).schema, shared_dir(s), lambda fresh: fresh.select("doc_id", F.length("text").alias("n")))
-    return known.select("sha256")
+    return ST.ingest(s, path, s.read.parquet(path).schema, shared_dir(s), lambda fresh: fresh.select("sha256", F.length("text").alias("n")))[2]
 
 
-add("ST-1_incremental_ingest", ingested, "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text <> ''")
+add("ST-1_incremental_ingest", ingested, "SELECT DISTINCT sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS n FROM documents WHERE text <> ''")
+
+
+def current(s, d) -> DataFrame:
+    """The latest event of each reference, kept up to date by batches of an append-only log."""
+    path = f"{d}/events.parquet"
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in bridge.KINDS.items() for x in kv)), F.col("event_type"))
+    log = lambda e: e.select(F.col("user_id").cast("string").alias("ref_id"), "ts", "event_id", kind.alias("kind"))
+    return ST.status_log(s, path, s.read.parquet(path).schema, shared_dir(s), log, "ref_id", "ts", ["kind"], "event_id")
+
+
+add("ST-5_current_status", current, sql("SELECT ref_id, max(ts) AS ts, arg_max(kind, (ts, event_id)) AS kind FROM ev GROUP BY 1", EVENTS))

@@ -86,7 +86,7 @@ FROM (SELECT t.*, coalesce(nc, 0) AS n_conflicts, list_filter([CASE WHEN n < 5 T
 KEYHEX = "substr(sha1(concat_ws('|', entity, attribute, period)), 1, 16)"
 add("A-8_conflict_radar", over_facts(lambda f: C.radar(f).withColumn("least_top", F.element_at("top_values", -1)).drop("top_values")),
     sql(f"SELECT {KEYHEX} AS conflict_key, entity, attribute, period, n_values, n_docs, low, high, spread_pct, tv[least(8, n_values)] AS least_top FROM conf", *V[:2], CONF))
-add("A-9_conflict_causes", over_facts(C.causes), sql("""SELECT entity, attribute, period, coalesce(array_to_string(list_filter([CASE WHEN count(DISTINCT unit) > 1 THEN 'units differ' END, CASE WHEN bool_or(low_conf) THEN 'low confidence' END,
+add("A-9_conflict_causes", over_facts(lambda f: C.causes(f.withColumns({"is_ocr": F.col("doc_id") == "3-MEDIUM", "filename": F.when(F.col("doc_id") == "6-COPY", "Advance_copy.pdf").otherwise("full.pdf")}))), sql("""SELECT entity, attribute, period, coalesce(array_to_string(list_filter([CASE WHEN count(DISTINCT unit) > 1 THEN 'units differ' END, CASE WHEN bool_or(doc_id = '3-MEDIUM') THEN 'recognised text' END, CASE WHEN bool_or(low_conf) THEN 'low confidence' END, CASE WHEN bool_or(doc_id = '6-COPY') THEN 'part of the period' END,
   CASE WHEN count(DISTINCT doc_id) = 1 THEN 'one document' END, CASE WHEN bool_or(NOT is_current) THEN 'superseded document' END], lambda x: x IS NOT NULL), '; '), '') AS causes FROM sc GROUP BY 1, 2, 3 HAVING count(DISTINCT value) >= 2""", *V[:2]))
 
 

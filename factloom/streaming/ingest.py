@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.conflicts import current_status
@@ -45,53 +45,97 @@ def file_stream(spark: SparkSession, path: str, schema, files: int) -> DataFrame
 
 
 def replay(spark: SparkSession, path: str, schema, build, mode: str, shared: str) -> DataFrame:
-    """Run ``build`` over the files of a path as a stream until all are read, and return the final table.
+    """Run ``build`` over the files of a path as a stream in append or complete mode until all are read, and return the final table.
 
     The sink is a table of Parquet files in the shared folder, replaced with each micro-batch (complete or update state is small
     next to the input), so the result is there on every executor.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError("rows that later batches replace need a key: use status_log")
     out = f"{shared}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     stream = build(file_stream(spark, path, schema, 8))
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-log").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
-def ingest_batch(batch: DataFrame, known_path: str, dead_path: str, build) -> DataFrame:
-    """One micro-batch of documents: rows without text go to a dead-letter table, known or repeated content is left out, ``build`` makes the derived rows.
-
-    The batch is written to ``known_path`` by hash, so content older than any watermark is still recognised.
-    """
-    spark = batch.sparkSession
-    broken = batch.where("text is null or text = ''")
-    broken.withColumn("error", F.lit("no text")).write.mode("append").parquet(dead_path)
-    hashed = batch.where("text <> ''").withColumn("sha256", F.sha2("text", 256)).dropDuplicates(["sha256"])
+def _of_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows that batches (those numbered below ``before``) have written under a path; none where there is nothing yet."""
     try:
-        known = spark.read.parquet(known_path).select("sha256")
+        rows = spark.read.schema(f"{schema}, batch long").parquet(path)
     except Exception as error:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        known = spark.createDataFrame([], "sha256 string")
-    fresh = hashed.join(known, "sha256", "left_anti")
-    fresh.select("doc_id", "sha256").write.mode("append").parquet(known_path)
-    return build(fresh)
+        return spark.createDataFrame([], schema)
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+def ingest_batch(batch: DataFrame, number: int, root: str, build) -> None:
+    """One micro-batch of documents: rows without text go to a dead-letter table, known or repeated content is left out, ``build`` makes the derived rows.
+
+    Each table has a folder for each batch, which is overwritten, so a batch that is run again leaves what one run would have left:
+    only content of earlier batches is known to it. Hashes are written last, when the derived rows are there.
+    """
+    spark = batch.sparkSession
+    hashed = batch.where("text <> ''").withColumn("sha256", F.sha2("text", 256))
+    hashed = hashed.withColumn("first", F.row_number().over(Window.partitionBy("sha256").orderBy("doc_id"))).where("first = 1").drop("first")
+    fresh = hashed.join(_of_batches(spark, f"{root}/known", KNOWN, number).select("sha256"), "sha256", "left_anti")
+    for name, rows in (("dead", batch.where("text is null or text = ''").withColumn("error", F.lit("no text"))), ("derived", build(fresh)), ("known", fresh.select("doc_id", "sha256"))):
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+
 
+KNOWN = "doc_id long, sha256 string"
 
-def ingest(spark: SparkSession, path: str, schema, shared: str, build) -> tuple[DataFrame, DataFrame]:
-    """Stream all files of a path through :func:`ingest_batch`; returns known documents and dead letters."""
-    root = f"{shared}/ingest-{uuid.uuid4().hex}"
+
+def ingest(spark: SparkSession, path: str, schema, shared: str, build, root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stream all files of a path through :func:`ingest_batch`; returns known documents, dead letters and derived rows.
+
+    With the ``root`` of a run that failed it goes on from there.
+    """
+    root = root or f"{shared}/ingest-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        ingest_batch(batch, f"{root}/known", f"{root}/dead", build).write.mode("append").parquet(f"{root}/derived")
-        batch.unpersist()
+        try:
+            ingest_batch(batch, number, root, build)
+        finally:
+            batch.unpersist()
 
     rows = file_stream(spark, path, schema, 4)
     rows.writeStream.option("checkpointLocation", f"{root}/log").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/known"), spark.read.parquet(f"{root}/dead")
+    return tuple(spark.read.parquet(f"{root}/{name}").drop("batch") for name in ("known", "dead", "derived"))
+
+
+def status_log(spark: SparkSession, path: str, schema, shared: str, build, key: str, time: str, columns: list[str], tie: str, root: str | None = None) -> DataFrame:
+    """The current row of each key of an append-only log that arrives as files; ``build`` selects the log from the file's rows.
+
+    Every batch writes the state after it, made from the state of the last batch before it and its own rows, so a batch can be run again.
+    """
+    root = root or f"{shared}/status-{uuid.uuid4().hex}"
+
+    def state(number: int | None) -> DataFrame | None:
+        try:
+            every = spark.read.parquet(f"{root}/state")
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+        every = every if number is None else every.where(F.col("batch") < number)
+        last = every.agg(F.max("batch")).first()[0]
+        return None if last is None else every.where(F.col("batch") == last).drop("batch")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows, before = build(batch).select(key, time, tie, *columns), state(number)
+        rows = rows if before is None else before.unionByName(rows)
+        w = Window.partitionBy(key).orderBy(F.desc(time), F.desc(tie))
+        now = current_status(rows, key, time, columns, tie).join(rows.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, tie), key)
+        now.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    file_stream(spark, path, schema, 4).writeStream.option("checkpointLocation", f"{root}/log").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return state(None).select(key, time, *columns)
 
 
-__all__ = ["answer_rates", "current_status", "event_counts", "ingest", "ingest_batch", "job_states", "replay"]
+__all__ = ["answer_rates", "current_status", "event_counts", "ingest", "ingest_batch", "job_states", "replay", "status_log"]

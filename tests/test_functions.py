@@ -113,6 +113,11 @@ def test_ranges(spark):
     assert [r[0] for r in df.select(C.in_range(F.col("a"), F.col("v"))).collect()] == [True, False, True, False, True]
 
 
+def test_recency(spark):
+    df = spark.createDataFrame([("2031-01-01",), ("2032-06-01",), (None,)], "s string").select(C.recency(F.col("s").cast("date"), "2032-01-01").alias("r"))
+    assert [round(r.r, 6) for r in df.collect()] == [0.367879, 1.0, 0.3]
+
+
 def test_clean_text(spark):
     assert column(spark, ["produc-\ntion", "produc­tion", "a   b"], C.clean_text) == ["production", "production", "a b"]
 
@@ -163,7 +168,14 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date;Qty\n01.04.2022;5,5\nx\n")
     (tmp_path / "b.csv").write_text('A,B\n"1,2",3\n')
     got = {(r.path.rsplit("/", 1)[1], r.row_idx, r.col_idx): r.value for r in lifecycle.read_table_files(spark, str(tmp_path)).collect()}
-    assert got["a.csv", 1, 1] == "5,5" and got["a.csv", 2, 0] == "x" and got["b.csv", 1, 0] == "1,2" and got["b.csv", 1, 1] == "3"
+    assert got["a.csv", 1, 1] == "5,5" and got["a.csv", 2, 0] == "x" and got["a.csv", 2, 1] == "" and got["b.csv", 1, 0] == "1,2" and got["b.csv", 1, 1] == "3"
+
+
+def test_delimited_files_in_other_encodings(spark, tmp_path):
+    for name, coding in (("mark.csv", "utf-8-sig"), ("wide.csv", "utf-16"), ("old.csv", "latin-1"), ("plain.csv", "utf-8")):
+        (tmp_path / name).write_bytes("né;b\n1;ü".encode(coding))
+    got = {(r.path.rsplit("/", 1)[1], r.row_idx, r.col_idx): r.value for r in lifecycle.read_table_files(spark, str(tmp_path)).collect()}
+    assert got == {(n, i, j): v for n in ("mark.csv", "wide.csv", "old.csv", "plain.csv") for i, row in enumerate((("né", "b"), ("1", "ü"))) for j, v in enumerate(row)}
 
 
 def test_streamed_ingest_keeps_failures_and_duplicates_apart(spark, tmp_path):
@@ -171,8 +183,45 @@ def test_streamed_ingest_keeps_failures_and_duplicates_apart(spark, tmp_path):
 
     for i, rows in enumerate(([(1, "a"), (2, "a"), (3, None)], [(4, "a"), (5, "b")])):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    known, dead = ingest(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), lambda b: b.select("doc_id"))
-    assert known.select("sha256").count() == 2 and [r.doc_id for r in dead.collect()] == [3]
+    known, dead, derived = ingest(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), lambda b: b.select("doc_id"))
+    assert known.select("sha256").count() == 2 and [r.doc_id for r in dead.collect()] == [3] and derived.count() == 2
+
+
+def test_a_failed_batch_is_run_again_without_loss_or_repeats(spark, tmp_path):
+    from factloom.streaming.ingest import ingest, ingest_batch
+
+    schema = "doc_id long, text string"
+    for rows in ([(1, "a"), (2, None)], [(3, "b"), (4, "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    root = str(tmp_path / "run")
+    failing = [True]
+
+    def build(fresh):
+        out = fresh.select("doc_id", "text")
+        if failing:
+            failing.clear()
+            return out.withColumn("text", F.raise_error(F.lit("lost")))  # fails while the derived rows are written, after dead letters
+        return out
+
+    with pytest.raises(Exception):
+        ingest(spark, str(tmp_path / "in"), schema, str(tmp_path), build, root)
+    known, dead, derived = ingest(spark, str(tmp_path / "in"), schema, str(tmp_path), build, root)
+    assert sorted(r.text for r in derived.collect()) == ["a", "b"] and known.count() == 2 and [r.doc_id for r in dead.collect()] == [2]
+    batch = spark.createDataFrame([(9, "z"), (10, None)], schema)
+    for _ in range(2):
+        ingest_batch(batch, 7, root, build)
+    assert spark.read.parquet(f"{root}/derived").where("doc_id = 9").count() == spark.read.parquet(f"{root}/dead").where("doc_id = 10").count() == 1
+
+
+def test_status_log_keeps_old_values_and_can_be_run_again(spark, tmp_path):
+    from factloom.streaming.ingest import status_log
+
+    schema = "k string, ts int, id int, status string, note string"
+    for rows in ([("a", 1, 1, "open", "x"), ("b", 1, 2, "open", None)], [("a", 2, 3, "closed", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    root = str(tmp_path / "run")
+    got = lambda: {tuple(r) for r in status_log(spark, str(tmp_path / "in"), schema, str(tmp_path), lambda b: b, "k", "ts", ["status", "note"], "id", root).collect()}
+    assert got() == got() == {("a", 2, "closed", "x"), ("b", 1, "open", None)}
 
 
 def test_late_events_are_dropped(spark, tmp_path):
