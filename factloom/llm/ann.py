@@ -99,7 +99,7 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def nearest(
     rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    rotations: int = 4, train_rows: int = 4096, block: int = 4096, query_block: int = 1024, share: float = 0.08, least: int = 64,
+    rotations: int = 4, train_rows: int = 4096, block: int = 4096, query_block: int = 8192, share: float = 0.08, least: int = 64,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of every row for which the Column ``is_query`` holds."""
     v = F.col("v")

@@ -53,6 +53,19 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows of a table of groups up to which it is broadcast, some hundred bytes each; a larger one is joined by key and salt.
+FEW, SALTS = 20_000, 64
+
+
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Rows with the one row that a table of groups has for their keys; rows of a large group never meet in one task."""
+    if few:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = rows.withColumn("__salt", F.floor(F.rand(5) * SALTS).cast("int"))
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
 def planes(x: np.ndarray) -> np.ndarray:
     """The bytes of x, all first ones, then all second ones: they compress better."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).ravel()

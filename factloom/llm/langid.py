@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import cut, ship, small_batches, whole_text
+from factloom.llm import common
+from factloom.llm.common import beside, cut, ship, small_batches, whole_text
 
 BUCKETS = 1 << 15
 _SKIPPED = re.compile(r"<(script|style|nav)\b", re.I)
@@ -180,7 +181,8 @@ def identify(
     joined = made
     for key in ("declared", "suffix"):
         joined = joined.join(logs_of(by[key], key, None, 0.0, True), key, "left")
-    joined = joined.join(hosts, "host", "left").withColumn("host_logs", F.transform("p", lambda p: F.log(p)))
+    hosts = cut(hosts, "hosts")
+    joined = beside(joined, hosts, ["host"], hosts.count() <= common.FEW, "left").withColumn("host_logs", F.transform("p", lambda p: F.log(p)))
     zero = F.array_repeat(F.lit(0.0), len(langs))
     total = F.col("text_logs")
     for c in ("declared_logs", "suffix_logs", "host_logs"):

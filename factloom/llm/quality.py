@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from factloom.llm.common import WORD_SEPARATORS, cut, whole_text
+from factloom.llm import common
+from factloom.llm.common import WORD_SEPARATORS, beside, cut, whole_text
 
 DIMENSIONS = 5
 #: The value that a chi-squared variable with 5 degrees of freedom exceeds once in a million.
@@ -131,7 +132,7 @@ def histogram_quantile(rows: DataFrame, keys: list[str], value: str, share: floa
     return upto.where(F.col("below") >= share * F.col("all")).groupBy(*keys).agg(F.exp((F.min("bin") + 1) / 32).alias("limit"))
 
 
-def mcd(rows: DataFrame, x: list[str], share: float, steps: int) -> DataFrame:
+def mcd(rows: DataFrame, x: list[str], share: float, steps: int, few: bool) -> DataFrame:
     """Per group ``g`` the estimate (m*, l*) with the smaller determinant of two starts: all rows, and the rows near the coordinatewise centre."""
     p = len(x)
     starts = F.explode(F.array(F.lit(0), F.lit(1))).alias("start")
@@ -142,9 +143,9 @@ def mcd(rows: DataFrame, x: list[str], share: float, steps: int) -> DataFrame:
     now = whole.withColumn("start", F.lit(0)).unionByName(diagonal.withColumn("start", F.lit(1)))
     for _ in range(steps):
         now = cut(factored(now, p), "mcd")
-        near = with_distance(many.join(now, ["g", "start"]), x)
+        near = with_distance(beside(many, now, ["g", "start"], few), x)
         limit = histogram_quantile(near, ["g", "start"], "d2", share)
-        now = moments(near.join(limit, ["g", "start"]).where(F.col("d2") <= F.col("limit")).select("g", "start", *x), ["g", "start"], x)
+        now = moments(beside(near, limit, ["g", "start"], few).where(F.col("d2") <= F.col("limit")).select("g", "start", *x), ["g", "start"], x)
     final = factored(now, p)
     return cut(final.groupBy("g").agg(F.min_by(F.struct(*(c for c in final.columns if c != "g")), F.struct("logdet", "start")).alias("b")).select("g", "b.*"), "mcd")
 
@@ -163,8 +164,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
             "lang", "source",
             F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("pool") >= least, F.to_json(F.array("lang"))).otherwise(F.lit("[]")).alias("g"),
         ), "groups")
-    grouped = made.join(groups, ["lang", "source"], "left")
-    estimates = mcd(grouped.where(~F.col("base_failed")).select("g", *x), x, share, steps)
-    judged = with_distance(grouped.join(estimates, "g", "left"), x).withColumn("distance", F.col("d2") / SHORT)
+    few = groups.count() <= common.FEW
+    grouped = beside(made, groups, ["lang", "source"], few, "left")
+    estimates = mcd(grouped.where(~F.col("base_failed")).select("g", *x), x, share, steps, few)
+    judged = with_distance(beside(grouped, estimates, ["g"], few, "left"), x).withColumn("distance", F.col("d2") / SHORT)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

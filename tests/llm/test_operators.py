@@ -210,6 +210,22 @@ def test_ann_recall_and_scores(spark, sf):
     assert hit / total >= 0.9
 
 
+def test_ann_recall_over_several_blocks(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    v = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect()}
+    ids, m = np.array(list(v)), np.stack(list(v.values()))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, block=150, query_block=7).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[i]
+        s[i] = -9
+        hit += len(set(ids[np.lexsort((ids, -s))[:5]].tolist()) & got[ids[i]])
+    assert hit >= 0.9 * 5 * len(got)
+
+
 def test_ann_odd_vectors(spark):
     bad = [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [1.0]), (105, [float("inf"), 0.0])]
     rows = [(i, [1.0, 0.0]) for i in range(0, 20)] + [(50, [0.0, 1.0]), (51, [1.0, 1.0])] + bad
@@ -246,6 +262,36 @@ def test_pii_added_spans_and_redaction(spark, docs):
     assert "[EMAIL]" in clean[0] and "jane" not in clean[0] and clean[3] == ask[3] and clean[4] is None
 
 
+def test_pii_overlaps_are_found_by_sweep_and_in_time(spark, docs):
+    import time
+
+    rng = random.Random(13)
+    for _ in range(500):
+        spans = [(0, a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(60)
+            s = (1, a, a + rng.randrange(1, 9))
+            meets = any(x < s[2] and s[1] < y for _, x, y in spans)
+            assert taken.meets(s) == meets
+            if not meets and len({x for _, x, _ in spans}) == len(spans) and all(y <= z for (_, _, y), (_, z, _) in zip(sorted(spans), sorted(spans)[1:])):
+                taken.add(s)
+                spans.append(s)
+    model = pii.train(docs)
+    began = time.time()
+    pii.all_spans(["call (377) 555-0271 or +1 377 555 0272, mail a.b [at] c [dot] org; " * 12_000], model)
+    assert time.time() - began < 60
+
+
+def test_pii_odd_rows(spark, odd, docs):
+    model = pii.train(docs)
+    rows = pii.pii_spans(odd.drop("spans", "base"), model).collect()
+    assert len(rows) == len(ODD) and sorted(r.base for r in rows) == sorted(brute.base_written(t or "") for _, t, _, _ in ODD)
+    clean = pii.redact(odd, model)
+    assert clean.columns == odd.columns and clean.count() == len(ODD) and pii.redact(odd.limit(0), model).count() == 0
+    assert pii.pii_spans(odd.limit(0), pii.train(odd.limit(0))).count() == 0
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
@@ -265,6 +311,15 @@ def test_quality_statistics(spark, sf, texts):
     assert sum(not k for q, k, f in known if q == 0) >= 0.9 * sum(1 for q, k, f in known if q == 0)
 
 
+def test_quality_does_not_depend_on_how_groups_are_joined(docs, monkeypatch):
+    def run():
+        return sorted((r.doc_id, r.kept, round(r.distance or 0, 6)) for r in quality.quality(docs, least=5).collect())
+
+    one = run()
+    monkeypatch.setattr("factloom.llm.common.FEW", 0)
+    assert run() == one
+
+
 def test_quality_odd_rows(odd):
     rows = quality.quality(odd).collect()
     want = sorted(brute.statistics(t or "") for _, t, _, _ in ODD)
@@ -504,6 +559,7 @@ def test_pipeline_decides_on_rows_not_on_ids(spark, sf, docs):
     same = clean.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(5).cast("long")))
     texts = {r.text for r in corpus_pipeline.near_duplicates(spark, clean, sf).collect()}
     assert {r.text for r in corpus_pipeline.near_duplicates(spark, same, sf).collect()} == texts
+    assert corpus_pipeline.near_duplicates(spark, clean.union(clean), sf).count() == len(texts)
     assert corpus_pipeline.language(spark, same, sf).count() == corpus_pipeline.language(spark, clean, sf).count() > 20
     tokens = lambda df: sum(len(r.text.split()) for r in df.collect())
     budget, most = 0.75 * tokens(clean), max(len(r.text.split()) for r in clean.collect())
