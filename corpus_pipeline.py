@@ -6,9 +6,9 @@
 4. Mixing to target weights: one epoch at most; documents outside the budget's token prefixes go, the last one taken stays whole.
 5. Byte-level BPE: token ids, and whether decoding them gives the text back.
 
-Every stage but the last returns the columns of ``documents``. A stage that decides on rows first numbers them and writes the
-numbers with them, so ids may be null or repeat: every row is a document of its own, with a decision of its own. An empty table gives
-an empty table.
+Every stage but the last returns the columns of ``documents``. A stage that decides on rows knows them by a hash of all their
+columns, so ids may be null or repeat: rows that differ are documents of their own. Rows that are equal in every column are treated
+alike, and the second stage keeps one of them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,20 +23,29 @@ from factloom.llm.common import cut, ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number for each row, written once so that it stays the same."""
-    return cut(docs.select(COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+def known(docs: DataFrame) -> DataFrame:
+    """The documents with ``row_id``: 128 bits of hashes of all columns and of which are null."""
+    parts = [*(F.col(c).isNull() for c in COLUMNS), *map(F.col, COLUMNS)]
+    return docs.select(COLUMNS).withColumn("row_id", F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *parts))))
+
+
+def single(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One of each set of equal rows, whose ``row_id`` is in ``repeated``; only those are shuffled."""
+    if repeated.isEmpty():
+        return rows.select(COLUMNS)
+    again = rows.join(repeated, "row_id", "left_semi").groupBy("row_id").agg(*(F.first(c).alias(c) for c in COLUMNS))
+    return rows.join(repeated, "row_id", "left_anti").select(COLUMNS).unionByName(again.select(COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from factloom.llm.langid import identify, text_models
 
     ship(spark)
-    rows = numbered(docs)
+    rows = known(docs)
     langs, models = text_models(rows, "row_id")
     found = identify(rows, langs, models, "row_id", "text", "lang", None, "source")
     found = found.join(rows.select("row_id", F.col("lang").alias("was")), "row_id").where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("was")))
-    notes = cut(found.select("row_id", "accepted", F.col("lang").alias("found")), "notes")
+    notes = cut(found.groupBy("row_id").agg(F.min("accepted").alias("accepted"), F.min("lang").alias("found")), "notes")
     joined = rows.join(notes, "row_id", "left").where(F.coalesce("accepted", F.lit(True)))
     return joined.withColumn("lang", F.coalesce("found", "lang")).select(COLUMNS)
 
@@ -45,11 +54,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from factloom.llm.simhash import simhash_components
 
     ship(spark)
-    rows = numbered(docs)
-    groups = cut(simhash_components(rows, "row_id").select("row_id", "component_id").join(rows.select("row_id", "doc_id"), "row_id"), "groups")
+    rows = known(docs)
+    found = cut(simhash_components(rows, "row_id").groupBy("row_id", "component_id").agg(F.count("*").alias("n")), "found")
+    groups = cut(found.select("row_id", "component_id").join(rows.select("row_id", "doc_id").distinct(), "row_id"), "groups")
     stays = groups.groupBy("component_id").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("stays"))
     dropped = groups.join(stays, "component_id").where("row_id <> stays").select("row_id")
-    return rows.join(cut(dropped, "dropped"), "row_id", "left_anti").select(COLUMNS)
+    return single(rows.join(cut(dropped, "dropped"), "row_id", "left_anti"), found.where("n > 1").select("row_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +74,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from factloom.llm.queries import MIX_LEVELS, MIX_WEIGHTS, with_domain
 
     ship(spark)
-    rows = numbered(docs)
+    rows = known(docs)
     taken = mix(with_domain(rows), MIX_LEVELS, F.expr("sum_tokens * 3 div 4"), MIX_WEIGHTS, max_epochs=1, keep=["row_id"])
-    taken = cut(taken.select("row_id"), "taken").hint("merge")  # most documents stay, so this side grows with them: never broadcast it
+    taken = cut(taken.select("row_id").distinct(), "taken").hint("merge")  # most documents stay, so this side grows with them: never broadcast it
     return rows.join(taken, "row_id", "left_semi").select(COLUMNS)
 
 
