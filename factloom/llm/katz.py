@@ -201,10 +201,10 @@ def lower_counts(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, p
     return texts.mapInArrow(run, "group int, blob binary").groupBy("group").applyInArrow(gather, "bucket int, kind int, blob binary, stats array<long>")
 
 
-def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, buckets: int, shared) -> DataFrame:
+def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray, parts: int, names: tuple[list[int], list[int]], shared) -> DataFrame:
     """``bucket, part, pack, blob``: distinct triples of many documents with the documents they stand in.
 
-    A pack sends a bucket its words (part -1), then its triples by part; a bucket below zero gets its documents' keys.
+    A pack sends a bucket its words (part -1), then its triples by part; a bucket's second name gets documents' keys (part -2).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +228,17 @@ def packed_triples(texts: DataFrame, often: np.ndarray, often_pairs: np.ndarray,
             where = parts_of(g, h, w, pack.words, often, often_pairs, parts)
             by = np.argsort(where, kind="stable")
             bucket = where[by] // TOGETHER
-            yield row(-1 - pack.name % buckets, 0, pack.name, pack_blob([pack.keys, small(pack.sizes)]))
+            yield row(names[1][pack.name % len(names[1])], -2, pack.name, pack_blob([pack.keys, small(pack.sizes)]))
             for i, j in runs(bucket):
                 own = by[i:j]
                 used, at = np.unique(np.concatenate((h[own], g[own], w[own])), return_inverse=True)
                 h_, g_, w_ = at.reshape(3, -1)
-                yield row(int(bucket[i]), -1, pack.name, pack_blob(coded(pack.words[used], shared.value)))
+                yield row(names[0][bucket[i]], -1, pack.name, pack_blob(coded(pack.words[used], shared.value)))
                 for a, b in runs(where[own]):
                     of = own[a:b]
                     places = spans(sizes[of], heads[of])
                     columns = [np.diff(h_[a:b], prepend=0), g_[a:b], w_[a:b], n[of], sizes[of], doc[places], times[places]]
-                    yield row(int(bucket[i]), int(where[of[0]]), pack.name, pack_blob([small(x) for x in columns]))
+                    yield row(names[0][bucket[i]], int(where[of[0]]), pack.name, pack_blob([small(x) for x in columns]))
 
     return texts.mapInArrow(run, "bucket int, part int, pack long, blob binary")
 
@@ -400,6 +400,15 @@ def stored_model(spark, model_dir: str) -> DataFrame:
     return table.mapInArrow(run, "part long, first long, second long, word long, n long, discounted double, alpha double")
 
 
+def names_of(spark, buckets: int) -> tuple[list[int], list[int]]:
+    """Two names for each bucket that Spark's hash partitioning puts into a partition of their own: for its triples and its documents' keys."""
+    numbers = spark.range(40 * buckets + 400).select(F.col("id").cast("int").alias("k")).withColumn("p", F.pmod(F.hash("k"), F.lit(buckets)))
+    rows = numbers.groupBy("p").agg(F.slice(F.array_sort(F.collect_list("k")), 1, 2).alias("k")).orderBy("p").collect()  # one row a bucket
+    if len(rows) < buckets or any(len(r.k) < 2 for r in rows):
+        return list(range(buckets)), list(range(buckets, 2 * buckets))
+    return [r.k[0] for r in rows], [r.k[1] for r in rows]
+
+
 def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 2_500_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
@@ -414,19 +423,21 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     texts = docs.select(row_key.alias("key"), learn.alias("train"), text.alias("text"))
     parts = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // part_chars
     buckets = -(-parts // TOGETHER)
+    names = names_of(spark, buckets)
     often, often_pairs = frequent(texts, parts)
     shared = spark.sparkContext.broadcast(common_words(texts, "train"))  # 8 MB at most
     lower = cut(lower_counts(texts, often, often_pairs, parts, buckets, shared), "lower")
     stats = lower.where("bucket is null").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 4))).first()
     numbers = np.array([x or 0 for x in stats])
     words = Words(int(numbers[K + 3]), int(numbers[K + 2]), numbers[: K + 1], int(numbers[K + 1]))
-    triples = packed_triples(texts, often, often_pairs, parts, buckets, shared).repartition(buckets, "bucket")
-    needed = lower.where("bucket is not null").select("bucket", "kind", "blob", F.lit(None).cast("array<struct<kind:int,place:long,x:array<double>>>").alias("totals"))
+    triples = packed_triples(texts, often, often_pairs, parts, names, shared).repartition(buckets, "bucket")
+    named = F.get(F.array(*map(F.lit, names[0])), F.col("bucket"))
+    needed = lower.where("bucket is not null").select(named.alias("bucket"), "kind", "blob", F.lit(None).cast("array<struct<kind:int,place:long,x:array<double>>>").alias("totals"))
 
     def merged(own: pa.Table, needed: pa.Table) -> Iterator[tuple[int, list[int], Part]]:
         """The bucket's parts, one at a time, each with the packs that it comes from."""
         part, pack, blob = own.column("part").to_numpy(), own.column("pack").to_numpy(), own.column("blob")
-        dictionaries = {int(pack[i]): decoded(*open_blob(blob[i].as_py(), "BB"), shared.value) for i in np.flatnonzero(part < 0).tolist()}
+        dictionaries = {int(pack[i]): decoded(*open_blob(blob[i].as_py(), "BB"), shared.value) for i in np.flatnonzero(part == -1).tolist()}
         bucket = Bucket(dictionaries, needed, shared.value, often, often_pairs)
         del dictionaries
         for p in np.unique(part[part >= 0]).tolist():
@@ -435,17 +446,17 @@ def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
             yield p, names, Part(bucket, names, [blob[i].as_py() for i in at])
 
     def report(own: pa.Table, needed: pa.Table) -> pa.Table:
-        rows = [r for _, _, part in merged(own, needed) for r in part.statistics(words)] if own.num_rows and own.column("bucket")[0].as_py() >= 0 else []
+        rows = [r for _, _, part in merged(own, needed) for r in part.statistics(words)] if own.num_rows and own.column("part")[0].as_py() > -2 else []
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "place", "x"])
 
     reported = triples.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(report, "kind int, place long, x array<double>")
     each = reported.groupBy("kind", "place").agg(F.array(*(F.sum(F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))) for i in range(2 * K + 2))).alias("x"))
     totals = each.agg(F.collect_list(F.struct("kind", "place", "x")).alias("totals"))  # one row; at most 8 * parts entries
-    everywhere = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob")).join(F.broadcast(totals))
+    everywhere = spark.createDataFrame([(x,) for x in names[0]], "bucket int").select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob")).join(F.broadcast(totals))
 
     def run(own: pa.Table, needed: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
-        if own.num_rows and own.column("bucket")[0].as_py() < 0:  # the documents' keys
+        if own.num_rows and own.column("part")[0].as_py() == -2:  # the documents' keys
             out = [(n, 0, b) for n, b in zip(own.column("pack").to_pylist(), own.column("blob").to_pylist())]
         elif own.num_rows:
             coc, hot = [np.zeros(K + 1)] * 2, [np.zeros((len(often), K + 2)), np.zeros((len(often_pairs), 2 * K + 2))]
