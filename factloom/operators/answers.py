@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.series import scaled, with_top_values
+from factloom.sources.shared import stored
 
 
 def fact_lookup(questions: DataFrame, facts: DataFrame, most: int = 12) -> DataFrame:
@@ -66,10 +67,18 @@ def unsupported_numbers(summaries: DataFrame) -> DataFrame:
     return summaries.withColumn("missing", F.array_join(F.array_sort(F.array_distinct(F.array_except(find(F.col("summary")), find(F.col("body"))))), ",")).where("missing <> ''")
 
 
-def evidence_ids(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
-    """Stable ids KIND-0001… in the given order, counted within each entity so that no single task numbers everything."""
-    n = F.row_number().over(Window.partitionBy("entity").orderBy(*order))
-    return rows.withColumn("evidence_id", F.concat(F.lit(f"{kind}-"), F.col("entity"), F.lit("-"), F.lpad(n.cast("string"), 4, "0")))
+def evidence_ids(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Stable ids KIND-001, KIND-002, … of rows with a ``kind``, in the given order within it.
+
+    Rows are sorted by ranges and counted in each; a range begins where those before it end, so no task numbers everything.
+    """
+    ranged = rows.repartitionByRange("kind", *order).withColumn("__range", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    before = Window.partitionBy("kind").orderBy("__range")
+    sizes = ranged.groupBy("kind", "__range").agg(F.count("*").alias("__n")).withColumn("__first", F.sum("__n").over(before) - F.col("__n")).drop("__n")
+    n = F.row_number().over(Window.partitionBy("kind", "__range").orderBy(*order)) + F.col("__first")
+    number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    return ranged.join(F.broadcast(sizes), ["kind", "__range"]).withColumn("evidence_id", F.concat("kind", F.lit("-"), number)).drop("__range", "__first")  # sizes: one row a range and kind
 
 
 def evaluation(expected: DataFrame, extracted: DataFrame, key: str, target: float = 95.0) -> DataFrame:

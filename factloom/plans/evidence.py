@@ -122,7 +122,18 @@ def _evaluated(s, d) -> DataFrame:
     return T.evaluation(truth, parsed(s, d).select("doc_id", "value"), "doc_id")
 
 
-add("T-13_evidence_ids", lambda s, d: T.evidence_ids(facts(s, d), "DATA", ["attribute", "period", "doc_id"]).select("fact_id", "evidence_id"), sql("SELECT fact_id, 'DATA-' || entity || '-' || lpad(CAST(row_number() OVER (PARTITION BY entity ORDER BY attribute, period, doc_id) AS VARCHAR), 4, '0') AS evidence_id FROM facts", FACTS))
+def _evidence(s, d) -> DataFrame:
+    """Facts are DATA, their documents SOURCE, growth figures CALC."""
+    f = facts(s, d)
+    data = f.select(F.lit("DATA").alias("kind"), F.col("fact_id").alias("ref"))
+    source = f.select(F.lit("SOURCE"), "doc_id").distinct()
+    calc = S.latest_growth(points(s, d)).select(F.lit("CALC"), F.concat_ws("|", "entity", "attribute"))
+    return T.evidence_ids(data.union(source).union(calc), ["ref"])
+
+
+EVIDENCE = "evi AS (SELECT kind, ref, kind || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ref) AS n FROM (SELECT 'DATA' AS kind, fact_id AS ref FROM facts UNION ALL SELECT DISTINCT 'SOURCE', doc_id FROM facts UNION ALL SELECT 'CALC', entity || '|' || attribute FROM gr)))"
+add("T-13_evidence_ids", _evidence, sql("SELECT kind, ref, evidence_id FROM evi", *V, GROWTH, EVIDENCE))
+add("T-13_totals_by_kind", lambda s, d: _evidence(s, d).groupBy("kind").count(), sql("SELECT kind, count(*) AS count FROM evi GROUP BY 1", *V, GROWTH, EVIDENCE))
 add("U-1_entity_union", lambda s, d: facts(s, d).select("entity").union(edges(s, d).where("src_kind = 'entity'").select("src")).distinct(), sql("SELECT entity FROM facts UNION SELECT src FROM edges WHERE src_kind = 'entity'", *E))
 add("U-6_entities_of_two_periods", lambda s, d: facts(s, d).where("year(period) in (1996, 1997)").groupBy("entity").agg(F.count_distinct("period").alias("n")), sql("SELECT entity, count(DISTINCT period) AS n FROM facts WHERE year(period) IN (1996, 1997) GROUP BY 1", FACTS))
 add("U-8_distinct_lists", lambda s, d: bridge.documents(s, d).select(F.lit("subsidiary").alias("list"), F.col("subsidiary").alias("value")).union(bridge.documents(s, d).select(F.lit("doc_type"), "doc_type")).distinct(), sql("SELECT DISTINCT 'subsidiary' AS list, subsidiary AS value FROM docs UNION SELECT DISTINCT 'doc_type', doc_type FROM docs", DOCUMENTS))

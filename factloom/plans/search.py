@@ -34,11 +34,11 @@ def vectors(spark, d) -> DataFrame:
     return bridge.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
-def cosine(spark, d) -> DataFrame:
+def cosine(spark, d, k: int = 5) -> DataFrame:
     """Vectors whose number the benchmark's items name are the queries."""
     v = vectors(spark, d)
     q = v.join(questions(spark, d).select(F.col("query_id").cast("long").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return R.cosine_top_k(v, q)
+    return R.cosine_top_k(v, q, k)
 
 
 COSINE = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
@@ -70,8 +70,8 @@ n AS (SELECT query_id, id, coalesce(vec, 0) AS vec, coalesce(bm / nullif(max(bm)
 SELECT n.query_id, n.id, round(vec * 0.45 + bm * 0.25 + coalesce({OVERLAP.format(b=W("regexp_replace(filename, '[_.]', ' ', 'g')"))}, 0) * 0.15 + coalesce({OVERLAP.format(b=W("split_part(d.text, chr(10), 1)"))}, 0) * 0.10 + CASE WHEN doc_date IS NULL THEN 0.3 ELSE exp(-greatest(DATE '2001-01-01' - doc_date, 0) / 365) END * 0.05, 4) AS score
 FROM n LEFT JOIN docs d ON d.doc_id = n.id LEFT JOIN (SELECT item_id AS query_id, {W("text")} AS qw FROM benchmark) q ON q.query_id = n.query_id""", POST, BM25, COSINE, DOCUMENTS))
 add("U-2_candidate_union", lambda s, d: bm25(s, d).select("query_id", "id").union(cosine(s, d).select("query_id", "id")).distinct(), sql("SELECT query_id, id FROM hits UNION SELECT query_id, id FROM vt", POST, BM25, COSINE))
-add("T-2_abstention", lambda s, d: cosine(s, d).groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.stddev_pop("score"), 6).alias("spread")).withColumn("abstain", (F.col("best") < 0.60) | ((F.col("spread") < 0.03) & (F.col("best") < 0.75))),
-    sql("SELECT query_id, max(score) AS best, round(stddev_pop(score), 6) AS spread, max(score) < 0.60 OR (round(stddev_pop(score), 6) < 0.03 AND max(score) < 0.75) AS abstain FROM vt GROUP BY 1", COSINE))
+add("T-2_abstention", lambda s, d: cosine(s, d, 15).groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.stddev_pop("score"), 6).alias("spread")).withColumn("abstain", (F.col("best") < 0.60) | ((F.col("spread") < 0.03) & (F.col("best") < 0.75))),
+    sql("SELECT query_id, max(score) AS best, round(stddev_pop(score), 6) AS spread, max(score) < 0.60 OR (round(stddev_pop(score), 6) < 0.03 AND max(score) < 0.75) AS abstain FROM vt GROUP BY 1", COSINE.replace("rank <= 5", "rank <= 15")))
 add("T-3_extractive_answers", lambda s, d: bm25(s, d).where("rank <= 4").join(bridge.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("snippet")), "id").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "snippet"))), lambda x: F.concat(F.lit("[E"), x["rank"], F.lit("] "), x["snippet"])), "\n").alias("answer")).select("query_id", F.md5("answer").alias("digest")),
     sql("SELECT query_id, md5(string_agg('[E' || rank || '] ' || substr(text, 1, 400), chr(10) ORDER BY rank)) AS digest FROM hits JOIN documents ON doc_id = id WHERE rank <= 4 GROUP BY 1", POST, BM25))
 add("T-6_evidence_grade", lambda s, d: bm25(s, d).join(bridge.documents(s, d).select(F.col("doc_id").alias("id"), "subsidiary", "completed"), "id").groupBy("query_id").agg(F.count_distinct("subsidiary").alias("sources"), F.count_if("completed").alias("completed"), F.count("*").alias("n")).withColumn("grade", F.when((F.col("sources") >= 3) & (F.col("completed") == F.col("n")), "HIGH").when(F.col("sources") >= 2, "MEDIUM").otherwise("LOW")),

@@ -173,6 +173,8 @@ add("P-9_prose_junk", lambda s, d: bridge.elements(s, d).where((F.length("text")
     sql(r"SELECT doc_id, order_idx FROM elements WHERE length(text) >= 70 AND NOT regexp_matches(text, '(?:[0-9.,]+\s+){5}') AND NOT contains(text, '|') QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, order_idx) = 1", ELEMENTS))
 add("P-13_page_view", lambda s, d: bridge.elements(s, d).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda e: e["text"]), "\n").alias("t")).select("doc_id", "page_no", F.md5("t").alias("digest")),
     sql("SELECT doc_id, page_no, md5(string_agg(text, chr(10) ORDER BY order_idx)) AS digest FROM elements GROUP BY 1, 2", ELEMENTS))
-add("C-15_page_summaries", lambda s, d: bridge.elements(s, d).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda e: e["text"]), " ").alias("t")).select("doc_id", "page_no", C.extractive_summary(F.col("t")).alias("s")).where("length(s) > 0"))
+add("C-15_page_summaries", lambda s, d: bridge.elements(s, d).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda e: e["text"]), " ").alias("t")).select("doc_id", "page_no", C.extractive_summary(F.col("t")).alias("s")).where("length(s) > 0").select("doc_id", "page_no", F.md5("s").alias("digest"), F.length("s").alias("n")),
+    sql(r"""SELECT doc_id, page_no, md5(s) AS digest, CAST(length(s) AS INTEGER) AS n FROM (SELECT doc_id, page_no, substr(list_reduce(list_prepend('', string_split(regexp_replace(trim(regexp_replace(string_agg(text, ' ' ORDER BY order_idx), '[ \t\n\r\f\x0b]+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))),
+  lambda a, x: CASE WHEN length(a) >= 320 THEN a ELSE trim(a || ' ' || x) END), 1, 520) AS s FROM elements GROUP BY 1, 2) WHERE length(s) > 0""", ELEMENTS))
 add("F-13_fingerprint", lambda s, d: structure.fingerprints(bridge.read(s, d, "documents").withColumn("pages", F.lit(1))), sql("""SELECT doc_id, substr(sha1('1|' || coalesce(string_agg(k, ' ' ORDER BY n DESC, k), '')), 1, 16) AS fingerprint
 FROM documents LEFT JOIN (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(w) AS k FROM kw) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, k) <= 30) USING (doc_id) GROUP BY 1""", KEYWORDS))
