@@ -104,7 +104,7 @@ def test_text_facts(spark):
     got = sorted((r.doc_id, r.attribute, r.value, r.unit, str(r.period), r.entity) for r in text_facts(docs, names).collect())
     assert got == [
         (1, "ash_pct", 34.0, "percent", "2030-04-01", "Alpha Pit"), (1, "offtake", 450000.0, "tonnes", "2031-04-01", "Alpha Pit"), (1, "production", 500000.0, "tonnes", "None", "Alpha Pit"),
-        (2, "production", 7.0, "km", "1999-01-01", None), (3, "manpower", 12.0, None, "2001-05-04", None),
+        (2, "production", 7.0, "km", "None", None), (3, "manpower", 12.0, None, "2001-05-04", None),
     ]
 
 
