@@ -59,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = cut(found.select("row_id", "component_id").join(rows.select("row_id", "doc_id").distinct(), "row_id"), "groups")
     stays = groups.groupBy("component_id").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("stays"))
     dropped = groups.join(stays, "component_id").where("row_id <> stays").select("row_id")
-    return single(rows.join(cut(dropped, "dropped"), "row_id", "left_anti"), found.where("n > 1").select("row_id"))
+    dropped = cut(dropped, "dropped").hint("merge")  # copies may be a third of all documents: never broadcast their ids
+    return single(rows.join(dropped, "row_id", "left_anti"), found.where("n > 1").select("row_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
