@@ -409,7 +409,7 @@ def names_of(spark, buckets: int) -> tuple[list[int], list[int]]:
     return [r.k[0] for r in rows], [r.k[1] for r in rows]
 
 
-def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 4_000_000, model_dir: str | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 3_000_000, model_dir: str | None = None) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learned from rows where the Column ``train`` holds.
 
     ``score`` and ``base_score`` are log10 probabilities of the whole text under the Katz model and under the base model.

@@ -23,7 +23,7 @@ from factloom.llm.common import changes, from_steps, joined, planes, steps
 
 START, END = (xxhash.xxh64_intdigest(x, 2) >> 8 << 8 for x in (b"start", b"end"))
 #: Characters of a pack, about.
-PACK_CHARS = 7_000_000
+PACK_CHARS = 5_500_000
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
