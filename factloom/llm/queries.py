@@ -138,6 +138,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), langs, models, "page_id", "html", None, "url", None, markup=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid}
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid, "op12_jaccard": op12_jaccard}
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
