@@ -138,12 +138,111 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), langs, models, "page_id", "html", None, "url", None, markup=True)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid, "op12_jaccard": op12_jaccard}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.repair import damaged, repair_digests
+
+    chats = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(chats), chats)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_langid": op10_langid, "op11_importance": op11_importance, "op12_jaccard": op12_jaccard, "op13_repair": op13_repair}
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text in DuckDB SQL: bit by bit over its UTF-8 bytes, lowest bit first."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    bits = f"flatten(list_transform({octets}, lambda b: list_transform(range(8), lambda i: (b >> i) & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = rf"""
+WITH texts AS (SELECT doc_id, 0 AS target, text FROM documents UNION ALL SELECT NULL, 1, text FROM benchmark),
+numbered AS (SELECT *, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT n, target, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS f FROM numbered
+  UNION ALL SELECT n, target, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM numbered
+  UNION ALL SELECT n, target, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM numbered),
+hashed AS (SELECT f, ({crc32_sql("f")} % 10000)::BIGINT AS bucket FROM (SELECT DISTINCT f FROM runs)),
+counts AS (SELECT n, target, bucket, count(*) AS k FROM runs JOIN hashed USING (f) GROUP BY ALL),
+by_bucket AS (SELECT bucket, coalesce(sum(k) FILTER (target = 0), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (target = 1), 0)::DOUBLE AS t FROM counts GROUP BY bucket),
+sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM by_bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM by_bucket, sums),
+weights AS (SELECT n, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS weight FROM counts JOIN gains USING (bucket) WHERE target = 0 GROUP BY n),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM numbered LEFT JOIN weights USING (n) WHERE target = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * able // 100 THEN r END AS rank FROM placed
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS c, any_value(len(s)) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT c, n, unnest(s) AS x FROM classes),
+pairs AS (SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c < b.c AND a.n * 100 >= 90 * b.n AND b.n * 100 >= 90 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT c, c FROM classes),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN roots USING (c)
+"""
+
+
+def op13_sql() -> str:
+    cost = "substr({v}, 1, 8)::INTEGER"
+    then = lambda edit, k, v: f"lpad(({cost.format(v=v)} + {k})::VARCHAR, 8, '0') || '{edit}' || substr({v}, 9)"
+    after = [2, 2, 3, 2]
+    keeps = [("s", 1), None, None, None]
+    base = []
+    for q in range(4):
+        ways = [then("D", 4, f"v{q}")]
+        held = [x for x in (keeps[q], ("u" if after[q] == 2 else "a", after[q])) if x]
+        ways += [f"CASE WHEN NOT must_go AND initial = '{i}' THEN {then('K', '3 * cut_off', f'v{to}')} END" for i, to in held]
+        ways += [f"CASE WHEN NOT must_go THEN {then('R', '3 + 3 * cut_off', f'v{after[q]}')} END"]
+        base.append(f"least({', '.join(ways)}) AS b{q}")
+    relaxed = lambda a, b: ", ".join(f"least({a}{q}, {then('I', 3, f'{a}{after[q]}')}) AS {b}{q}" for q in range(4))
+    return rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS i FROM raw WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS initial,
+    regexp_replace(text, '[ 	-]+$', '') AS cut FROM hurt),
+judged AS (SELECT *, regexp_replace(cut, '^[ 	-]+', '') = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen,
+    NOT regexp_matches(right(cut, 1), '[.!?]') AS open_end, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS two FROM placed),
+flagged AS (SELECT *, blank OR seen AS must_go, (NOT blank AND NOT seen AND open_end)::INTEGER AS cut_off FROM judged),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate,
+    count(*) FILTER (cut_off = 1) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM flagged GROUP BY conv_id),
+best AS (SELECT conv_id, n + 1 AS pos, '00000000' AS v0, '00000006II' AS v1, '00000003I' AS v2, '00000000' AS v3 FROM counts
+  UNION ALL SELECT conv_id, pos, {relaxed("c", "d")} FROM (SELECT conv_id, pos, {relaxed("b", "c")} FROM (SELECT f.conv_id, f.pos, {", ".join(base)} FROM best JOIN flagged f ON f.conv_id = best.conv_id AND f.pos = best.pos - 1))),
+found AS (SELECT conv_id, substr(v0, 1, 8)::BIGINT AS cost, substr(v0, 9) AS audit FROM best WHERE pos = 1),
+walk AS (SELECT conv_id, audit, 0 AS k, 1::BIGINT AS pos, 0 AS q, '' AS out FROM found
+  UNION ALL SELECT w.conv_id, audit, k + 1, w.pos + CASE WHEN substr(audit, k + 1, 1) = 'I' THEN 0 ELSE 1 END,
+    CASE substr(audit, k + 1, 1) WHEN 'D' THEN q WHEN 'K' THEN CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE q WHEN 2 THEN 3 ELSE 2 END END,
+    CASE substr(audit, k + 1, 1) WHEN 'D' THEN out ELSE out || CASE WHEN q = 0 THEN '' ELSE chr(10) END || CASE substr(audit, k + 1, 1) WHEN 'K' THEN f.role || ':' || f.text
+      WHEN 'R' THEN CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text ELSE CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END END END
+  FROM walk w LEFT JOIN flagged f ON f.conv_id = w.conv_id AND f.pos = w.pos WHERE k < length(audit)),
+ended AS (SELECT conv_id, out FROM walk WHERE k = length(audit)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (conv_id) LEFT JOIN found USING (conv_id) LEFT JOIN ended USING (conv_id)
+"""
+
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_importance": OP11_SQL, "op12_jaccard": OP12_SQL, "op13_repair": op13_sql()}
