@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.vocabulary import ATTRIBUTES, MONTHS, MULTIPLIERS, NO_VALUE, RANGES, STOPWORDS, UNITS
+from factloom.functions.vocabulary import ANALYTICAL, ATTRIBUTES, MONTHS, MULTIPLIERS, NO_VALUE, RANGES, STOPWORDS, UNITS
 
 #: A number that doesn't continue a word, another number, a date or a range.
 NUMBER = r"(?U)(?<![\w.-])[+-]?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?"
@@ -219,9 +219,16 @@ def version_stem(filename: Column) -> Column:
 
 
 def route(s: Column) -> Column:
-    """LISTING, NUMERIC_FACT or SEMANTIC."""
+    """LISTING (begins with a word that asks for a list, or counts), NUMERIC_FACT (names a metric or a fiscal span) or SEMANTIC."""
     low = F.lower(s)
-    return F.when(low.rlike(r"\b(?:list|which|name all|show all)\b"), "LISTING").when(low.rlike(r"\b(?:how much|how many|what (?:is|was|were) the|total)\b") | detect_attribute(s).isNotNull(), "NUMERIC_FACT").otherwise("SEMANTIC")
+    listing = low.rlike(r"^\s*(?:list|enumerate|name)\b") | low.startswith("how many")
+    span = s.rlike(r"(?i)\bFY\s*\d{2,4}\b|\b(?:19|20)\d{2}\s*[-–]\s*\d{2,4}\b")
+    return F.when(listing, "LISTING").when(detect_attribute(s).isNotNull() | span, "NUMERIC_FACT").otherwise("SEMANTIC")
+
+
+def is_analytical(s: Column) -> Column:
+    """Whether a question asks for a comparison, a statistic or a chart."""
+    return s.rlike(rf"(?i)\b(?:{'|'.join(ANALYTICAL)})\b")
 
 
 def extractive_summary(s: Column, least: int = 320, most: int = 520) -> Column:
@@ -242,5 +249,20 @@ def stripped_citations(s: Column, allowed: Column) -> Column:
     return F.aggregate(F.array_except(refs, allowed), s, lambda a, r: F.replace(a, r, F.lit("")))
 
 
+def renumbered_citations(s: Column, n: Column) -> Column:
+    """struct(text, old): the references [E1] to [En] that a text cites numbered anew from 1 in their order, and their old numbers.
+
+    Others stay as they are. New numbers are never above old ones, so a fold in rising order meets none twice.
+    """
+    cited = F.filter(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\[E([1-9][0-9]{0,8})\]"), 1)), lambda x: x.cast("int") <= n)
+
+    def numbered(old: Column) -> Column:
+        mark = lambda x: F.concat(F.lit("[E"), x.cast("string"), F.lit("]"))
+        pairs = F.transform(old, lambda x, i: F.struct(x.alias("old"), (i + 1).alias("new")))
+        return F.struct(F.aggregate(pairs, s, lambda a, p: F.replace(a, mark(p["old"]), mark(p["new"]))).alias("text"), old.alias("old"))
+
+    return let(F.array_sort(F.transform(cited, lambda x: x.cast("int"))), numbered)
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)

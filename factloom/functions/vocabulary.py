@@ -51,3 +51,9 @@ NO_VALUE = ["nil", "na", "n/a", "-", "—"]
 
 # Words that carry no topic.
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "was", "were", "are", "has", "have", "had", "been", "will", "which", "their", "its", "into", "than", "not", "per"]
+
+# Words of questions that ask for analysis (patterns).
+ANALYTICAL = [
+    "compare", "comparison", "share", "shares", "percentage", "percent", "growth", "trend", "chart", "charts", "graph", "plot", "visuali[sz]e", "analysis", "analyse", "analyze",
+    "average", "correlation", "distribution", "aggregate", "total", "rank", "ranking", "highest", "lowest", "year.over.year", "statistics", "statistical",
+]

@@ -69,3 +69,57 @@ def evidence_list(facts: DataFrame, top: int = 60) -> DataFrame:
     """Newest facts of each entity."""
     rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("period"), "fact_id"))
     return facts.withColumn("rank", rank).where(F.col("rank") <= top).select("entity", "rank", "fact_id")
+
+
+def all_vertices(documents: DataFrame, tags: DataFrame, entities: DataFrame, metrics: DataFrame, events: DataFrame, top_tags: int = 25, label: str | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """``kind, id, label`` of every vertex, with edges or without: documents (doc_id, name), the ``top_tags`` most frequent tags
+    (doc_id, keyword), entities (entity, kind), metrics (attribute) and events (event). ``label`` is part of a label, in any case.
+    """
+    counted = tags.groupBy("keyword").agg(F.count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "keyword").limit(top_tags)
+    row = lambda df, kind, key, name: df.select(kind.alias("kind"), F.col(key).cast("string").alias("id"), F.col(name).cast("string").alias("label"))
+    out = row(documents, F.lit("document"), "doc_id", "name").unionByName(row(counted, F.lit("tag"), "keyword", "keyword")).unionByName(row(entities, F.col("kind"), "entity", "entity"))
+    out = out.unionByName(row(metrics.distinct(), F.lit("metric"), "attribute", "attribute")).unionByName(row(events.distinct(), F.lit("event"), "event", "event"))
+    if label is not None:
+        out = out.where(F.lower("label").contains(label.lower()))
+    return out.where(F.col("kind").isin(kinds)) if kinds else out
+
+
+EDGE = ["src_kind", "src", "relation", "dst_kind", "dst"]
+
+
+def edge_rows(df: DataFrame, src_kind, src, relation: str, dst_kind, dst, receipt) -> DataFrame:
+    kind = lambda k: F.lit(k) if isinstance(k, str) else k
+    return df.select(kind(src_kind).alias("src_kind"), F.col(src).cast("string").alias("src"), F.lit(relation).alias("relation"), kind(dst_kind).alias("dst_kind"), F.col(dst).cast("string").alias("dst"), F.col(receipt).cast("string").alias("receipt"))
+
+
+def all_edges(found: DataFrame, facts: DataFrame, entities: DataFrame, tags: DataFrame, versions: DataFrame, events: DataFrame, persisted: DataFrame | None = None) -> DataFrame:
+    """Edges between vertices that are there, one for each pair and relation: their number of receipts and the smallest of them.
+
+    Persisted ones (``EDGE``, receipt) and those derived: documents MENTION entities and REPORT metrics of their facts, entities
+    HAVE metrics, documents are TAGGED, SUPERSEDE the version before and tell of events (doc_id, event). An edge stays if both of
+    its ends are vertices: two semi-joins.
+    """
+    of = facts.join(entities.select("entity", F.col("kind").alias("__kind")), "entity")
+    kind = F.col("__kind")
+    parts = [
+        edge_rows(of, kind, "entity", "HAS_METRIC", "metric", "attribute", "fact_id"), edge_rows(of, "document", "doc_id", "MENTIONS", kind, "entity", "fact_id"),
+        edge_rows(facts, "document", "doc_id", "REPORTS_METRIC", "metric", "attribute", "fact_id"), edge_rows(tags, "document", "doc_id", "TAGGED", "tag", "keyword", "doc_id"),
+        edge_rows(versions.where("previous is not null"), "document", "doc_id", "SUPERSEDES", "document", "previous", "doc_id"), edge_rows(events, "document", "doc_id", "MENTIONS", "event", "event", "doc_id"),
+    ]
+    every = persisted.select(*EDGE, "receipt") if persisted is not None else None
+    for p in parts:
+        every = p if every is None else every.unionByName(p)
+    one = every.groupBy(*EDGE).agg(F.count("*").alias("n"), F.min("receipt").alias("receipt"))
+    for end in ("src", "dst"):
+        one = one.join(found.select(F.col("kind").alias(f"{end}_kind"), F.col("id").alias(end)), [f"{end}_kind", end], "left_semi")
+    return one.select(*EDGE, "n", "receipt")
+
+
+def neighbourhoods(edges_: DataFrame, receipts: DataFrame) -> DataFrame:
+    """One hop around every vertex, in both directions, with the text of a receipt: ``kind, id, relation, direction, other_kind, other, n, receipt, name, snippet``.
+
+    receipts: receipt, name, snippet. Receipts are joined once, before the edges are turned round.
+    """
+    told = edges_.join(receipts.select("receipt", "name", "snippet"), "receipt", "left")
+    side = lambda a, b, way: told.select(F.col(f"{a}_kind").alias("kind"), F.col(a).alias("id"), "relation", F.lit(way).alias("direction"), F.col(f"{b}_kind").alias("other_kind"), F.col(b).alias("other"), "n", "receipt", "name", "snippet")
+    return side("src", "dst", "out").unionByName(side("dst", "src", "in"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
+from factloom.operators import files
 
 # Document kinds by extension, and magic bytes where the extension says nothing.
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "txt": "text", "md": "text", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
@@ -28,21 +29,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table_files(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text files as a long grid (path, row_idx, col_idx, value), every row as wide as the file's widest.
-
-    Files are UTF-8, UTF-16 with a mark, or else Latin-1; the more frequent of ; and , in a file's first line separates.
-    """
-    raw = F.col("content")
-    mark = F.hex(F.substring(raw, 1, 2))
-    utf8 = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, 4, 2**31 - 1)).otherwise(raw)
-    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(raw, "UTF-16")).when(F.is_valid_utf8(utf8.cast("string")), utf8.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
-    lines = spark.read.format("binaryFile").load(path).select("path", F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("lines"))
-    sep = F.when(F.regexp_count(F.get("lines", F.lit(0)), F.lit(";")) > F.regexp_count(F.get("lines", F.lit(0)), F.lit(",")), ";").otherwise(",")
-    rows = lines.select("path", sep.alias("sep"), F.posexplode("lines").alias("row_idx", "line")).where("line <> ''")
-    cells = rows.select("path", "row_idx", F.posexplode(F.when(F.col("sep") == ";", F.split("line", ";")).otherwise(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))).alias("col_idx", "value"))
-    width = cells.groupBy("path").agg((F.max("col_idx") + 1).alias("width"))
-    full = cells.groupBy("path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.trim(F.regexp_replace("value", '^\\s*"|"\\s*$', "")).alias("v")))).alias("c")).join(width, "path")
-    return full.select("path", "row_idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.element_at("c", i), F.lit("")))).alias("col_idx", "value"))
+    """Delimited text files as a long grid (path, row_idx, col_idx, value), every row as wide as the file's widest."""
+    return files.read_grid(spark, path)
 
 
 def register(new: DataFrame, known: DataFrame, key: str = "sha256", order: str = "doc_id") -> DataFrame:

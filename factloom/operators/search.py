@@ -46,14 +46,15 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 5_000) -> DataFrame:
-    """The k nearest vectors (id, v) of each query (query_id, q), exactly.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 5_000, allowed: DataFrame | None = None) -> DataFrame:
+    """The k nearest vectors (id, v) of each query (query_id, q), exactly; with ``allowed`` (id) among those only.
 
     The stated query set goes against all vectors, in blocks of about ``block`` queries, each of which is broadcast. Both sides are
     brought to unit length before they meet; the tasks keep the k best of each query, so few pairs are shuffled.
     """
     asked = stored(queries.select("query_id", normalised(F.col("q")).alias("q")), "queries")
     blocks = max(1, -(-asked.count() // block))
+    vectors = vectors.join(allowed.select("id"), "id", "left_semi") if allowed is not None else vectors
     unit = stored(vectors.select("id", normalised(F.col("v")).alias("v")), "vectors")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = None
@@ -93,8 +94,9 @@ def cluster_count(n: Column) -> Column:
     return F.least(F.greatest(F.floor(F.sqrt(n)) + 1, F.lit(2)), F.lit(6)).cast("int")
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 7, rounds: int = 25) -> DataFrame:
-    """Clusters of vectors by cosine."""
+def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 7, rounds: int = 25) -> DataFrame:
+    """Clusters of vectors by cosine; as many as :func:`cluster_count` of their number unless ``k`` is given."""
+    k = k or vectors.agg(cluster_count(F.count("*"))).first()[0]
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -113,6 +115,22 @@ def hashed_embedding(docs: DataFrame, size: int = 1024) -> DataFrame:
     return Pipeline(stages=stages).fit(words).transform(words).select("doc_id", "embedding")
 
 
+def topic_panel(runs: DataFrame, scopes: DataFrame, docs: DataFrame, top: int = 4, names: int = 3) -> DataFrame:
+    """``asked, scope, cluster, n_docs, names`` for each asked scope: the ``top`` newest clusters of its last run, else of the corpus.
+
+    runs: scope, run, cluster, doc_id as stored by clusterings; scopes: scope; docs: doc_id, filename.
+    """
+    last = runs.groupBy("scope").agg(F.max("run").alias("run"))
+    now = runs.join(last, ["scope", "run"])
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("cluster")))
+    clusters = now.groupBy("scope", "cluster").agg(F.count_distinct("doc_id").alias("n_docs")).withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    own = scopes.select(F.col("scope").alias("asked")).distinct().join(last.select("scope").withColumn("asked", F.col("scope")), "asked", "left").select("asked", F.coalesce("scope", F.lit("corpus")).alias("scope"))
+    place = F.row_number().over(Window.partitionBy("scope", "cluster").orderBy("doc_id"))
+    first = now.join(clusters.select("scope", "cluster"), ["scope", "cluster"]).withColumn("p", place).where(F.col("p") <= names).join(docs.select("doc_id", "filename"), "doc_id")
+    listed = first.groupBy("scope", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "filename"))), lambda x: x["filename"]), ", ").alias("names"))
+    return own.join(clusters, "scope").join(listed, ["scope", "cluster"], "left").select("asked", "scope", "cluster", "n_docs", "names")
+
+
 def cluster_labels(terms: DataFrame, top: int = 5) -> DataFrame:
     """c-TF-IDF terms of each cluster: terms(cluster, term, n)."""
     total = F.sum("n").over(Window.partitionBy("cluster"))

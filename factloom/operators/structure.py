@@ -109,3 +109,56 @@ def quality_gate(docs: DataFrame, elements: DataFrame, chunk_rows: DataFrame) ->
     checks = F.filter(F.array(F.when(F.col("n_elements") == 0, "no elements"), F.when(F.col("n_chunks") == 0, "no chunks"), F.when(F.col("chars") < 0.9 * F.col("n_chars"), "low coverage"), F.when(F.col("most") > 400, "chunk above budget")), lambda x: x.isNotNull())
     verdict = F.when(F.col("n_elements") == 0, "FAILED").when(F.size("checks") > 0, "WARNING").otherwise("COMPLETE")
     return j.withColumn("checks", checks).select("doc_id", "n_pages", "n_elements", "n_chunks", verdict.alias("verdict"), F.array_join("checks", "; ").alias("reasons"))
+
+
+# Share of empty pages, share of recognised pages and mean confidence at which a check warns.
+EMPTY_PAGES, OCR_PAGES, OCR_CONFIDENCE = 0.5, 0.8, 70.0
+
+
+def document_checks(docs: DataFrame, pages: DataFrame, tables: DataFrame, figures: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """``doc_id, checks, verdict, reason``: six checks (array of struct(name, status, detail)); FAILED with one that fails, WARNING with one that warns.
+
+    docs: doc_id, page_count, sheets, predicted_tables, vision_skipped; pages: doc_id, page_no, text, ocr_planned, ocr_used, conf;
+    tables: doc_id, page_no; figures: doc_id, page_no, method; chunk_rows: doc_id, n_elements.
+    """
+    on_page = tables.select("doc_id", "page_no").unionByName(figures.select("doc_id", "page_no")).where("page_no is not null").distinct().withColumn("__held", F.lit(True))
+    text = F.trim(F.coalesce("text", F.lit(""))) != ""
+    p = pages.join(on_page, ["doc_id", "page_no"], "left")
+    done = F.col("ocr_planned") & F.col("ocr_used") & text
+    p = p.groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.count_if(text | F.coalesce("__held", F.lit(False))).alias("content"), F.count_if("ocr_planned").alias("planned"), F.count_if(done).alias("done"),
+        F.avg(F.when(done & (F.col("conf") > 0), F.col("conf"))).alias("conf"),
+    )
+    t = tables.groupBy("doc_id").agg(F.count("*").alias("tables"))
+    v = figures.groupBy("doc_id").agg(F.count_if(F.col("method") == "vision").alias("vision"))
+    c = chunk_rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("n_elements") > 0).alias("linked"))
+    j = docs
+    for part in (p, t, v, c):
+        j = j.join(part, "doc_id", "left")
+    j = j.fillna(0, ["pages", "content", "planned", "done", "tables", "vision", "chunks", "linked", "sheets", "predicted_tables", "vision_skipped"])
+    col, text_of = F.col, lambda *x: F.concat(*(y.cast("string") if not isinstance(y, str) else F.lit(y) for y in x))
+    check = lambda name, status, detail: F.struct(F.lit(name).alias("name"), status.alias("status"), detail.alias("detail"))
+    got = F.when(col("pages") > 0, col("pages")).otherwise(col("sheets"))
+    short = (col("page_count") > 0) & (got < col("page_count"))
+    empty = 1 - col("content") / col("pages")
+    nothing = (col("pages") > 0) & (col("content") == 0) & (col("tables") == 0) & (col("sheets") == 0)
+    sparse = (col("pages") > 0) & (empty > EMPTY_PAGES)
+    share = col("done") / col("planned")
+    none_read, few_read = (col("planned") > 0) & (col("done") == 0), (col("planned") > 0) & (share < OCR_PAGES)
+    unsure = (col("planned") > 0) & (col("conf") < OCR_CONFIDENCE)
+    lost = (col("predicted_tables") > 0) & (col("tables") == 0)
+    unlinked = (col("chunks") > 0) & (col("linked") < col("chunks"))
+    none_built = (col("chunks") == 0) & ((col("content") > 0) | (col("tables") > 0))
+    checks = F.array(
+        check("pages_processed", F.when(short, "fail").otherwise("pass"), F.when(short, text_of(got, "/", col("page_count"), " pages produced")).otherwise(text_of(got, " page(s)/sheet(s)"))),
+        check("content_coverage", F.when(nothing | ((col("pages") == 0) & (col("sheets") == 0)), "fail").when(sparse, "warn").otherwise("pass"),
+              F.when(nothing, "no text, tables or figures extracted").when(col("pages") == 0, text_of(col("sheets"), " sheet(s)")).when(sparse, text_of(F.round(empty * 100).cast("int"), "% pages empty")).otherwise(text_of(col("content"), "/", col("pages"), " pages"))),
+        check("ocr_fidelity", F.when(none_read, "fail").when(few_read | unsure, "warn").otherwise("pass"),
+              F.when(col("planned") == 0, "no OCR planned").when(none_read, text_of("0/", col("planned"), " planned pages OCR'd")).when(few_read, text_of(col("done"), "/", col("planned"), " pages OCR'd")).when(unsure, F.concat(F.lit("mean OCR confidence "), F.format_number("conf", 1), F.lit("%"))).otherwise(text_of(col("done"), "/", col("planned"), " pages"))),
+        check("table_parity", F.when(lost, "warn").otherwise("pass"), F.when(lost, text_of(col("predicted_tables"), " ruled table(s) seen, none extracted")).otherwise(text_of(col("tables"), " table(s)"))),
+        check("provenance", F.when(unlinked | none_built, "warn").otherwise("pass"), F.when(col("chunks") == 0, "no chunks built").when(unlinked, text_of(col("linked"), "/", col("chunks"), " chunks linked")).otherwise(text_of(col("chunks"), " chunks linked"))),
+        check("vision", F.lit("pass"), text_of(col("vision"), " interpreted, ", col("vision_skipped"), " skipped")),
+    )
+    has = lambda status: F.exists("checks", lambda x: x["status"] == status)
+    failed = F.transform(F.filter("checks", lambda x: x["status"] == "fail"), lambda x: F.concat(x["name"], F.lit(": "), x["detail"]))
+    return j.withColumn("checks", checks).select("doc_id", "checks", F.when(has("fail"), "FAILED").when(has("warn"), "WARNING").otherwise("COMPLETE").alias("verdict"), F.array_join(failed, "; ").alias("reason"))

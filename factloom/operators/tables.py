@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
+from factloom.operators import extraction
 
 # Headers of columns that hold no quantities; years of the year column; share of numbered headers.
 NO_QUANTITY = ["share", "growth", "percentage", "change"]
@@ -129,3 +130,26 @@ def year_column(found: DataFrame, rows: DataFrame, years: str = YEARS) -> DataFr
     per = cell.groupBy("sheet", "region", "col", F.col("c.headers").alias("header")).agg(F.count("*").alias("n"), F.min("row_no").alias("met"), F.min_by("year", "row_no").alias("first_year"), F.max_by("year", "row_no").alias("last_year"))
     best = F.row_number().over(Window.partitionBy("sheet", "region").orderBy(F.desc("n"), "met", "col"))
     return per.withColumn("best", best).where("best = 1").drop("best", "met")
+
+
+def table_facts(found: DataFrame, rows: DataFrame, names: DataFrame, period: Column | None = None, head: int = 300) -> DataFrame:
+    """Facts of the cells of tables: sheet, region, row_no, col_idx, entity, attribute, period, value_raw, value, unit.
+
+    A cell's column says its metric and period; where it doesn't, the table's title and line do, and ``period`` is that of the
+    document. A unit in the cell holds, else the one of the title and first header with its factor. The entity is that of the
+    row's own cells, else of the title and line. Cells without a measurable value, and values out of range, give nothing.
+    """
+    key = ["sheet", "region", "row_no"]
+    told = rows.join(found.select("sheet", "region", "title", "headers"), ["sheet", "region"])
+    title = F.coalesce("title", F.lit(""))
+    told = told.withColumn("own", F.array_join(F.filter("cells", lambda c: c != ""), " | ")).withColumn("context", F.concat(title, F.lit(" "), F.substring(row_line(F.col("headers"), F.col("cells")), 1, head)))
+    cells = told.select(*key, "context", F.concat(title, F.lit(" "), F.coalesce(F.get("headers", F.lit(0)), F.lit(""))).alias("units"), F.posexplode(F.arrays_zip(F.col("cells").alias("c"), F.slice("headers", F.lit(1), F.size("cells")).alias("h"))).alias("col_idx", "x"))
+    value = C.extract_value(F.col("x.c"))
+    cells = cells.select(*key, "col_idx", F.col("x.c").alias("value_raw"), F.col("x.h").alias("header"), "context", "units", value.alias("q")).where("q.value is not null")
+    unit = C.context_unit(F.col("units"))
+    cells = cells.withColumns({"attribute": F.coalesce(C.detect_attribute(F.col("header")), C.detect_attribute(F.col("context")), F.lit("quantity")), "period": F.coalesce(C.normalize_period(F.col("header")), period if period is not None else F.lit(None).cast("date")), "u": unit})
+    cells = cells.select(*key, "col_idx", "attribute", "period", "value_raw", F.when(F.col("q.unit").isNotNull(), F.col("q.value")).otherwise(F.col("q.value") * F.coalesce("u.factor", F.lit(1.0))).alias("value"), F.coalesce("q.unit", "u.unit").alias("unit"))
+    cells = cells.where(C.in_range(F.col("attribute"), F.col("value")))
+    own = extraction.mentions(told.select(*key, F.col("own").alias("text")), names, key).withColumnRenamed("entity", "__own")
+    around = extraction.mentions(told.select(*key, F.col("context").alias("text")), names, key).withColumnRenamed("entity", "__around")
+    return cells.join(own, key, "left").join(around, key, "left").select(*key, "col_idx", F.coalesce("__own", "__around").alias("entity"), "attribute", "period", "value_raw", "value", "unit")

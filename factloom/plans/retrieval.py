@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import embedding as E
+from factloom.operators import files
 from factloom.operators import index as I
 from factloom.operators import lifecycle as L
 from factloom.plans.evidence import TAGS, tags
@@ -83,3 +84,22 @@ def first_arrivals(s, d) -> DataFrame:
 
 
 add("ST-2_content_across_batches", first_arrivals, "SELECT sha256(text) AS sha256, 1::BIGINT AS n FROM documents GROUP BY 1")
+
+
+def written_nations(s, d) -> str:
+    """Nations as files of three encodings and two separators, with quotes, separators and line breaks in their fields."""
+    path = f"{shared_dir(s)}/nations-{uuid.uuid4().hex}"
+    n = bridge.read(s, d, "nation")
+    rows = n.select("n_nationkey", F.concat(F.initcap("n_name"), F.lit(' é "q", ; '), F.lit("\n"), "n_name", F.lit("\n\nend")).alias("a"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("").alias("b"), "n_regionkey")
+    for kind, encoding, sep in (("utf8", "UTF-8", ","), ("latin", "ISO-8859-1", ";"), ("wide", "UTF-16", ",")):
+        rows.coalesce(1).write.option("encoding", encoding).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(f"{path}/kind={kind}")
+    return path
+
+
+def nations_read(s, d) -> DataFrame:
+    grid = files.read_grid(s, f"{written_nations(s, d)}/*/*.csv")
+    return grid.select(F.regexp_extract("path", "kind=([a-z0-9]+)/", 1).alias("kind"), "row_idx", "col_idx", "value").groupBy("kind", "row_idx").pivot("col_idx", [0, 1, 2, 3]).agg(F.first("value")).select("kind", *(F.col(str(i)).alias(f"c{i}") for i in range(4)))
+
+
+add("IO-3_delimited_files", nations_read, """SELECT k.kind, n_nationkey::VARCHAR AS c0, n_name[1] || lower(n_name[2:]) || ' é "q", ; ' || chr(10) || n_name || chr(10) || chr(10) || 'end' AS c1, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS c2, n_regionkey::VARCHAR AS c3
+FROM nation, (SELECT unnest(['utf8', 'latin', 'wide']) AS kind) k""")

@@ -138,4 +138,43 @@ def status_log(spark: SparkSession, path: str, schema, shared: str, build, key:
     return state(None).select(key, time, *columns)
 
 
-__all__ = ["answer_rates", "current_status", "event_counts", "ingest", "ingest_batch", "job_states", "replay", "status_log"]
+def committed(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame:
+    """Rows of a table of batches whose manifest is there; a batch that failed half-way isn't seen."""
+    done = spark.read.schema("batch long, name string, n long").parquet(f"{root}/manifest").where(F.col("name") == name).select("batch")
+    rows = spark.read.parquet(f"{root}/{name}").join(F.broadcast(done), "batch", "left_semi")  # a row for each batch
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+def ingest_tables(spark: SparkSession, path: str, schema, shared: str, build, root: str | None = None, files: int = 4) -> str:
+    """Stream the files of a path into several derived tables; returns the root under which :func:`committed` reads them.
+
+    ``build`` makes the tables (name to rows) of the new documents of a batch. A batch is one transaction: its tables ``known``,
+    ``dead`` (documents without text) and those of ``build`` go into folders of the batch, which a repetition overwrites, and its
+    manifest, with the rows of each table, is written last. Content known from committed batches, or repeated in the batch, is left out.
+    """
+    root = root or f"{shared}/ingest-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            hashed = batch.where("text <> ''").withColumn("sha256", F.sha2("text", 256))
+            first = F.row_number().over(Window.partitionBy("sha256").orderBy("doc_id"))
+            fresh = hashed.withColumn("__r", first).where("__r = 1").drop("__r")
+            if number:
+                seen = committed(spark, root, "known", number).join(fresh.select("sha256"), "sha256", "left_semi").select("sha256")
+                fresh = fresh.join(seen, "sha256", "left_anti")
+            dead = batch.where("text is null or text = ''").select("doc_id", F.lit("no text").alias("error"))
+            tables = {"known": fresh.select("doc_id", "sha256"), "dead": dead} | build(fresh)
+            for name, rows in tables.items():
+                rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+            counts = [(name, spark.read.schema(rows.schema).parquet(f"{root}/{name}/batch={number}").count()) for name, rows in tables.items()]
+            spark.createDataFrame(counts, "name string, n long").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/batch={number}")
+        finally:
+            batch.unpersist()
+
+    rows = file_stream(spark, path, schema, files)
+    rows.writeStream.option("checkpointLocation", f"{root}/log").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
+__all__ = ["answer_rates", "committed", "current_status", "event_counts", "ingest", "ingest_batch", "ingest_tables", "job_states", "replay", "status_log"]
