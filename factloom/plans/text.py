@@ -106,6 +106,6 @@ def facts_of_tables(s, d) -> DataFrame:
 add("C-10_facts_of_tables", facts_of_tables, """WITH o AS (SELECT o_custkey AS sheet, o_orderkey, o_orderkey % 6 AS k, n_name, CAST(floor(o_totalprice) AS BIGINT) AS p, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_no FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 f AS (SELECT sheet, row_no, 1 AS col_idx, k, n_name, 'manpower' AS attribute, DATE '2019-04-01' AS period, p::VARCHAR AS value_raw, p * CASE WHEN sheet % 2 = 0 THEN 1e5 ELSE 1e6 END AS value, 'tonnes' AS unit FROM o WHERE p NOT BETWEEN 1900 AND 2099
   UNION ALL SELECT sheet, row_no, 2, k, n_name, 'manpower', DATE '2020-04-01', p || ' MT', p * 1e6, 'tonnes' FROM o
-  UNION ALL SELECT sheet, row_no, 3, k, n_name, 'ash_pct', DATE '2015-04-01', (o_orderkey % 250) || ' %', (o_orderkey % 250)::DOUBLE, 'percent' FROM o WHERE o_orderkey % 250 <= 100
+  UNION ALL SELECT sheet, row_no, 3, k, n_name, 'ash_pct', DATE '2015-04-01', (o_orderkey % 250) || ' %', (o_orderkey % 250)::DOUBLE, 'percent' FROM o WHERE o_orderkey % 250 BETWEEN 1 AND 100
   UNION ALL SELECT sheet, row_no, 4, k, n_name, 'manpower', DATE '2015-04-01', (o_orderkey % 90000 + 3000)::VARCHAR, (o_orderkey % 90000 + 3000) * CASE WHEN sheet % 2 = 0 THEN 1e5 ELSE 1e6 END, 'tonnes' FROM o WHERE k <> 4)
 SELECT sheet, row_no, col_idx, CASE WHEN k = 5 THEN NULL ELSE n_name END AS entity, attribute, period, value_raw, round(value, 2) AS value, unit FROM f""")
