@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import connected_components, cut, small_batches, whole_text
 
-#: Signed sums a segment keeps to estimate its pairs, bits of a parity bitmap, sets in a block, words a task remembers.
-SIGNS, PARITY, BLOCK, WORDS = 8, 512, 256, 200_000
+#: Signed sums a segment keeps to estimate its pairs, bits of a parity bitmap, sets in a block.
+SIGNS, PARITY, BLOCK = 4, 512, 256
 #: What a candidate pair costs, in rows of the index.
 PAIR_COST = 4.0
 #: Kinds of index rows: of the own band or visiting, whole segment or one shingle left out.
@@ -50,27 +50,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class Words(dict):
-    """64-bit hashes of words; remembers a bounded number of them."""
+class Words:
+    """64-bit hashes of all words of a text at once: a random number for each byte (A-Z as a-z), weighted by powers of a random
+    odd number and summed up. A word's hash is a difference of two such sums, brought to power zero.
+    """
 
     def __init__(self, seed: int):
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
-        return h
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.table[65:91] = self.table[97:123]
+        self.separates = np.zeros(256, bool)
+        self.separates[[*b" \t\n\x0b\x0c\r"]] = True
+        self.base = int(rng.integers(0, 1 << 63)) * 2 + 1
+        self.grow(4096)
+
+    def grow(self, n: int) -> None:
+        self.powers, self.inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (self.base, pow(self.base, -1, 1 << 64)))
+
+    def hashes(self, text: bytes) -> np.ndarray:
+        """Hashes of the words, in order."""
+        octets = np.frombuffer(text, np.uint8)
+        if len(octets) >= len(self.powers):
+            self.grow(2 * len(octets))
+        inside = np.zeros(len(octets) + 2, np.int8)
+        inside[1:-1] = ~self.separates[octets]
+        edges = np.flatnonzero(np.diff(inside))
+        sums = np.zeros(len(octets) + 1, np.uint64)
+        np.cumsum(self.table[octets] * self.powers[: len(octets)], out=sums[1:])
+        starts, ends = edges[::2], edges[1::2]
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: bytes, size: int, words: Words) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles. The text is split in pieces, so that only hashes of a long one are held."""
+    """Sorted distinct hashes of a text's shingles. The text is hashed in pieces, so that only hashes of a long one are held."""
     found, at, step = [], 0, 1 << 20
     while at < len(text):
         end = at + step
-        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+        while end < len(text) and not words.separates[text[end]]:
             end += 1
-        found.append(np.fromiter(map(words.__getitem__, text[at:end].lower().split()), np.uint64))
+        found.append(words.hashes(text[at:end]))
         at = end
     h = np.concatenate(found) if found else np.zeros(0, np.uint64)
     if not len(h):
@@ -79,7 +97,8 @@ def shingles(text: bytes, size: int, words: Words) -> np.ndarray:
     x = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
         x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return np.unique(x)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 class Scheme:
@@ -169,7 +188,8 @@ def index_keys(x: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
         reached = np.cumsum(worth)
         upto = int(np.searchsorted(reached, allowed + 1)) + 1
         chosen = order[:upto][sizes[:upto] > 0]
-        for kind, found in ((OWN, dealt.whole(chosen)), (OWN_LESS, dealt.one_less(chosen[tolerance[chosen] == 1]))):
+        loose = chosen[tolerance[chosen] == 1]
+        for kind, found in ((OWN, dealt.whole(chosen)), *([(OWN_LESS, dealt.one_less(loose))] if len(loose) else [])):
             keys.append(found)
             kinds.append(np.full(len(found), kind + 2 * guest, np.int8))
         if reached[-1] <= allowed:
@@ -179,9 +199,8 @@ def index_keys(x: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signs(keys: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each key and signed sum."""
-    bits = mixed(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))[:, None] >> np.arange(SIGNS, dtype=np.uint64)
-    return 1 - 2 * (bits & np.uint64(1)).astype(np.int64)
+    """+1 or -1 for each signed sum and key: some bits of the key, which are spread well."""
+    return 1 - 2 * (keys >> np.arange(SIGNS, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.int64)
 
 
 def texts_of(docs: DataFrame, *columns) -> DataFrame:
@@ -213,17 +232,17 @@ def measured(docs: DataFrame, scheme: Scheme, shingle: int, seed: int, pair_cost
                 x = shingles(text.as_py(), shingle, words)
                 for band, _, _ in scheme.entered(len(x))[:1]:
                     m = scheme.segments(band)
-                    dealt, total = Segments(x, band, m), sums.setdefault(band, np.zeros((m, 2 + 2 * SIGNS), np.int64))
-                    full = np.flatnonzero(dealt.sizes)
-                    total[full, 0] += 1
-                    total[:, 1] += dealt.sizes
-                    own = signs(dealt.whole(full))
-                    total[full, 2 : 2 + SIGNS] += own
-                    total[full, 2 + SIGNS :] += own
+                    dealt, total = Segments(x, band, m), sums.setdefault(band, np.zeros((2 + 2 * SIGNS, m), np.int64))
+                    full = dealt.sizes > 0
+                    total[0] += full
+                    total[1] += dealt.sizes
+                    own = signs(dealt.whole(np.arange(m))) * full
+                    total[2 : 2 + SIGNS] += own
                     less = dealt.of[dealt.sizes[dealt.of] > 1]
-                    np.add.at(total[:, 2 + SIGNS :], less, signs(dealt.one_less(np.arange(m))))
+                    for i, sign in enumerate(signs(dealt.one_less(np.arange(m)))):
+                        total[2 + SIGNS + i] += own[i] + np.bincount(less, sign, m).astype(np.int64)
         for band, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), band)), pa.array(np.arange(len(total))), *map(pa.array, total.T.copy())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.shape[1], band)), pa.array(np.arange(total.shape[1])), *map(pa.array, total)], names)
 
     names = ["band", "segment", *(f"s{i}" for i in range(2 + 2 * SIGNS))]
     per_task = texts_of(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
