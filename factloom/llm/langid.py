@@ -81,6 +81,27 @@ def trigrams(text: str) -> np.ndarray:
     return ((code ^ code >> np.uint64(23)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def declared_language(page):
+    """The ``lang`` of the first ``html`` tag (a Column): the tag's end is found once, and only the tag is searched."""
+    tag = F.regexp_extract(page, r"(?i)<html(\s[^>]*+)", 1)
+    return F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
+
+
+def two_letters(code):
+    """A language code as ISO 639-1 has it (a Column); codes of three letters that have none stay as they are."""
+    low = F.lower(F.regexp_extract(code, "^[A-Za-z]*", 0))
+    short = F.element_at(F.create_map(*(F.lit(x) for kv in THREE_LETTERS.items() for x in kv)), low)
+    return F.coalesce(short, low)
+
+
+# Codes of three letters of the languages that have one of two.
+THREE_LETTERS = {
+    "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru", "swe": "sv", "dan": "da", "nor": "no", "fin": "fi",
+    "ces": "cs", "cze": "cs", "slk": "sk", "slo": "sk", "hun": "hu", "ron": "ro", "rum": "ro", "bul": "bg", "ell": "el", "gre": "el", "tur": "tr", "ara": "ar", "heb": "he", "hin": "hi", "ben": "bn", "zho": "zh",
+    "chi": "zh", "jpn": "ja", "kor": "ko", "vie": "vi", "tha": "th", "ukr": "uk", "hrv": "hr", "srp": "sr", "slv": "sl", "est": "et", "lav": "lv", "lit": "lt", "cat": "ca", "eus": "eu", "baq": "eu", "glg": "gl",
+}
+
+
 def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 50_000, most_languages: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of the buckets, from a bounded sample of labelled texts.
 
@@ -129,13 +150,13 @@ def identify(
     small_batches(spark)
     absent = F.lit(None).cast("string")
     text = whole_text(text_col)
-    declared = F.regexp_extract(text, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1) if markup else F.col(declared_col).cast("string") if declared_col else absent
+    declared = declared_language(text) if markup else F.col(declared_col).cast("string") if declared_col else absent
     address = F.coalesce(F.col(address_col).cast("string"), F.lit("")) if address_col else F.lit("")
     host = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)) if address_col else F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     segment = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     suffix = F.when(segment != "", segment).otherwise(F.concat(F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1))) if address_col else F.lit("")
     listed = rows.select(
-        F.col(id_col).alias("id"), text.alias("__text"), F.coalesce(F.lower(F.substring(declared, 1, 2)), F.lit("")).alias("declared"),
+        F.col(id_col).alias("id"), text.alias("__text"), F.coalesce(two_letters(declared), F.lit("")).alias("declared"),
         suffix.alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"),
     )
     shared = spark.sparkContext.broadcast((table, len(langs)))

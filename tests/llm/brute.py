@@ -161,38 +161,33 @@ class Toxicity:
 
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„‘’«»¡¿"
 
-    def __init__(self, rows, discount):
+    def __init__(self, rows, chance):
+        self.chance = chance
         self.counts = [{}, {}]
-        pairs = set()
         for text, label in rows:
-            words = self.words(text)
-            for a, b in zip(["<", *words], words):
-                self.counts[label][b] = self.counts[label].get(b, 0) + 1
-                pairs.add((a, b))
+            for w in set(self.words(text)):
+                self.counts[label][w] = self.counts[label].get(w, 0) + 1
         self.totals = [sum(c.values()) for c in self.counts]
-        self.discounts = [discount * n for n in self.totals]
-        self.left = [sum(min(n, d) for n in c.values()) / t for c, d, t in zip(self.counts, self.discounts, self.totals)]
-        self.met = {w: sum(b == w for _, b in pairs) for w in {b for _, b in pairs}}
-        self.together = len(pairs)
+        self.met = {w: self.counts[0].get(w, 0) + self.counts[1].get(w, 0) for w in {*self.counts[0], *self.counts[1]}}
+        self.left = [1 - sum(self.above(w, c) for w in self.met) for c in (0, 1)]
 
     def words(self, text):
         return [w for w in (x.strip(self.PUNCTUATION) for x in text.lower().split()) if w]
 
+    def shared(self, word):
+        return (self.met.get(word, 0) + 0.5) / (sum(self.totals) + 0.5 * (len(self.met) + 1))
+
+    def above(self, word, label, less=0):
+        return max((self.counts[label].get(word, 0) - less) / self.totals[label] - (self.shared(word) ** 0.5 + self.chance**0.5) ** 2, 0)
+
     def p(self, word, label, less=0):
-        shared = (self.met.get(word, 0) + 0.5) / (self.together + 0.5 * (len(self.met) + 1))
-        return max(self.counts[label].get(word, 0) - less - self.discounts[label], 0) / self.totals[label] + self.left[label] * shared
+        return self.above(word, label, less) + self.left[label] * self.shared(word)
 
-    def compare(self, text, clear, own=None):
+    def compare(self, text, own=None):
         import math
 
-        words = self.words(text)
-        total = 0.0
-        for w in words:
-            if any(self.counts[c].get(w, 0) > self.discounts[c] for c in (0, 1)):
-                less = [words.count(w) if own == c else 0 for c in (0, 1)]
-                r = math.log(self.p(w, 1, less[1])) - math.log(self.p(w, 0, less[0]))
-                total += r if abs(r) > clear else 0.0
-        return total / math.sqrt(max(1, len(words)))
+        words = set(self.words(text))
+        return sum(math.log(self.p(w, 1, own == 1)) - math.log(self.p(w, 0, own == 0)) for w in words) / max(1, len(words))
 
 
 def visible(page):
