@@ -43,8 +43,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = known(docs)
     langs, models = text_models(rows, "row_id")
-    found = identify(rows, langs, models, "row_id", "text", "lang", None, "source")
-    found = found.join(rows.select("row_id", F.col("lang").alias("was")), "row_id").where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("was")))
+    marked = rows.withColumn("row_lang", F.concat("row_id", F.lit("|"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))  # the language goes along, so equal rows never meet
+    found = identify(marked, langs, models, "row_lang", "text", "lang", None, "source")
+    row_id = F.substring_index("row_lang", "|", 1)
+    was = F.expr("if(length(row_lang) > length(substring_index(row_lang, '|', 1)) + 1, substring(row_lang, length(substring_index(row_lang, '|', 1)) + 3), null)")
+    found = found.where(~F.col("accepted") | ~F.col("lang").eqNullSafe(was)).select(row_id.alias("row_id"), "accepted", "lang")
     notes = cut(found.groupBy("row_id").agg(F.min("accepted").alias("accepted"), F.min("lang").alias("found")), "notes")
     joined = rows.join(notes, "row_id", "left").where(F.coalesce("accepted", F.lit(True)))
     return joined.withColumn("lang", F.coalesce("found", "lang")).select(COLUMNS)
