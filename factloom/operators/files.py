@@ -3,7 +3,8 @@
 Files are read as lines of splits, so a large file is read by many tasks. Whether a line begins inside a quoted field depends on all
 lines before it. Each line maps the two states (outside, inside) to two states; such maps compose, so the state is folded in two
 levels: over the lines of a split, and over the splits of a file (one row each). Lines that belong together then meet by the number
-of their record, and a record is cut into its fields.
+of their record, and a record is cut into its fields. A quoted field that is never closed goes on to the end of its file, without
+the line break that ends it.
 """
 
 from __future__ import annotations

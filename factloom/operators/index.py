@@ -22,13 +22,19 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Folder of an index and the number of buckets that its tokens are dealt to."""
+    """Folder of an index, the number of buckets that its tokens are dealt to, and the type of its documents' ids."""
 
     root: str
     buckets: int
+    id_type: str = "bigint"
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{name}")
+        """A table of the index; an empty one has no files that tell its columns."""
+        columns = {
+            "postings": f"token string, id {self.id_type}, len int, tf long, block long, bucket int", "weights": "token string, block long, most double, n long, bucket int",
+            "terms": "token string, df long, bucket int", "stats": "n long, mean double",
+        }
+        return spark.read.schema(columns[name]).parquet(f"{self.root}/{name}")
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
@@ -44,20 +50,20 @@ def build_index(docs: DataFrame, root: str | None = None, id_col: str = "doc_id"
     root = root or f"{shared_dir(spark)}/factloom-index-{uuid.uuid4().hex}"
     words = docs.select(F.col(id_col).alias("id"), C.search_tokens(F.col(text_col)).alias("w"))
     words.select(F.size("w").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.parquet(f"{root}/stats")
-    stats = spark.read.parquet(f"{root}/stats")
-    n, mean = stats.first()
+    made = SearchIndex(root, buckets, docs.select(id_col).dtypes[0][1])
+    n, mean = made.table(spark, "stats").first()
     block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // per_block)))).alias("block")
     rows = words.select("id", F.size("w").alias("len"), F.explode("w").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
     rows = rows.select("token", "id", "len", "tf", block, bucket_of(F.col("token"), buckets).alias("bucket"))
     laid = rows.repartition("bucket", F.pmod("block", F.lit(spread))).sortWithinPartitions("bucket", "token", "block", "id")
     laid.write.partitionBy("bucket").parquet(f"{root}/postings")
-    post = spark.read.parquet(f"{root}/postings")
+    post = made.table(spark, "postings")
     share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
     weights = post.groupBy("bucket", "token", "block").agg(F.max(share).alias("most"), F.count("*").alias("n"))
     weights.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{root}/weights")
-    terms = spark.read.parquet(f"{root}/weights").groupBy("bucket", "token").agg(F.sum("n").alias("df"))
+    terms = made.table(spark, "weights").groupBy("bucket", "token").agg(F.sum("n").alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{root}/terms")
-    return SearchIndex(root, buckets)
+    return made
 
 
 def library_filter(
