@@ -37,6 +37,8 @@ from factloom.llm.common import connected_components, cut, small_batches, whole_
 
 #: Signed sums a segment keeps to estimate its pairs, bits of a parity bitmap, sets in a block.
 SIGNS, PARITY, BLOCK = 4, 512, 256
+#: Of so many segments one is measured for its neighbourhoods.
+EVERY = 8
 #: What a candidate pair costs, in rows of the index.
 PAIR_COST = 4.0
 #: Kinds of index rows: of the own band or visiting, whole segment or one shingle left out.
@@ -238,9 +240,10 @@ def measured(docs: DataFrame, scheme: Scheme, shingle: int, seed: int, pair_cost
                     total[1] += dealt.sizes
                     own = signs(dealt.whole(np.arange(m))) * full
                     total[2 : 2 + SIGNS] += own
-                    less = dealt.of[dealt.sizes[dealt.of] > 1]
-                    for i, sign in enumerate(signs(dealt.one_less(np.arange(m)))):
-                        total[2 + SIGNS + i] += own[i] + np.bincount(less, sign, m).astype(np.int64)
+                    some = np.arange(0, m, EVERY)  # neighbourhoods of every so many segments stand for those of all: segments are dealt by hash
+                    less = dealt.of[(dealt.sizes[dealt.of] > 1) & (dealt.of % EVERY == 0)]
+                    for i, sign in enumerate(signs(dealt.one_less(some))):
+                        total[2 + SIGNS + i] += np.bincount(less, sign, m).astype(np.int64) + own[i]
         for band, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(total.shape[1], band)), pa.array(np.arange(total.shape[1])), *map(pa.array, total)], names)
 
@@ -253,6 +256,7 @@ def measured(docs: DataFrame, scheme: Scheme, shingle: int, seed: int, pair_cost
         own = own[np.argsort(own[:, 1])]
         n, tokens = own[:, 2], own[:, 3]
         pairs, wide = (np.maximum(0, (own[:, a : a + SIGNS] ** 2).mean(axis=1) - k) / 2 for a, k in ((4, n), (4 + SIGNS, n + tokens)))
+        wide = np.repeat(wide[::EVERY], EVERY)[: len(wide)]
         equal, within = n + pair_cost * pairs, (n + tokens + pair_cost * wide) / 2
         cost = np.minimum(equal, within)
         order[band] = np.argsort(cost, kind="stable"), (within < equal).astype(np.int8)
