@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
 from factloom.operators import extraction
+from factloom.sources.shared import stored
 
 # Headers of columns that hold no quantities; years of the year column; share of numbered headers.
 NO_QUANTITY = ["share", "growth", "percentage", "change"]
@@ -140,15 +141,18 @@ def table_facts(found: DataFrame, rows: DataFrame, names: DataFrame, period: Col
     row's own cells, else of the title and line. Cells without a measurable value, and values out of range, give nothing.
     """
     key = ["sheet", "region", "row_no"]
-    told = rows.join(found.select("sheet", "region", "title", "headers"), ["sheet", "region"])
     title = F.coalesce("title", F.lit(""))
-    told = told.withColumn("own", F.array_join(F.filter("cells", lambda c: c != ""), " | ")).withColumn("context", F.concat(title, F.lit(" "), F.substring(row_line(F.col("headers"), F.col("cells")), 1, head)))
-    cells = told.select(*key, "context", F.concat(title, F.lit(" "), F.coalesce(F.get("headers", F.lit(0)), F.lit(""))).alias("units"), F.posexplode(F.arrays_zip(F.col("cells").alias("c"), F.slice("headers", F.lit(1), F.size("cells")).alias("h"))).alias("col_idx", "x"))
-    value = C.extract_value(F.col("x.c"))
-    cells = cells.select(*key, "col_idx", F.col("x.c").alias("value_raw"), F.col("x.h").alias("header"), "context", "units", value.alias("q")).where("q.value is not null")
-    unit = C.context_unit(F.col("units"))
-    cells = cells.withColumns({"attribute": F.coalesce(C.detect_attribute(F.col("header")), C.detect_attribute(F.col("context")), F.lit("quantity")), "period": F.coalesce(C.normalize_period(F.col("header")), period if period is not None else F.lit(None).cast("date")), "u": unit})
-    cells = cells.select(*key, "col_idx", "attribute", "period", "value_raw", F.when(F.col("q.unit").isNotNull(), F.col("q.value")).otherwise(F.col("q.value") * F.coalesce("u.factor", F.lit(1.0))).alias("value"), F.coalesce("q.unit", "u.unit").alias("unit"))
+    named = F.transform("headers", lambda h: F.struct(C.detect_attribute(h).alias("attribute"), C.normalize_period(h).alias("period")))  # once a table
+    unit = C.context_unit(F.concat(title, F.lit(" "), F.coalesce(F.get("headers", F.lit(0)), F.lit(""))))
+    tables_ = found.select("sheet", "region", title.alias("title"), "headers", named.alias("named"), unit.alias("u"))
+    told = rows.join(tables_, ["sheet", "region"]).withColumn("context", F.concat("title", F.lit(" "), F.substring(row_line(F.col("headers"), F.col("cells")), 1, head)))
+    told = told.withColumns({"own": F.array_join(F.filter("cells", lambda c: c != ""), " | "), "general": C.detect_attribute(F.col("context"))})  # once a row
+    told = stored(told.drop("headers", "title"), "rows")
+    cells = told.select(*key, "general", "u", F.posexplode(F.arrays_zip(F.col("cells").alias("c"), F.slice("named", F.lit(1), F.size("cells")).alias("h"))).alias("col_idx", "x")).where("x.c <> ''")
+    cells = cells.withColumn("q", C.extract_value(F.col("x.c"))).where("q.value is not null")
+    given = F.coalesce("x.h.period", period) if period is not None else F.col("x.h.period")
+    value = F.when(F.col("q.unit").isNotNull(), F.col("q.value")).otherwise(F.col("q.value") * F.coalesce("u.factor", F.lit(1.0)))
+    cells = cells.select(*key, "col_idx", F.coalesce("x.h.attribute", "general", F.lit("quantity")).alias("attribute"), given.alias("period"), F.col("x.c").alias("value_raw"), value.alias("value"), F.coalesce("q.unit", "u.unit").alias("unit"))
     cells = cells.where(C.in_range(F.col("attribute"), F.col("value")))
     own = extraction.mentions(told.select(*key, F.col("own").alias("text")), names, key).withColumnRenamed("entity", "__own")
     around = extraction.mentions(told.select(*key, F.col("context").alias("text")), names, key).withColumnRenamed("entity", "__around")
