@@ -77,14 +77,14 @@ def fuzzy_entities(questions: DataFrame, names: DataFrame, least: int = 90) -> D
     size = lambda s: F.size(F.split(F.trim(s), r"\s+"))
     asked = questions.select("query_id", "text", F.split(F.trim(F.lower("text")), r"\s+").alias("w"))
     plain = names.where(~capitals).select("entity", "name", F.lower("name").alias("low"), size(F.col("name")).alias("k"))
-    sizes = [r.k for r in plain.select("k").distinct().orderBy("k").limit(50).collect()]  # words of a name
+    sizes = plain.agg(F.array_sort(F.collect_set("k")).alias("sizes"))  # one row: the numbers of words that names have
 
-    def of_size(k: int) -> Column:
+    def of_size(k: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", i, F.lit(k)), " ").alias("window")))
+        return F.transform(starts, lambda i: F.struct(k.alias("k"), F.array_join(F.slice("w", i, k), " ").alias("window")))
 
-    windows = F.flatten(F.array(*map(of_size, sizes)))
-    window = asked.select("query_id", F.explode(F.array_distinct(windows)).alias("x")).select("query_id", "x.k", F.regexp_replace("x.window", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("window"))
+    windows = F.flatten(F.transform("sizes", of_size))
+    window = asked.crossJoin(F.broadcast(sizes)).select("query_id", F.explode(F.array_distinct(windows)).alias("x")).select("query_id", "x.k", F.regexp_replace("x.window", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("window"))
     met = window.select("query_id", "k", "window", F.explode(grams(F.col("window"))).alias("gram")).join(plain.select("entity", "name", "low", "k", F.explode(grams(F.col("low"))).alias("gram")), ["k", "gram"]).select("query_id", "entity", "name", "low", "window").distinct()
     score = F.floor(100 * (1 - F.levenshtein("low", "window") / F.greatest(F.length("low"), F.length("window")))).cast("int")
     near = met.withColumn("score", score).where(F.col("score") >= least).select("query_id", "entity", "name", "score")
