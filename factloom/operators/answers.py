@@ -110,3 +110,15 @@ def alternatives(facts: DataFrame, top: int = 8) -> DataFrame:
     rows = with_top_values(scaled(facts), scaled(facts), top)
     others = F.filter("top_values", lambda v: F.abs(v - F.col("value")) > F.greatest(F.lit(0.01), F.abs("value") * 0.01))
     return rows.select("fact_id", "value", others.alias("others")).where(F.size("others") > 0)
+
+
+def claim_trace(claims: DataFrame, data: DataFrame, calcs: DataFrame) -> DataFrame:
+    """What each claim (claim_id, data_refs, calc_refs) stands on: claim_id, kind, ref, source, value, resolved.
+
+    Data (data_id, source_id, value) lead on to their sources, calculations (calc_id, formula, value) to their formulas; a reference
+    that leads nowhere stays, unresolved.
+    """
+    side = lambda column, kind: claims.select("claim_id", F.lit(kind).alias("kind"), F.explode_outer(column).alias("ref")).where("ref is not null")
+    d = side("data_refs", "DATA").join(data.select(F.col("data_id").alias("ref"), F.col("source_id").cast("string").alias("source"), "value"), "ref", "left")
+    c = side("calc_refs", "CALC").join(calcs.select(F.col("calc_id").alias("ref"), F.col("formula").alias("source"), "value"), "ref", "left")
+    return d.unionByName(c).select("claim_id", "kind", "ref", "source", "value", F.col("source").isNotNull().alias("resolved"))

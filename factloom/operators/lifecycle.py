@@ -74,6 +74,20 @@ def delete_documents(docs: DataFrame, derived: DataFrame, ids: DataFrame) -> tup
     return versioned(docs.join(gone, "doc_id", "left_anti")), derived.join(gone, "doc_id", "left_anti")
 
 
+def delete_cascade(docs: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], ids: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Documents without those ids, their current versions elected anew, and every derived table (rows, the columns that name a document) without theirs.
+
+    A row that names several documents, as an edge does, goes with any of them.
+    """
+    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
+    left = {}
+    for name, (rows, columns) in tables.items():
+        for c in columns:
+            rows = rows.join(gone, F.col(c).cast("string") == F.col("__gone").cast("string"), "left_anti")
+        left[name] = rows
+    return versioned(docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")), left
+
+
 def best_facts(facts: DataFrame) -> DataFrame:
     """The fact of each document, entity, attribute and period with the highest confidence; ties to the smaller id."""
     best = F.row_number().over(Window.partitionBy("doc_id", "entity", "attribute", "period").orderBy(F.desc("conf"), "fact_id"))

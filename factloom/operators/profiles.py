@@ -63,6 +63,15 @@ def document_meta(elements: DataFrame) -> DataFrame:
     return first.withColumn("period", C.normalize_period(F.col("title")))
 
 
+def full_meta(docs: DataFrame, elements: DataFrame, names: list[str]) -> DataFrame:
+    """``doc_id, title, subsidiary, mentions, year``: first heading, the name that stands most often as a word (ties to the first of ``names``), and the first year of the text."""
+    low = F.lower("text")
+    counts = F.array(*(F.struct(F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{n.lower()}\E(?![\p{{L}}\p{{N}}_])")).alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(names)))
+    best = docs.select("doc_id", F.array_max(counts).alias("b"), F.regexp_extract("text", r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("year"))
+    title = elements.where("element_type = 'HEADING'").groupBy("doc_id").agg(F.min_by("text", "order_idx").alias("title"))
+    return best.join(title, "doc_id", "left").select("doc_id", "title", F.when(F.col("b.n") > 0, F.col("b.name")).alias("subsidiary"), F.col("b.n").alias("mentions"), "year")
+
+
 def tables_found(tables: DataFrame, least_rows: int = 4) -> DataFrame:
     """Tables (table_id, n_rows, body_hits, header_hits, numeric_share) by 1 x body hits + 2 x header hits + 5 x numeric share."""
     return tables.where(F.col("n_rows") >= least_rows).select("table_id", F.round(F.col("body_hits") + 2 * F.col("header_hits") + 5 * F.col("numeric_share"), 4).alias("score"))

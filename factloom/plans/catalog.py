@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import documents, evidence, knowledge, library, lifecycle, profiles, retrieval, search, series, structure, tables, text, whole  # noqa: F401  they enter their queries
+from factloom.plans import complete, documents, evidence, knowledge, library, lifecycle, profiles, retrieval, search, series, structure, tables, text, whole  # noqa: F401  they enter their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_series_growth_conflicts"
