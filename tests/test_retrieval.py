@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import columns as C
 from factloom.functions import unicode as U
-from factloom.operators import embedding, files, index, mining
+from factloom.operators import embedding, files, groups, index, knowledge, mining
 from factloom.operators import search as R
 from factloom.sources.shared import shared_dir
 from factloom.streaming import dedupe, ingest
@@ -172,3 +172,22 @@ def test_mining_feeds_back(spark):
         ("Safety Accident", "event"), ("Kusunda Mine", "mine"), ("Mine Closure", "event"),
     }
     assert mining.grown([texts, texts], known, organizations=["CIL"]).count() == once.count()
+
+
+def test_groups_of_one_stem_that_are_all_alike(spark):
+    """No more links than documents and blocks, and the groups of all near pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 16))
+    rows = [(i, "s", (base[i % 3] + 0.05 * rng.normal(size=16)).tolist()) for i in range(240)] + [(1000, "t", base[0].tolist()), (1001, "t", (-base[0]).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, stem string, v array<double>")
+    links = groups.near_links(df, 0.9, block=40)
+    assert links.count() <= 240 * 6
+    got = {r.doc_id: r.group_id for r in groups.version_groups(df, 0.9).collect()}
+    assert got == {i: i % 3 for i in range(240)}
+
+
+def test_fuzzy_names_of_any_number_of_words(spark):
+    long = " ".join(f"word{i}" for i in range(70))
+    names = spark.createDataFrame([(f"e{k}", " ".join(f"n{k}x{i}" for i in range(k))) for k in range(1, 56)] + [("long", long)], "entity string, name string")
+    asked = spark.createDataFrame([(1, "what of " + long.replace("word3 ", "wort3 ") + " now")], "query_id long, text string")
+    assert knowledge.fuzzy_entities(asked, names).first().entity == "long"
