@@ -38,14 +38,17 @@ def gazetteer(entities: DataFrame) -> DataFrame:
 def mentioned(texts: DataFrame, names: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``key, entity`` for every text that holds one of an entity's names as words.
 
-    Short names in capitals are abbreviations and must be written so. Texts and names meet by the first word of the name.
+    Short names in capitals are abbreviations and must be written so. Texts and names meet by the longest word of the name, without
+    the text; the text comes back for the few names that it may hold.
     """
-    word = lambda s: F.filter(C.search_tokens(s), lambda w: w != "")
-    words = texts.select(key, F.col(text_col).alias("__text"), F.explode(F.array_distinct(word(F.col(text_col)))).alias("__w"))
-    asked = names.select("entity", "name", F.get(word(F.col("name")), F.lit(0)).alias("__w")).where("__w is not null")
+    word = lambda s: F.filter(F.transform(C.search_tokens(s), lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
+    words = texts.select(key, F.explode(F.array_distinct(word(F.col(text_col)))).alias("__w"))
+    longest = F.array_max(F.transform(word(F.col("name")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = names.select("entity", "name", longest.alias("__w")).where("__w is not null")
     capitals = (F.upper("name") == F.col("name")) & (F.lower("name") != F.col("name")) & (F.length("name") <= 6)
     quoted = F.concat(F.when(capitals, "").otherwise("(?iu)"), F.lit(r"(?U)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)"))
-    return words.join(asked, "__w").where(F.call_function("rlike", F.col("__text"), quoted)).select(key, "entity").distinct()
+    maybe = words.join(asked, "__w").select(key, "entity", "name").distinct()
+    return maybe.join(texts.select(key, F.col(text_col).alias("__text")), key).where(F.call_function("rlike", F.col("__text"), quoted)).select(key, "entity").distinct()
 
 
 def relations(mentions: DataFrame, rules: list[tuple[str, str, str]] = RELATIONS) -> DataFrame:

@@ -139,3 +139,15 @@ def reindex(docs: DataFrame, root: str, buckets: int = 32) -> dict[str, str]:
     for name, df in made.items():
         write_table(df, f"{root}/{name}", buckets=buckets)
     return {name: f"{root}/{name}" for name in made}
+
+
+def reindex_all(docs: DataFrame, edges: DataFrame, root: str, buckets: int = 32) -> dict[str, str]:
+    """Everything that is derived: the tables of :func:`reindex`, embeddings by document, topic labels of the collections, and the graph's edges."""
+    from factloom.operators import embedding, search
+
+    paths = reindex(docs, root, buckets)
+    write_table(embedding.hashed_weights(docs), f"{root}/embeddings", buckets=buckets)
+    terms = docs.select(F.col("subsidiary").alias("cluster"), F.explode(C.keyword_tokens(F.col("text"))).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("n"))
+    search.cluster_labels(terms).write.mode("overwrite").parquet(f"{root}/labels")
+    edges.write.mode("overwrite").parquet(f"{root}/edges")
+    return paths | {name: f"{root}/{name}" for name in ("embeddings", "labels", "edges")}

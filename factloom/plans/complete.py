@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from factloom.plans.series import GROWTH, V, facts, points
 from factloom.plans.structure import KEYWORDS, SENTENCES, parsed, sales
 from factloom.plans.views import DOCUMENTS, ELEMENTS, FACTS, sql
 from factloom.sources import bridge
+from factloom.sources.shared import shared_dir
 
 
 def cascade(s, d) -> DataFrame:
@@ -126,3 +129,17 @@ def card(s, d) -> DataFrame:
 
 
 add("A-33_listed_card", card, sql("SELECT attribute, array_to_string(list_sort(list(DISTINCT entity)), ',') AS entities, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents, array_to_string(list_reverse_sort(list(DISTINCT strftime(period, '%Y-%m-%d')))[1:12], ',') AS periods, count(*) FILTER (low_conf) AS low FROM facts GROUP BY 1", FACTS))
+
+
+def everything(s, d) -> DataFrame:
+    """Rows of each table after all that is derived was built anew."""
+    paths = L.reindex_all(bridge.documents(s, d), edges(s, d), f"{shared_dir(s)}/factloom-all-{uuid.uuid4().hex}", buckets=8)
+    out = None
+    for name in ("embeddings", "labels", "edges", "versions", "fingerprints"):
+        rows = L.read_table(s, paths[name]) if name not in ("labels", "edges") else s.read.parquet(paths[name])
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+add("IO-12_everything", everything, " UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS n FROM ({query})" for kind, query in (("embeddings", ORACLE_SQL["S-5_weights"]), ("labels", ORACLE_SQL["S-12_cluster_labels"]), ("edges", ORACLE_SQL["G-2_edges"]), ("versions", "SELECT * FROM documents"), ("fingerprints", "SELECT * FROM documents"))))
