@@ -593,3 +593,15 @@ def test_toxicity_learns_from_every_labelled_row_whole(spark):
     assert tuple(stats) == (of[0], of[1])
     scores = {r.doc_id: r.score for r in toxicity.toxicity(df.drop("toxic"), df.where("toxic is not null").select("doc_id", "toxic"), F.lit(True), chance=1e-6).collect()}
     assert all(scores[-10 - i] > 0.5 for i in range(0, 3000, 30)) and scores[-1] > scores[-2]
+
+
+def test_pipeline_language_with_many_equal_rows(spark, sf, docs):
+    """Equal rows never meet in pairs: as many come out as went in, all decided alike, with the language found."""
+    import corpus_pipeline
+
+    rows = docs.select(corpus_pipeline.COLUMNS)
+    one = rows.where("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string")})
+    many = one.crossJoin(spark.range(3_000)).select(corpus_pipeline.COLUMNS)
+    out = corpus_pipeline.language(spark, rows.unionByName(many), sf)
+    assert [(r.lang, r["count"]) for r in out.where("doc_id is null").groupBy("lang").count().collect()] == [("en", 3_000)]
+    assert out.where("doc_id is not null").count() <= rows.count()
