@@ -13,6 +13,7 @@ from factloom.operators import tables as T
 from factloom.plans.registry import add
 from factloom.plans.views import ELEMENTS, sql
 from factloom.sources import bridge
+from factloom.sources.shared import stored
 
 
 def decomposed(s, d) -> DataFrame:
@@ -96,8 +97,8 @@ def yearly(s, d) -> DataFrame:
 
 
 def facts_of_tables(s, d) -> DataFrame:
-    body = T.body_rows(yearly(s, d))
-    found = T.tables(body)
+    body = stored(T.body_rows(yearly(s, d)), "body")
+    found = stored(T.tables(body), "tables")
     names = bridge.read(s, d, "nation").select(F.col("n_name").alias("entity"))
     out = T.table_facts(found, T.table_rows(body, found), names, F.lit("2015-04-01").cast("date"))
     return out.select("sheet", "row_no", "col_idx", "entity", "attribute", "period", "value_raw", F.round("value", 2).alias("value"), "unit")
