@@ -164,14 +164,14 @@ def test_renumbered_references(spark):
 
 
 def test_mining_feeds_back(spark):
-    texts = spark.createDataFrame([(1, "The Big Old Kusunda Mine near Raniganj Coalfield in west bengal; X Y Seam, Barakar Formation. CIL saw an accident"), (2, "Kusunda Mine closed")], "doc_id int, text string")
+    texts = spark.createDataFrame([(1, "The Big Old Kusunda Mine near Raniganj Coalfield in west bengal; X Y Seam, Barakar Formation. ABC saw an accident"), (2, "Kusunda Mine closed")], "doc_id int, text string")
     known = spark.createDataFrame([("Barakar Formation", "geology")], "name string, kind string")
-    once = mining.grown([texts], known, organizations=["CIL"])
+    once = mining.grown([texts], known, organizations=["ABC"])
     assert {(r.name, r.kind) for r in once.collect()} == {
-        ("Big Old Kusunda Mine", "mine"), ("Raniganj Coalfield", "coalfield"), ("West Bengal", "location"), ("X Y Seam", "seam"), ("Barakar Formation", "geology"), ("CIL", "organization"),
+        ("Big Old Kusunda Mine", "mine"), ("Raniganj Coalfield", "coalfield"), ("West Bengal", "location"), ("X Y Seam", "seam"), ("Barakar Formation", "geology"), ("ABC", "organization"),
         ("Safety Accident", "event"), ("Kusunda Mine", "mine"), ("Mine Closure", "event"),
     }
-    assert mining.grown([texts, texts], known, organizations=["CIL"]).count() == once.count()
+    assert mining.grown([texts, texts], known, organizations=["ABC"]).count() == once.count()
 
 
 def test_groups_of_one_stem_that_are_all_alike(spark):
