@@ -24,6 +24,9 @@ from factloom.llm.quality import words_of
 #: Documents in a bucket of a leaf's order, about.
 BUCKET_DOCS = 2000
 
+#: Buckets in a run, a power of two: a leaf of 10^12 documents has some 10^6 runs.
+RUN = 512
+
 
 def weight_of(level: str, weights: dict[str, int], default: int) -> Column:
     """Integer weight of a node by its name."""
@@ -67,6 +70,18 @@ def budgets(leaves: DataFrame, levels: list[str], total: Column, weights: dict[s
     return leaves.drop("cap").join(given.drop("cap"), levels)
 
 
+def starts(dealt: DataFrame, levels: list[str]) -> DataFrame:
+    """``levels, bucket, size, start``: tokens of each bucket of a leaf and of those before it.
+
+    Sums are made in two levels, runs of buckets and buckets of a run, so no window holds all buckets of a large leaf.
+    """
+    sums = cut(dealt.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("size")).withColumn("run", F.col("bucket").bitwiseAND(F.lit(-RUN))), "sums")
+    runs = sums.groupBy(*levels, "run").agg(F.sum("size").alias("run_size"))
+    runs = runs.withColumn("before", F.sum("run_size").over(Window.partitionBy(*levels).orderBy("run")) - F.col("run_size")).drop("run_size")
+    inner = F.sum("size").over(Window.partitionBy(*levels, "run").orderBy("bucket")) - F.col("size")
+    return sums.withColumn("inner", inner).join(runs, [*levels, "run"]).select(*levels, "bucket", "size", (F.col("before") + F.col("inner")).alias("start"))
+
+
 def mix(
     docs: DataFrame, levels: list[str], total: Column, weights: dict[str, dict[str, int]], default_weight: int = 1, max_epochs: int = 2, seed: int = 17,
     id_col: str = "doc_id", n_tokens: Column | None = None, text_col: str = "text", keep: list[str] | None = None,
@@ -85,9 +100,7 @@ def mix(
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("full_epochs") + 1, F.col(id_col).cast("string")))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets")
     dealt = rows.join(plan, levels).withColumn("key", key).withColumn("bucket", F.shiftright(place, 32))
-    order = Window.partitionBy(*levels).orderBy("bucket")
-    sums = dealt.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("size")).withColumn("start", F.sum("size").over(order) - F.col("size"))
-    placed = dealt.join(sums, [*levels, "bucket"])
+    placed = dealt.join(starts(dealt, levels), [*levels, "bucket"])
     columns = [id_col, *keep, *levels, "n_tokens", "full_epochs"]
     clear = placed.where("start + size <= part or start >= part").select(*columns, F.when(F.col("start") < F.col("part"), F.col("n_tokens")).otherwise(0).alias("part_tokens"))
     inner = Window.partitionBy(*levels, "bucket").orderBy("key", id_col, "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
