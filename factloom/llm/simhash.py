@@ -21,15 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import connected_components, cut, small_batches, whole_text
+from factloom.llm.common import FEW, beside, connected_components, cut, small_batches, whole_text
 
 BITS = 64
 #: Fingerprints in one block of a run.
 BLOCK = 1024
 
+#: Blocks of one key in a group, about; a task of a join by groups holds one group of 8 MB.
+SIDE = 1024
+
 
 def fingerprint(text: str, shingle: int, seed: int) -> int:
     """SimHash of a text's word shingles (repeats included); 0 without words."""
@@ -213,12 +216,17 @@ def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     found = cut(ordered.mapInArrow(run, "t int, k long, block binary, a long, b long"), "runs")
     near = found.where("a is not null").select("a", "b").distinct()
-    blocks = found.where("block is not null").withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).where("n > 1").withColumn("i", F.xxhash64("block")).drop("n", "a", "b")
+    blocks = found.where("block is not null").select("t", "k", "block", F.xxhash64("block").alias("i"))
+    many = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    blocks = beside(blocks, many, ["t", "k"], many.count() <= FEW)
     return near.unionByName(across(blocks, near, radius)).distinct()
 
 
 def across(blocks: DataFrame, near: DataFrame, radius: int) -> DataFrame:
-    """Links between blocks of one key, where their members aren't all in one component yet."""
+    """Links between blocks of one key, where their members aren't all in one component yet.
+
+    The blocks of a key are dealt into groups of about SIDE, and each pair of groups is joined on its own, so a hot key is shared out.
+    """
     blocks = cut(blocks, "blocks")
     spark = blocks.sparkSession
 
@@ -235,9 +243,11 @@ def across(blocks: DataFrame, near: DataFrame, radius: int) -> DataFrame:
     one = blocks.mapInArrow(members, "t int, k long, i long, fp long").join(root, F.col("fp") == F.col("node"), "left").groupBy("t", "k", "i").agg(
         F.min(F.coalesce("root", "fp")).alias("low"), F.max(F.coalesce("root", "fp")).alias("high")
     )
-    marked = cut(blocks.join(one, ["t", "k", "i"]), "blocks")
-    x, y = (marked.select("t", "k", *(F.col(c).alias(f"{c}{s}") for c in ("i", "block", "low", "high"))) for s in "xy")
-    pairs = x.join(y, ["t", "k"]).where("ix < iy and not (lowx = highx and lowx = lowy and lowx = highy)").select("blockx", "blocky")
+    marked = cut(blocks.join(one, ["t", "k", "i"]).withColumn("groups", F.ceil(F.col("n") / SIDE)).withColumn("g", F.pmod("i", "groups")), "blocks")
+    x, y = (marked.select("t", "k", "g", "groups", *(F.col(c).alias(f"{c}{s}") for c in ("i", "block", "low", "high"))) for s in "xy")
+    x = x.select("*", F.col("g").alias("gx"), F.explode(F.sequence("g", F.col("groups") - 1)).alias("gy")).drop("g", "groups")
+    y = y.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g"))).alias("gx"), F.col("g").alias("gy")).drop("g", "groups")
+    pairs = x.join(y, ["t", "k", "gx", "gy"]).where("(gx < gy or ix < iy) and not (lowx = highx and lowx = lowy and lowx = highy)").select("blockx", "blocky")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
