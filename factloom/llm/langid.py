@@ -7,8 +7,9 @@ from grouped aggregation over all rows, with text evidence as the judge. Host pr
 those of the host's domain, and those towards the counts of all rows.
 
 Text models are fitted on at most ``per_language`` labelled texts of each language (smallest id hashes, at most ``longest``
-characters) and on at most ``most_languages`` languages: documented bounds; their tables so have a fixed size. All rows are judged
-over whole texts, and all rows count in the aggregates. Trigrams overlap and are not independent, so a text's log-likelihood
+characters), a documented bound. A label column of more than ``most_languages`` names is an error, as there are some 8,000 languages; a
+task holds the models of ``at_once`` of them (131 MB) and texts pass once for each such part. All rows are judged over whole texts, and
+all rows count in the aggregates, but for a row's own evidence its own decision is taken off. Trigrams overlap and are not independent, so a text's log-likelihood
 is tempered by ``weight``, at every length alike.
 
 Defined results: null or empty texts have no text evidence and are never accepted; null declarations, addresses and hosts
@@ -102,7 +103,7 @@ THREE_LETTERS = {
 }
 
 
-def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 50_000, most_languages: int = 500) -> tuple[list[str], np.ndarray]:
+def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 50_000, most_languages: int = 10_000) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of the buckets, from a bounded sample of labelled texts.
 
     The smallest hashes of a language are found below a threshold that its number of texts gives, so only the sample is ranked.
@@ -125,7 +126,13 @@ def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
-        for lang, n in sums.items():
+                if len(sums) > 256:
+                    yield from sent(sums)
+        yield from sent(sums)
+
+    def sent(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        while sums:
+            lang, n = sums.popitem()
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
@@ -137,9 +144,29 @@ def text_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return langs, np.log(table / table.sum(axis=0, keepdims=True)) if langs else table
 
 
+def text_evidence(rows: DataFrame, table: np.ndarray, markup: bool, weight: float) -> DataFrame:
+    """Rows with the log-likelihoods of ``__text`` under the table's languages put after ``text_logs``, and its trigrams as ``n``."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    at = {name: rows.columns.index(name) for name in ("__text", "text_logs", "n")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = shared.value
+        for batch in batches:
+            out, sizes = [], []
+            for page, before in zip(batch.column("__text").to_pylist(), batch.column("text_logs").to_pylist()):
+                codes = trigrams(visible(page) if markup else page)
+                sizes.append(len(codes))
+                out.append(before + ((logs[codes].sum(axis=0) * weight).tolist() if len(codes) else [0.0] * logs.shape[1]))
+            columns = list(batch.columns)
+            columns[at["text_logs"]], columns[at["n"]] = pa.array(out, pa.list_(pa.float64())), pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def identify(
     rows: DataFrame, langs: list[str], table: np.ndarray, id_col: str, text_col: str, declared_col: str | None, address_col: str | None, host_col: str | None,
-    markup: bool = False, prior_strength: float = 20.0, weight: float = 0.25, sure: float = 0.9,
+    markup: bool = False, prior_strength: float = 20.0, weight: float = 0.25, sure: float = 0.9, at_once: int = 500,
 ) -> DataFrame:
     """``id_col, lang, posterior, text_lang, declared, suffix, accepted`` of every row.
 
@@ -159,55 +186,44 @@ def identify(
         F.col(id_col).alias("id"), text.alias("__text"), F.coalesce(two_letters(declared), F.lit("")).alias("declared"),
         suffix.alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"),
     )
-    shared = spark.sparkContext.broadcast((table, len(langs)))
     carried = ["id", "declared", "suffix", "host", "domain"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, n_langs = shared.value
-        for batch in batches:
-            out, sizes = [], []
-            for page in batch.column("__text").to_pylist():
-                codes = trigrams(visible(page) if markup else page)
-                n = len(codes)
-                sizes.append(n)
-                out.append((logs[codes].sum(axis=0) * weight).tolist() if n else [0.0] * n_langs)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], [*carried, "text_logs", "n"])
-
-    schema = listed.select(*carried).schema.add("text_logs", T.ArrayType(T.DoubleType())).add("n", "long")
-    made = listed.mapInArrow(run, schema)
+    made = listed.withColumns({"text_logs": F.array().cast("array<double>"), "n": F.lit(0).cast("long")})
+    for start in range(0, len(langs), at_once):
+        made = text_evidence(made if not start else cut(made, "logs"), table[:, start : start + at_once], markup, weight)
+    made = made.select(*carried, "text_logs", "n")
     names = F.array(*(F.lit(x) for x in langs)) if langs else F.array().cast("array<string>")
     best = F.get(names, F.array_position("text_logs", F.array_max("text_logs")).cast("int") - 1)
     made = cut(made.withColumn("text_lang", F.when(F.col("n") > 0, best)), "evidence")
     judged = made.where("text_lang is not null")
 
-    def logs_of(counts: DataFrame, key: str, prior: DataFrame | None, strength: float, given_language: bool) -> DataFrame:
-        """Per key an array over the languages: log P(key | language), or log P(language | key) smoothed towards ``prior``."""
-        per = [F.coalesce(F.sum(F.when(F.col("text_lang") == x, F.col("c"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-        grouped = counts.groupBy(key).agg(*per)
-        if given_language:
-            totals = counts.agg(*(F.coalesce(F.sum(F.when(F.col("text_lang") == x, F.col("c"))), F.lit(0)).alias(f"t{i}") for i, x in enumerate(langs)))
-            wide = grouped.crossJoin(F.broadcast(totals))  # one row
-            return wide.select(key, F.array(*(F.log((F.col(f"c{i}") + 0.5) / (F.col(f"t{i}") + 10.0)) for i in range(len(langs)))).alias(f"{key}_logs"))
-        total = sum((F.col(f"c{i}") for i in range(len(langs))), F.lit(0))
-        wide = grouped.crossJoin(F.broadcast(prior)) if "p" in prior.columns and len(prior.columns) == 1 else grouped.join(prior, F.regexp_extract(key, r"([^.]*\.[^.]*)$", 1) == prior.domain, "left").drop("domain")
-        return wide.select(key, F.array(*((F.col(f"c{i}") + strength * F.coalesce(F.get("p", i), F.lit(1.0 / len(langs)))) / (total + strength) for i in range(len(langs)))).alias("p"))
-
     if not langs:
         return made.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), "text_lang", "declared", "suffix", F.lit(False).alias("accepted"))
-    by = {key: judged.groupBy(key, "text_lang").agg(F.count("*").alias("c")) for key in ("declared", "suffix", "host", "domain")}
-    world = judged.groupBy("text_lang").agg(F.count("*").alias("c")).withColumn("k", F.lit(0))
-    overall = world.groupBy("k").agg(F.array(*((F.coalesce(F.sum(F.when(F.col("text_lang") == x, F.col("c"))), F.lit(0)) + 1.0) / (F.sum("c") + len(langs)) for x in langs)).alias("p")).select("p")
-    domains = logs_of(by["domain"], "domain", overall, prior_strength, False)
-    hosts = logs_of(by["host"], "host", domains, prior_strength, False)
-    joined = made
+
+    def counts_of(keys: list[str], name: str) -> DataFrame:
+        """Judged rows of each key: an array over the languages and its sum (a key has at most one entry a language)."""
+        pairs = judged.groupBy(*keys, "text_lang").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "c"))).alias("m"), F.sum("c").alias(f"{name}_sum"))
+        return pairs.select(*keys, F.transform(names, lambda x: F.coalesce(F.element_at("m", x), F.lit(0).cast("long"))).alias(f"{name}_n"), f"{name}_sum")
+
+    def joined_to(rows: DataFrame, counts: DataFrame, keys: list[str], label: str) -> DataFrame:
+        counts = cut(counts, label)
+        return beside(rows, counts, keys, counts.count() * len(langs) <= 16 * common.FEW, "left")
+
+    own = F.array_position(names, F.col("text_lang")) - 1
+    one = F.col("text_lang").isNotNull().cast("int")
+    others = lambda c: F.transform(c, lambda x, i: x - F.when(i == F.col("own"), 1).otherwise(0))  # noqa: E731  the row's own decision is no evidence for it
+    given = lambda c: F.zip_with(others(f"{c}_n"), others("world_n"), lambda x, t: F.log((x + 0.5) / (t + 10.0)))
+    smoothed = lambda c, prior: F.zip_with(others(f"{c}_n"), prior, lambda x, p: (x + prior_strength * p) / (F.col(f"{c}_others") + prior_strength))
+    joined = joined_to(made, joined_to(counts_of(["host", "domain"], "host"), counts_of(["domain"], "domain"), ["domain"], "domains").drop("domain"), ["host"], "hosts")
     for key in ("declared", "suffix"):
-        joined = joined.join(logs_of(by[key], key, None, 0.0, True), key, "left")
-    hosts = cut(hosts, "hosts")
-    joined = beside(joined, hosts, ["host"], hosts.count() <= common.FEW, "left").withColumn("host_logs", F.transform("p", lambda p: F.log(p)))
+        joined = joined_to(joined, counts_of([key], key), [key], key)
+    joined = joined.crossJoin(F.broadcast(counts_of([], "world")))  # one row
+    joined = joined.withColumns({"own": own, **{f"{c}_others": F.col(f"{c}_sum") - one for c in ("host", "domain", "world")}})
+    overall = F.transform(others("world_n"), lambda x: (x + 1.0) / (F.col("world_others") + len(langs)))
+    host_logs = F.transform(smoothed("host", smoothed("domain", overall)), lambda p: F.log(p))
     zero = F.array_repeat(F.lit(0.0), len(langs))
     total = F.col("text_logs")
-    for c in ("declared_logs", "suffix_logs", "host_logs"):
-        total = F.zip_with(total, F.coalesce(F.col(c), zero), lambda a, b: a + b)
+    for logs in (given("declared"), given("suffix"), host_logs):
+        total = F.zip_with(total, F.coalesce(logs, zero), lambda a, b: a + b)
     fused = joined.withColumn("logs", total).withColumn("top", F.array_max("logs"))
     fused = fused.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     fused = fused.withColumn("lang", F.get(names, F.array_position("logs", F.col("top")).cast("int") - 1))

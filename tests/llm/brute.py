@@ -215,20 +215,22 @@ def fused(rows, langs, table, trigrams, weight=0.25, strength=20.0, sure=0.9):
         best = max(range(len(langs)), key=lambda k: logs[k]) if len(codes) else None
         made.append((i, len(codes), list(logs), best, (said or "").lower()[:2], suffix, host, domain))
     judged = [m for m in made if m[3] is not None]
-    total = collections.Counter(m[3] for m in judged)
-    overall = [(total[k] + 1) / (len(judged) + len(langs)) for k in range(len(langs))]
 
-    def smoothed(at, key, prior):
-        n = collections.Counter(m[3] for m in judged if m[at] == key)
+    def smoothed(others, at, key, prior):
+        n = collections.Counter(m[3] for m in others if m[at] == key)
         return [(n[k] + strength * prior[k]) / (sum(n.values()) + strength) for k in range(len(langs))]
 
-    for i, n, logs, _, said, suffix, host, domain in made:
+    for row in made:
+        i, n, logs, _, said, suffix, host, domain = row
+        others = [m for m in judged if m is not row]  # a row's own decision is no evidence for it
+        total = collections.Counter(m[3] for m in others)
+        overall = [(total[k] + 1) / (len(others) + len(langs)) for k in range(len(langs))]
         sums = list(logs)
         for at, key in ((4, said), (5, suffix)):
             if any(m[at] == key for m in judged):
-                sums = [s + math.log((sum(m[at] == key and m[3] == k for m in judged) + 0.5) / (total[k] + 10.0)) for k, s in enumerate(sums)]
+                sums = [s + math.log((sum(m[at] == key and m[3] == k for m in others) + 0.5) / (total[k] + 10.0)) for k, s in enumerate(sums)]
         if any(m[6] == host for m in judged):
-            sums = [s + math.log(p) for s, p in zip(sums, smoothed(6, host, smoothed(7, domain, overall)))]
+            sums = [s + math.log(p) for s, p in zip(sums, smoothed(others, 6, host, smoothed(others, 7, domain, overall)))]
         top = max(sums)
         posterior = 1 / sum(math.exp(s - top) for s in sums)
         yield i, langs[sums.index(top)], posterior, n > 0 and posterior >= sure

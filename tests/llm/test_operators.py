@@ -75,9 +75,11 @@ def test_simhash_matches_brute_force(spark, sf, texts):
     assert {i: r.component_id for i, r in got.items()} == brute.components(fps)
 
 
-def test_simhash_dense_groups_across_blocks(spark, monkeypatch):
-    """Chains and clusters whose runs are longer than a block, against all pairs."""
+@pytest.mark.parametrize("side", [1, 2, 1024])
+def test_simhash_dense_groups_across_blocks(spark, monkeypatch, side):
+    """Chains and clusters whose runs are longer than a block, against all pairs; a key's blocks are split into groups."""
     monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "SIDE", side)
     rng = random.Random(3)
     values = [0]
     for _ in range(300):
@@ -350,6 +352,7 @@ def test_mixing_does_not_depend_on_buckets(docs, monkeypatch):
 
     one = run()
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 3)
+    monkeypatch.setattr(mixing, "RUN", 4)
     assert run() == one
 
 
@@ -500,6 +503,28 @@ def test_langid_sample_is_bounded_and_by_hash(spark):
         langid.text_models(df.withColumn("lang", F.col("doc_id").cast("string")), most_languages=50)
 
 
+def test_langid_six_hundred_languages_in_parts(spark):
+    """More languages than one part of the models holds: the same rows as with all models at once, and each language is found."""
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    rows = [(i, " ".join([name(i) * 3] * 20), name(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    langs, table = langid.text_models(df)
+    assert len(langs) == 600
+    asked = df.where("doc_id % 20 = 0")
+    parts, whole = (sorted(map(str, langid.identify(asked, langs, table, "doc_id", "text", None, None, None, at_once=n).collect())) for n in (250, 1000))
+    assert parts == whole and len(parts) == 30
+    assert {r.text_lang for r in langid.identify(asked, langs, table, "doc_id", "text", None, None, None).collect()} == {name(i) for i in range(0, 600, 20)}
+
+
+def test_langid_own_decision_is_no_evidence(spark):
+    """A host with one page says nothing of that page's language beyond what all hosts say."""
+    texts = [(i, "kato mire kami tore" if i % 2 else "schung engka ungsch", "aa" if i % 2 else "bb") for i in range(40)]
+    langs, table = langid.text_models(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    alone = [(i, t, f"only{i}") for i, t, _ in texts] + [(100, "kato mire kami tore", "only1")]
+    got = {r.doc_id: r.posterior for r in langid.identify(spark.createDataFrame(alone, "doc_id long, text string, source string"), langs, table, "doc_id", "text", None, None, "source").collect()}
+    assert got[100] == got[1] and got[1] > got[3] == got[5]  # two pages speak for each other; single ones are equal
+
+
 def test_visible_text_is_linear_and_keeps_what_is_open():
     import time
 
