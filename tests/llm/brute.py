@@ -190,6 +190,46 @@ class Toxicity:
         return sum(math.log(self.p(w, 1, own == 1)) - math.log(self.p(w, 0, own == 0)) for w in words) / max(1, len(words))
 
 
+class ToxicityInOrder(Toxicity):
+    """The same with every word after its history, over continuation counts of both classes."""
+
+    def __init__(self, rows, chance):
+        super().__init__(rows, chance)
+        self.pairs = [{}, {}]
+        for text, label in rows:
+            for x in set(self.steps(text)):
+                self.pairs[label][x] = self.pairs[label].get(x, 0) + 1
+        self.all = [sum(c.values()) for c in self.pairs]
+        self.both = {x: self.pairs[0].get(x, 0) + self.pairs[1].get(x, 0) for x in {*self.pairs[0], *self.pairs[1]}}
+        self.heads = {h for h, _ in self.both}
+
+    def steps(self, text):
+        words = ["<", *self.words(text)]
+        return list(zip(words, words[1:]))
+
+    def below(self, word):
+        return (sum(w == word for _, w in self.both) + 0.5) / (len(self.both) + 0.5 * (len(self.met) + 1))
+
+    def p(self, word, label, less=0):
+        return self.above(word, label, less) + self.left[label] * self.below(word)
+
+    def kept(self, pair, label, less=0):
+        d = ((self.both[pair] / sum(self.all)) ** 0.5 + self.chance**0.5) ** 2 * self.all[label]
+        return max(self.pairs[label].get(pair, 0) - less - d, 0)
+
+    def after(self, history, word, label, less=0):
+        total = max(1, sum(n for (h, _), n in self.pairs[label].items() if h == history))
+        left = 1 - sum(self.kept(x, label) for x in self.both if x[0] == history) / total
+        own = self.kept((history, word), label, less) / total if (history, word) in self.both else 0
+        return own + left * self.p(word, label, less)
+
+    def compare(self, text, own=None):
+        import math
+
+        steps = self.steps(text)
+        return sum(math.log(self.after(*x, 1, own == 1)) - math.log(self.after(*x, 0, own == 0)) for x in steps) / max(1, len(steps))
+
+
 def visible(page):
     """Text of a page whose markup is closed, by one pattern."""
     import html

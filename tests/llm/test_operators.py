@@ -395,6 +395,35 @@ def test_toxicity_matches_a_plain_model_that_sums_to_one(spark, monkeypatch):
     assert one == two and all(0 <= x <= 1 for x in one.values())
 
 
+def test_toxicity_reads_every_word_after_its_history(spark, monkeypatch):
+    """Probabilities and comparisons of the order above, against plain ones; repeats and order of words count."""
+    rng = random.Random(11)
+    words = ["calm", "kind", "tree", "vile", "Scum", "scum!", "(river)", "stone"]
+
+    def make(toxic):
+        text = rng.choices(words, [5, 5, 4, 2, 1, 1, 3, 2], k=rng.randrange(0, 25))
+        return " ".join(text + (["you", "vile", "vile"] if toxic else ["vile", "you", "!!"]) * rng.randrange(0, 3))
+
+    rows = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(90)]
+    plain = brute.ToxicityInOrder([(t, x) for _, t, x in rows], 0.002)
+    for c in (0, 1):
+        for h in [*sorted(plain.heads), "never seen"]:
+            assert abs(sum(plain.after(h, w, c) for w in [*plain.met, "never seen"]) - 1) < 1e-9
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    monkeypatch.setattr("factloom.llm.ngrams.PACK_CHARS", 700)
+    monkeypatch.setattr(toxicity, "TOGETHER", 5)
+    learned = df.select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"), "text")
+    model = toxicity.fit(learned, 0.002, histories=True)
+    assert 0 < len(model.histories.pairs) < len(plain.both) and (model.histories.left < 1).any()
+    for without in (False, True):
+        got = {r.key: (r.x, r.n) for r in toxicity.followed(learned, model, without).collect()}
+        assert all(abs(got[i][0] - plain.compare(t, x if without else None)) < 1e-9 and got[i][1] == len(plain.steps(t)) for i, t, x in rows)
+    probes = spark.createDataFrame([(-1, "you vile calm"), (-2, "vile you calm"), (-3, "calm kind vile"), (-4, "calm kind vile vile")], "doc_id long, text string")
+    docs = df.drop("toxic").unionByName(probes)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, df.select("doc_id", "toxic"), F.lit(True), chance=0.002).collect()}
+    assert scores[-1] != scores[-2] and scores[-3] != scores[-4] and len(scores) == 94
+
+
 def test_toxicity_one_class_ties_and_contradictions(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "vile"), (None, "a")], "doc_id long, text string")
     for labels, want in (([(1, 0)], 0.0), ([(2, 1)], 1.0), ([(None, 1)], 0.0), ([(1, None), (2, 7)], 0.0)):
