@@ -62,7 +62,15 @@ add("P-1_all_filters", lambda s, d: I.library_filter(library(s, d), subsidiary="
 HASHED = """hw AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 1024 AS INTEGER) AS i, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM kw) GROUP BY 1, 2),
 hx AS (SELECT doc_id, i, tf * ln((n + 1)::DOUBLE / (df + 1)) AS x FROM hw JOIN (SELECT i, count(*) AS df FROM hw GROUP BY 1) USING (i), (SELECT count(*) AS n FROM documents)),
 hv AS (SELECT doc_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM hx)"""
-add("S-5_hashed_vectors", lambda s, d: E.dense(E.hashed_weights(bridge.read(s, d, "documents"))).select("doc_id", F.posexplode("embedding").alias("i", "x")).where("x > 0").select("doc_id", "i", F.round(F.col("x").cast("double"), 4).alias("x")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("x").alias("most"), F.min("i").alias("first")),
+def hashed(s, d) -> DataFrame:
+    """Of each vector the number of its entries other than zero, the largest and the place of the first."""
+    first = lambda v: F.array_position(F.transform(v, lambda x: x > 0), True) - 1
+    told = lambda v: F.struct(F.size(F.array_remove(v, F.lit(0.0).cast("float"))).cast("long").alias("n"), F.round(F.array_max(v).cast("double"), 4).alias("most"), first(v).cast("int").alias("first"))
+    v = E.hashed_vectors(bridge.read(s, d, "documents"))
+    return v.select("doc_id", F.explode(F.transform(F.array("embedding"), told)).alias("v")).select("doc_id", "v.*")  # the vector is made once
+
+
+add("S-5_hashed_vectors", hashed,
     sql("SELECT doc_id, count(*) AS n, max(round(x, 4)) AS most, min(i) AS first FROM hv WHERE x > 0 GROUP BY 1", KEYWORDS, HASHED))
 add("S-5_weights", lambda s, d: E.hashed_weights(bridge.read(s, d, "documents")).select("doc_id", "i", F.round("x", 8).alias("x")), sql("SELECT doc_id, i, round(x, 8) AS x FROM hv WHERE x > 0", KEYWORDS, HASHED))
 add("S-5_embedding_model", lambda s, d: E.embedded(bridge.read(s, d, "documents").select("doc_id", "text"), E.letter_model, "text").select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", "i", F.round(F.col("x").cast("double"), 4).alias("x")),

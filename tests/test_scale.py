@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from factloom.operators import search, structure
+from factloom.operators import embedding, search, structure
 
 TEXTS = [(1, "coal coal coal mine output coal mine output rail coal mine output"), (2, "rail yard rail yard"), (2, "rail yard depot"), (None, "coal dust"), (None, "coal dust coal dust"), (3, ""), (4, None)]
 
@@ -46,3 +46,16 @@ def test_words_are_counted_in_their_rows(spark, sf):
     assert shuffles(structure.keywords(docs)) == 0
     assert shuffles(search.postings(docs)) == 0
     assert shuffles(structure.fingerprints(docs.selectExpr("doc_id", "text", "1 as pages"))) == 0
+
+
+def test_hashed_vectors_are_made_in_their_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert shuffles(embedding.hashed_vectors(docs)) == 1  # the frequencies, a row a bucket
+    odd = spark.createDataFrame([(1, "coal mine"), (2, "coal"), (2, "rail rail"), (3, ""), (4, None), (5, "zinc")], "doc_id long, text string")
+    sparse, dense = ({}, {r.doc_id: list(r.embedding) for r in embedding.hashed_vectors(odd, 64).collect()})
+    for r in embedding.hashed_weights(odd, 64).collect():
+        sparse.setdefault(r.doc_id, {})[r.i] = r.x
+    assert set(dense) == set(sparse) == {1, 2, 5}
+    for i, v in dense.items():
+        assert len(v) == 64 and {k for k, x in enumerate(v) if x} == set(sparse[i]) and all(abs(v[k] - x) < 1e-6 for k, x in sparse[i].items())
+        assert abs(sum(x * x for x in sparse[i].values()) - 1) < 1e-9
