@@ -1,9 +1,10 @@
 """What operators shuffle, and rows that share ids or have none."""
 
 import re
+import time
 from collections import Counter
 
-from factloom.operators import embedding, search, structure
+from factloom.operators import embedding, knowledge, search, structure
 
 TEXTS = [(1, "coal coal coal mine output coal mine output rail coal mine output"), (2, "rail yard rail yard"), (2, "rail yard depot"), (None, "coal dust"), (None, "coal dust coal dust"), (3, ""), (4, None)]
 
@@ -59,3 +60,40 @@ def test_hashed_vectors_are_made_in_their_rows(spark, sf):
     for i, v in dense.items():
         assert len(v) == 64 and {k for k, x in enumerate(v) if x} == set(sparse[i]) and all(abs(v[k] - x) < 1e-6 for k, x in sparse[i].items())
         assert abs(sum(x * x for x in sparse[i].values()) - 1) < 1e-9
+
+
+def test_fuzzy_entities_miss_none(spark):
+    """All pairs of windows and names within the limit, by brute force over names that share most of their runs and have repeated ones."""
+    names = [f"Central Works {i:02d} of Upper Coalfield" for i in range(12)] + ["aaaaaaaaaaaaaaaaaaaa", "ab", "Zinc Mine"]
+    typed = ["central works 07 of uper coalfeld", "central works 1 of upper coalfield", "works 03 of upper", "aaaaaaaaabaaaaaaaaaa", "ab", "zinc mine", "zink mine", "central works 11 of upper coalfieldd"]
+    asked = [(i, f"what of {t}?") for i, t in enumerate(typed * 2)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for q, text in asked:
+        w, hits = text.lower().split(), []
+        for name in names:
+            k, low = len(name.split()), name.lower()
+            for i in range(max(1, len(w) - k + 1)):
+                window = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", " ".join(w[i : i + k]))
+                score = int(100 * (1 - edits(low, window) / max(len(low), len(window))))
+                hits += [(-score, name)] if score >= 90 else []
+        want |= {(q, min(hits)[1], -min(hits)[0])} if hits else set()
+    got = knowledge.fuzzy_entities(spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame([(n, n) for n in names], "entity string, name string"))
+    assert {(r.query_id, r.name, r.score) for r in got.collect()} == want and len(want) > 8
+
+
+def test_fuzzy_entities_compare_a_window_once(spark):
+    """Many questions of the same words: the pairs that are compared don't grow with them."""
+    names = spark.createDataFrame([(f"N{i}", f"Central Nation_{i} Coalfield") for i in range(25)], "entity string, name string")
+    asked = spark.range(200_000).selectExpr("id as query_id", "concat('what of central natien_', id % 25, ' coalfeld in 1997?') as text")
+    began = time.time()
+    assert knowledge.fuzzy_entities(asked, names).count() == 200_000
+    assert time.time() - began < 60
