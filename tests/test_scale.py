@@ -4,6 +4,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+
 from factloom.operators import embedding, knowledge, search, structure
 
 TEXTS = [(1, "coal coal coal mine output coal mine output rail coal mine output"), (2, "rail yard rail yard"), (2, "rail yard depot"), (None, "coal dust"), (None, "coal dust coal dust"), (3, ""), (4, None)]
@@ -97,3 +99,31 @@ def test_fuzzy_entities_compare_a_window_once(spark):
     began = time.time()
     assert knowledge.fuzzy_entities(asked, names).count() == 200_000
     assert time.time() - began < 60
+
+
+def test_cosine_top_k_takes_what_plain_sums_give(spark):
+    """Copies, near ties, nulls, other lengths and blocks of queries."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    asked = v.where("id % 5 = 0 or id in (7, 402)").selectExpr("id as query_id", "v as q")
+    unit = {i: (None if x is None or None in x else [a / sum(b * b for b in x) ** 0.5 for a in x]) for i, x in rows}
+    want = set()
+    for q in [r.query_id for r in asked.collect()]:
+        scores = []
+        for i, x in unit.items():
+            fits = x is not None and unit[q] is not None and len(x) == len(unit[q])
+            scores += [(-round(sum(a * b for a, b in zip(x, unit[q])), 6) if fits else 2.0, i)] if i != q else []
+        want |= {(q, i, None if s == 2.0 else -s, r) for r, (s, i) in enumerate(sorted(scores)[:5], 1)}
+    for block in (20_000, 30):
+        assert {(r.query_id, r.id, r.score, r["rank"]) for r in search.cosine_top_k(v, asked, 5, block=block).collect()} == want
+    few = search.cosine_top_k(v, asked, 5, allowed=spark.createDataFrame([(1,), (2,)], "id long")).collect()
+    assert {r.id for r in few} == {1, 2}
+
+
+def test_cosine_top_k_multiplies_blocks(spark):
+    v = spark.range(40_000).selectExpr("id", "transform(sequence(1, 64), i -> double(sin(id * i) + cos(id + i * i))) as v")
+    began = time.time()
+    assert search.cosine_top_k(v, v.where("id % 20 = 0").selectExpr("id as query_id", "v as q")).count() == 10_000
+    assert time.time() - began < 60
