@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 
-from factloom.operators import embedding, knowledge, search, structure
+from factloom.operators import embedding, graph, knowledge, lifecycle, search, structure
+from factloom.plans import evidence, whole
 
 TEXTS = [(1, "coal coal coal mine output coal mine output rail coal mine output"), (2, "rail yard rail yard"), (2, "rail yard depot"), (None, "coal dust"), (None, "coal dust coal dust"), (3, ""), (4, None)]
 
@@ -127,3 +128,22 @@ def test_cosine_top_k_multiplies_blocks(spark):
     began = time.time()
     assert search.cosine_top_k(v, v.where("id % 20 = 0").selectExpr("id as query_id", "v as q")).count() == 10_000
     assert time.time() - began < 60
+
+
+def test_bulky_tables_are_written_where_they_are_made(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).selectExpr("id % 40 as doc_id", "id as n")
+    path = str(tmp_path / "t")
+    lifecycle.write_table(rows, path, buckets=4, dealt=False)
+    assert {tuple(r) for r in lifecycle.read_table(spark, path).select("doc_id", "n").collect()} == {(i % 40, i) for i in range(400)}
+    some = rows.where("pmod(xxhash64(doc_id), 4) = 1").selectExpr("doc_id", "-n as n")
+    lifecycle.write_table(some, path, buckets=4, dealt=False)
+    again = {tuple(r) for r in some.collect()}
+    kept = {r.doc_id for r in some.collect()}
+    assert {tuple(r) for r in lifecycle.read_table(spark, path).select("doc_id", "n").collect()} == again | {(i % 40, i) for i in range(400) if i % 40 not in kept}
+
+
+def test_facts_of_a_graph_are_made_once(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (evidence.edges(spark, sf), whole.edges(spark, sf), whole.around(spark, sf)):
+        assert "l_extendedprice" not in plan(df)
+    assert "Union" not in plan(graph.neighbourhoods(spark.createDataFrame([("a", "1", "r", "b", "2", 1, "x")], "src_kind string, src string, relation string, dst_kind string, dst string, n int, receipt string"), spark.createDataFrame([("x", "n", "s")], "receipt string, name string, snippet string")))
