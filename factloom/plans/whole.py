@@ -20,7 +20,7 @@ from factloom.plans.series import facts
 from factloom.plans.structure import KEYWORDS, SENTENCES, sentences
 from factloom.plans.views import DOCUMENTS, FACTS, sql
 from factloom.sources import bridge
-from factloom.sources.shared import shared_dir
+from factloom.sources.shared import shared_dir, stored
 from factloom.streaming import ingest as ST
 
 
@@ -36,29 +36,37 @@ def located(s, d) -> DataFrame:
     return G.edge_rows(n.withColumn("r", region).withColumn("at", F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))), "organization", "n_name", "LOCATED_IN", "location", "r", "at")
 
 
-def library(s, d) -> DataFrame:
+def library(s, d, found=None) -> DataFrame:
     """Documents of the graph: the table's, and those that the facts name but the copy, which nothing stands for."""
+    found = facts(s, d) if found is None else found
     own = bridge.documents(s, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("filename").alias("name"), F.substring("text", 1, 280).alias("snippet"), F.when(F.col("filename").contains("_revised"), "revised after approval").otherwise("first edition").alias("remark"))
-    of = facts(s, d).where("doc_id <> '6-COPY'").select("doc_id").distinct().select("doc_id", F.concat(F.lit("priority "), "doc_id").alias("name"), F.lit("").alias("snippet"), F.lit("a fatal mishap").alias("remark"))
+    of = found.where("doc_id <> '6-COPY'").select("doc_id").distinct().select("doc_id", F.concat(F.lit("priority "), "doc_id").alias("name"), F.lit("").alias("snippet"), F.lit("a fatal mishap").alias("remark"))
     return own.unionByName(of)
 
 
-def happenings(s, d) -> DataFrame:
-    return library(s, d).select("doc_id", F.explode(K.events(F.col("remark"))).alias("event"))
+def happenings(s, d, found=None) -> DataFrame:
+    return library(s, d, found).select("doc_id", F.explode(K.events(F.col("remark"))).alias("event"))
 
 
-def vertices(s, d, **options) -> DataFrame:
+def vertices(s, d, found=None, tagged=None, **options) -> DataFrame:
     every = s.createDataFrame([(e,) for e in K.EVENTS], "event string")
-    return G.all_vertices(library(s, d), tags(s, d), entities(s, d), facts(s, d).select("attribute"), every, **options)
+    found = facts(s, d) if found is None else found
+    return G.all_vertices(library(s, d, found), tags(s, d) if tagged is None else tagged, entities(s, d), found.select("attribute"), every, **options)
 
 
-def edges(s, d) -> DataFrame:
-    return G.all_edges(vertices(s, d), facts(s, d), entities(s, d), tags(s, d), L.versioned(bridge.documents(s, d)), happenings(s, d), located(s, d))
+def edges(s, d, found=None) -> DataFrame:
+    """The facts, of few rows, and the tags are written once, as vertices and several kinds of edges read them."""
+    found = stored(facts(s, d), "facts") if found is None else found
+    tagged = stored(tags(s, d), "tags")
+    return G.all_edges(vertices(s, d, found, tagged), found, entities(s, d), tagged, L.versioned(bridge.documents(s, d)), happenings(s, d, found), located(s, d))
 
 
 def around(s, d) -> DataFrame:
-    told = library(s, d).select(F.col("doc_id").alias("receipt"), "name", "snippet").unionByName(facts(s, d).select(F.col("fact_id").alias("receipt"), F.concat("attribute", F.lit(" of "), "entity").alias("name"), F.concat_ws(" ", F.date_format("period", "yyyy"), "unit").alias("snippet")))
-    return G.neighbourhoods(edges(s, d), told).select("kind", "id", "relation", "direction", "other_kind", "other", "n", "receipt", "name", F.md5(F.coalesce("snippet", F.lit(""))).alias("digest"))
+    """Of a snippet only its digest goes through the joins."""
+    found = stored(facts(s, d), "facts")
+    told = library(s, d, found).select(F.col("doc_id").alias("receipt"), "name", "snippet").unionByName(found.select(F.col("fact_id").alias("receipt"), F.concat("attribute", F.lit(" of "), "entity").alias("name"), F.concat_ws(" ", F.date_format("period", "yyyy"), "unit").alias("snippet")))
+    told = told.select("receipt", "name", F.md5(F.coalesce("snippet", F.lit(""))).alias("snippet"))
+    return G.neighbourhoods(edges(s, d, found), told).select("kind", "id", "relation", "direction", "other_kind", "other", "n", "receipt", "name", F.coalesce("snippet", F.md5(F.lit(""))).alias("digest"))
 
 
 VERTICES = """lib AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, filename AS name, substr(text, 1, 280) AS snippet, CASE WHEN contains(filename, '_revised') THEN 'Statutory Clearance' END AS event FROM docs
