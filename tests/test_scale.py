@@ -1,5 +1,6 @@
 """What operators shuffle, and rows that share ids or have none."""
 
+import math
 import re
 import time
 from collections import Counter
@@ -147,3 +148,43 @@ def test_facts_of_a_graph_are_made_once(spark, sf):
     for df in (evidence.edges(spark, sf), whole.edges(spark, sf), whole.around(spark, sf)):
         assert "l_extendedprice" not in plan(df)
     assert "Union" not in plan(graph.neighbourhoods(spark.createDataFrame([("a", "1", "r", "b", "2", 1, "x")], "src_kind string, src string, relation string, dst_kind string, dst string, n int, receipt string"), spark.createDataFrame([("x", "n", "s")], "receipt string, name string, snippet string")))
+
+
+def test_bm25_takes_what_plain_sums_give(spark):
+    """Copies that tie, documents over several batches, blocks of questions, shared ids, questions that share an id."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, size=rng.integers(1, 60)) % 50) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(400 + i, texts[3]) for i in range(30)] + [(500, texts[5]), (500, texts[6]), (501, None), (502, "")]
+    asked = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, size=6) % 50)) for i in range(12)] + [(3, "w1 w2"), (20, "nowhere")]
+    docs, lens = [(i, Counter((t or "").split()), len((t or "").split())) for i, t in rows], [len(t.split()) for _, t in rows if t is not None]
+    mean, df = sum(lens) / len(lens), Counter()
+    merged = Counter()  # rows of one id and one length are one posting
+    for i, c, n in docs:
+        for w, tf in c.items():
+            merged[i, n, w] += tf
+    df.update(w for _, _, w in merged)
+    words = {}
+    for q, t in asked:
+        words.setdefault(q, set()).update(t.split())
+    want = set()
+    for q, ws in words.items():
+        score = Counter()
+        for (i, n, w), tf in sorted(merged.items()):
+            if w in ws:
+                score[i] += math.log1p((len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+        want |= {(q, i, r) for r, (_, i) in enumerate(sorted((-round(s, 6), i) for i, s in score.items())[:10], 1)}
+    d, a = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for block in (2_000, 5):
+            got = search.bm25(d, a, block=block)
+            assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_of_questions_and_documents_are_not_shuffled(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as query_id", "text")
+    plan = search.bm25(docs, asked)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(query_id#\d+L?, \d", plan) and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
