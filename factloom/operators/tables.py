@@ -35,11 +35,13 @@ def merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """``sheet, row_idx, cells`` (texts in column order) with counts of filled, distinct, wordy and numeric ones."""
     v = F.coalesce(F.col("value"), F.lit(""))
-    number = C.parse_quantity(F.col("v"))["value"].isNotNull()
-    judged = cells.select("sheet", "row_idx", "col_idx", v.alias("v")).withColumn("number", number & (F.col("v") != ""))
-    return judged.groupBy("sheet", "row_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "v"))), lambda x: x["v"]).alias("cells"), F.count_if(F.col("v") != "").alias("filled"),
-        F.count_distinct(F.when(F.col("v") != "", F.col("v"))).alias("kinds"), F.count_if((F.col("v") != "") & ~F.col("number")).alias("wordy"), F.count_if("number").alias("numeric"),
+    gathered = cells.groupBy("sheet", "row_idx").agg(F.sort_array(F.collect_list(F.struct("col_idx", v.alias("v")))).alias("c"))  # one shuffle: all counts come from the row
+    rows = gathered.select("sheet", "row_idx", F.transform("c", lambda x: x["v"]).alias("cells"))
+    told = F.filter("cells", lambda v: v != "")
+    numeric = F.size(F.filter("cells", C.has_number))
+    return rows.select(
+        "sheet", "row_idx", "cells", F.size(told).cast("long").alias("filled"), F.size(F.array_distinct(told)).cast("long").alias("kinds"),
+        (F.size(told) - numeric).cast("long").alias("wordy"), numeric.cast("long").alias("numeric"),
     )
 
 
@@ -154,6 +156,7 @@ def table_facts(found: DataFrame, rows: DataFrame, names: DataFrame, period: Col
     value = F.when(F.col("q.unit").isNotNull(), F.col("q.value")).otherwise(F.col("q.value") * F.coalesce("u.factor", F.lit(1.0)))
     cells = cells.select(*key, "col_idx", F.coalesce("x.h.attribute", "general", F.lit("quantity")).alias("attribute"), given.alias("period"), F.col("x.c").alias("value_raw"), value.alias("value"), F.coalesce("q.unit", "u.unit").alias("unit"))
     cells = cells.where(C.in_range(F.col("attribute"), F.col("value")))
-    own = extraction.mentions(told.select(*key, F.col("own").alias("text")), names, key).withColumnRenamed("entity", "__own")
-    around = extraction.mentions(told.select(*key, F.col("context").alias("text")), names, key).withColumnRenamed("entity", "__around")
-    return cells.join(own, key, "left").join(around, key, "left").select(*key, "col_idx", F.coalesce("__own", "__around").alias("entity"), "attribute", "period", "value_raw", "value", "unit")
+    both = told.select(*key, F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("own").alias("text")), F.struct(F.lit(False).alias("own"), F.col("context").alias("text")))).alias("t"))
+    met = extraction.mentions(both.select(*key, "t.own", "t.text"), names, [*key, "own"])
+    named = met.groupBy(*key).agg(F.max_by("entity", "own").alias("entity"))  # that of the row's own cells, if they have one
+    return cells.join(named, key, "left").select(*key, "col_idx", "entity", "attribute", "period", "value_raw", "value", "unit")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 
+from factloom.functions import columns
 from factloom.operators import embedding, graph, knowledge, lifecycle, search, structure
 from factloom.plans import evidence, whole
 
@@ -188,3 +189,17 @@ def test_pairs_of_questions_and_documents_are_not_shuffled(spark, sf):
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as query_id", "text")
     plan = search.bm25(docs, asked)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(query_id#\d+L?, \d", plan) and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+
+
+def test_measures_of_cells_are_read_once(spark):
+    """A number alone needs no look at units, and what is noise and what a value come from one reading."""
+    cells = ["", None, "12", " 1,234.50 ", "0.5", "-7", "12 MT", "3 lakh tonnes", "7 %", "nil", "FY2019-20", "2019", "12.05.2020", "3 - 4", "(5)", "see 5 mines", "1.23456", "NATION_12", "x12", "5\t", "12 crore", "+8", "1 2"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, s string")
+    rows = df.select("s", columns.parse_quantity(df.s).alias("q"), columns.has_number(df.s).alias("h"), columns.is_noise(df.s).alias("noise"), columns.extract_value(df.s).alias("v")).collect()
+    for r in rows:
+        assert (r.s is not None and r.q.value is not None) == bool(r.h)
+        assert r.v == (None if r.noise else r.q)
+    good = {r.s: (r.v.value, r.v.unit) for r in rows if r.v}
+    assert good == {"12": (12.0, None), " 1,234.50 ": (1234.5, None), "12 MT": (12e6, "tonnes"), "3 lakh tonnes": (3e5, "tonnes"), "7 %": (7.0, "percent"), "5\t": (5.0, None), "12 crore": (12e7, None), "+8": (8.0, None), "1 2": (1.0, None)}
+    plan = df.select(columns.extract_value(df.s))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= 8
